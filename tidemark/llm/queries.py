@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, packing, token_files
+from tidemark.llm import common, packing, sentencepieces, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(common.table(spark, sf_dir, "documents")))
 
 
+@query
+def op2_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.normalise(warc.write_archives(warc.with_revisits(common.table(spark, sf_dir, "pages"))))
+    return warc.read_records(archives).drop("url", "intact")
+
+
 @query
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents")).drop("source")
