@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import regex
 
@@ -31,39 +32,56 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; forgets all when full."""
+class Memory(dict):
+    """Ids of units as little-endian unsigned 32-bit integers; forgets all when full."""
 
-    def __init__(self, model, limit: int) -> None:
-        self.model, self.limit = model, limit
-        self.split = regex.compile(PATTERN).findall
-        self.letter = byte_letters()
+    def __init__(self, ids_of, limit: int) -> None:
+        self.ids_of, self.limit = ids_of, limit
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        body = piece[1:] if piece[:1] == " " else piece
-        parts = [piece] if body.isalpha() else self.split(piece)
-        out = self[piece] = self.merged(piece) if parts == [piece] else b"".join([self[p] for p in parts])
+        out = self[unit] = self.ids_of(unit)
         return out
 
-    def merged(self, part: str) -> bytes:
-        letters = "".join([self.letter[b] for b in part.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
-
 
 class Encoder:
     """encode(text) gives all ids of a text as bytes, `<u4`."""
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = Pieces(self.tokenizer.model, limit)
+        self.merges, self.split = self.tokenizer.model.tokenize, regex.compile(PATTERN).findall
+        self.letters = dict(enumerate(byte_letters()))
+        self.blank = self.letters[ord(" ")]
+        self.units = Memory(self.unit, limit // 5)
+        self.words = Memory(self.word, limit)
+
+    def merged(self, part: str) -> bytes:
+        """The ids of one part of the tokenizer's pattern."""
+        letters = part.replace(" ", self.blank) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges(letters)]).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        return b"".join(map(self.merged, self.split(unit)))
+
+    def word(self, word: str) -> bytes:
+        """What follows a blank up to the next; a line end stands for itself, without a blank."""
+        if word[:1] == "\n":
+            return self.units["\n"] + self.units[word[1:]]
+        if word.isalpha():
+            letters = self.blank + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+            return array("I", [t.id for t in self.merges(letters)]).tobytes()
+        first, *rest = self.split(" " + word)
+        return (self.words[first[1:]] if first[1:].isalpha() else self.units[first]) + b"".join([self.units[p] for p in rest])
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, UNITS.findall(text)))
+        if text.split() != text.replace("\n", " ").split(" "):  # other white space than single blanks and line ends inside
+            return b"".join(map(self.units.__getitem__, UNITS.findall(text)))
+        first, *words = text.replace("\n", " \n").split(" ")
+        return self.units[first] + b"".join(map(self.words.__getitem__, words))
 
 
 @functools.cache
