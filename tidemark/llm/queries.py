@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, packing, quality, sentencepieces, token_files, warc
+from tidemark.llm import common, fingerprints, packing, quality, sentencepieces, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def op2_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(common.table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(common.table(spark, sf_dir, "documents")).drop("votes", "quality")
