@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, fingerprints, packing, quality, sentencepieces, token_files, warc
+from tidemark.llm import common, fingerprints, language, packing, quality, sentencepieces, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(common.table(spark, sf_dir, "documents")).drop("votes", "quality")
 
 
+@query
+def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.normalise(warc.write_archives(warc.with_revisits(common.table(spark, sf_dir, "pages"))))
@@ -46,3 +51,8 @@ def op7_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op10_toxicity_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
