@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, fingerprints, language, packing, quality, sentencepieces, token_files, toxicity, warc
+from tidemark.llm import common, fingerprints, language, ngram_join, packing, quality, sentencepieces, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op7_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(archives).drop("url", "intact")
 
 
+@query
+def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(common.table(spark, sf_dir, "documents"), n=3, percent=90).drop("n_links")
+
+
 @query
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents")).drop("source")
