@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import common, fingerprints, language, ngram_join, packing, quality, sentencepieces, token_files, toxicity, warc
+from tidemark.llm import common, fingerprints, language, ngram_join, packing, quality, sentencepieces, templates, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(common.table(spark, sf_dir, "documents")).drop("votes", "quality")
 
 
+@query
+def op5_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(common.table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(common.table(spark, sf_dir, "documents"))
