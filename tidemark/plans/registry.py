@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from tidemark.plans import market, tables
+from tidemark.plans.catalogue import ORACLES, QUERIES
 
 FLAGSHIP = "latest_signals"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "market", "tables"]
