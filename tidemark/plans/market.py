@@ -324,7 +324,7 @@ win AS (SELECT e.id, d.date bar_date, d.change, d.rsi14, d.ma50, d.ma200, d.atr1
 agg AS (SELECT id, {", ".join(f"arg_max({c}, bar_date) FILTER ({c} IS NOT NULL) {c}" for c in LATEST)}, avg(atr14) atr,
   covar_pop(change, y) FILTER (change IS NOT NULL AND y IS NOT NULL) / nullif(stddev_pop(change) FILTER (y IS NOT NULL) * stddev_pop(y) FILTER (change IS NOT NULL), 0) index_corr,
   covar_pop(change, z) FILTER (change IS NOT NULL AND z IS NOT NULL) / nullif(stddev_pop(change) FILTER (z IS NOT NULL) * stddev_pop(z) FILTER (change IS NOT NULL), 0) growth_corr FROM win GROUP BY id)
-SELECT id, {", ".join(f"coalesce({sq4(c)}, 0) AS {c}" for c in ("eps", "roe", "per", "pbr", "cap_log", *LATEST, "index_corr", "growth_corr"))}, floor(atr + 0.5::DOUBLE) AS atr
+SELECT id, {", ".join(f"coalesce({sq4(c)}, 0) AS {c}" for c in ("eps", "roe", "per", "pbr", "cap_log", *LATEST, "index_corr", "growth_corr"))}, floor(atr * 100.0::DOUBLE + 0.3217::DOUBLE) / 100.0::DOUBLE AS atr
 FROM (SELECT id, eps, roe, per, pbr, ln(1 + cap) cap_log FROM ratio) JOIN agg USING (id)"""
 
 
@@ -332,9 +332,9 @@ FROM (SELECT id, eps, roe, per, pbr, ln(1 + cap) cap_log FROM ratio) JOIN agg US
 def feature_vectors(spark, sf_dir):
     """Fundamental, technical and correlation features of every disclosure, missing ones 0."""
     found = training.features(events(spark, sf_dir), statements(spark, sf_dir), entities.bars(spark, sf_dir), entities.index_bars(spark, sf_dir), entities.growth_bars(spark, sf_dir))
-    # the mean of means isn't exact in whole cents: it's compared in whole units
+    # a mean of means often ends in halves: it's cut where no such mean falls
     shown = [F.coalesce(q4(F.col(c)), F.lit(0.0)).alias(c) for c in training.FEATURES if c != "atr"]
-    return found.select("id", *shown, F.floor(F.col("atr") + 0.5).cast("double").alias("atr"))
+    return found.select("id", *shown, (F.floor(F.col("atr") * 100.0 + 0.3217) / 100.0).alias("atr"))
 
 
 @query()
