@@ -5,14 +5,17 @@ if fewer), words lower-cased in A-Z. Two documents link when their sets'
 intersection is at least `percent` hundredths of their union.
 
 1. Equal sets become one node, whose id is a hash of the set.
-2. Blocks. Linked sets of sizes a and b differ in at most
+2. Blocks. Sizes fall into levels such that linked sets are in one or in two
+   that follow each other; a set takes part in its own level and, as the
+   smaller, in the next. Linked sets of sizes a and b differ in at most
    (a + b) * (100 - percent) / (100 + percent) members. Members are dealt to
    more buckets than that by their hash, so linked sets have an equal bucket.
-   The bucket's content, with the sizes' level, is a signature; sets that
-   share one are candidates. No link can be missed, and sets that merely
-   share a common passage seldom meet.
-3. Candidates' connected components are split into chunks of bounded size,
-   and each pair of chunks is a task of the join.
+   The bucket's content and the level are a signature; sets that share one
+   are candidates. No link can be missed, and sets that merely share a common
+   passage seldom meet.
+3. A level's candidates' connected components are split into chunks of bounded
+   size, and each pair of chunks is a task of the join. A pair is looked at in
+   the level of its larger set alone.
 4. In a task all sets are written in one global order of members, most common
    first, and the first chunk's sets go into a prefix tree. Each set of the
    second walks the tree: a shared prefix's overlap is counted once for all
@@ -105,8 +108,8 @@ class Levels(NamedTuple):
         return 2 * (int(self.bounds[level + 1]) - 1) * (100 - self.percent) // (100 + self.percent)
 
 
-def signatures(members: np.ndarray, levels: Levels) -> np.ndarray:
-    """Signatures of a set. Linked sets share one.
+def signatures(members: np.ndarray, levels: Levels) -> list[np.ndarray]:
+    """Signatures of a set in each of its levels. Linked sets share one in the level of the larger.
 
     Unlike members touch at most most_unlike() buckets. If a set has more
     buckets with members than that, an equal one has members; else the empty
@@ -120,10 +123,16 @@ def signatures(members: np.ndarray, levels: Levels) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         full = bucket[first]
         salt = U(level << 40) + U(1 << 36)
-        out.append(mixed(mixed(salt + full) + np.add.reduceat(scrambled, first)))
+        found = [mixed(mixed(salt + full) + np.add.reduceat(scrambled, first))]
         if len(full) <= unlike:
-            out.append(mixed(mixed(salt + np.setdiff1d(np.arange(buckets, dtype=np.uint64), full))))
-    return np.concatenate(out)
+            found.append(mixed(mixed(salt + np.setdiff1d(np.arange(buckets, dtype=np.uint64), full))))
+        out.append(np.concatenate(found))
+    return out
+
+
+def node_of(set_id: int, level: int) -> int:
+    """A set in a level, as a signed 64-bit integer."""
+    return int(mixed(np.array([(set_id + (1 << 63)) ^ (level + 1) * 0x9E3779B97F4A7C15 & 0xFFFF_FFFF_FFFF_FFFF], np.uint64)).view(np.int64)[0])
 
 
 class Node(NamedTuple):
@@ -217,19 +226,20 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def join_chunks(ids: list[int], sets: list[np.ndarray], second: list[bool], percent: int) -> Iterator[tuple[int, int, int]]:
-    """(id, id of a set in its component, number of links) of the sets with links: between the chunks, or in the first if there is no second."""
+def join_chunks(ids: list[int], sets: list[np.ndarray], second: list[bool], own: list[bool], percent: int) -> Iterator[tuple[int, int, int]]:
+    """(id, id of a set in its component, number of links) of the sets with links: between the chunks, or in the first if there is no second. Of a pair one set is of the level's own."""
     order = sorted(range(len(ids)), key=lambda k: (second[k], ids[k]))
-    ids, sets = [ids[k] for k in order], [sets[k] for k in order]
+    ids, sets, own = [ids[k] for k in order], [sets[k] for k in order], [own[k] for k in order]
     ranks, size = ranked(sets)
     cut = len(ids) - sum(second)
     tree, mask, forest, links = PrefixTree(ranks[:cut]), np.zeros(size, bool), Forest(len(ids)), [0] * len(ids)
     for k in range(cut, len(ids)) if cut < len(ids) else range(cut):
         mask[ranks[k]] = True
         for other in tree.linked(ranks[k], mask, percent, range(k) if k < cut else None):
-            forest.join(k, other)
-            links[k] += 1
-            links[other] += 1
+            if own[k] or own[other]:
+                forest.join(k, other)
+                links[k] += 1
+                links[other] += 1
         mask[ranks[k]] = False
     for k, n in enumerate(links):
         if n:
@@ -282,35 +292,43 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
         own = rows.join(nodes.selectExpr("rep_id doc_id", "rep_hash text_hash"), ["doc_id", "text_hash"], "left_semi")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per signature and task, however many sets of the task share it, and a row per pair (set_id, other) that shared one here."""
+        """A row per signature and task, however many nodes of the task share it, and a row per pair (node, other) that shared one here."""
         hashes, held, size = WordHashes(), [], 0
         for batch in batches:
             for text in batch.column("text"):
                 members = shingles(text.as_py(), n, hashes)
                 if len(members):
-                    found = signatures(members, levels)
-                    held.append((found, np.full(len(found), set_id(members))))
-                    size += len(found)
+                    for level, found in zip(levels.of_size(len(members)), signatures(members, levels), strict=True):
+                        held.append((found, np.full(len(found), node_of(set_id(members), level))))
+                        size += len(found)
                 if size > SIGNATURES_HELD:
                     yield pre_aggregated(held)
                     held, size = [], 0
         if held:
             yield pre_aggregated(held)
 
-    signed = own.select("text").mapInArrow(sign, "signature long, set_id long, other long")
+    signed = own.select("text").mapInArrow(sign, "signature long, node long, other long")
     # every candidate is tied to the least set of its block: the same component as all pairs, without the pairs
     block = Window.partitionBy("signature")
-    ties = signed.withColumn("least", F.coalesce("other", F.min("set_id").over(block))).where("least <> set_id").selectExpr("least a", "set_id b")
+    ties = signed.withColumn("least", F.coalesce("other", F.min("node").over(block))).where("least <> node").selectExpr("least a", "node b")
     clusters = components.connected(ties)
 
-    weights = clusters.join(nodes.selectExpr("set_id node", "rep_id", "rep_hash", "n_shingles"), "node")
-    sizes = clusters.join(nodes.selectExpr("set_id node", "n_shingles"), "node").groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n_shingles") / CHUNK_MEMBERS)).alias("chunks"))
-    placed = common.stored(weights.join(sizes, "root").select("root", "node", "rep_id", "rep_hash", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk")), "join-candidates")
-
-    picked = placed.withColumnsRenamed({"rep_id": "doc_id", "rep_hash": "text_hash"})
+    def leveled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for key, size in zip(batch.column("set_id").to_pylist(), batch.column("n_shingles").to_pylist(), strict=True):
+                for level, own in zip(levels.of_size(size), (True, False), strict=True):
+                    yield node_of(key, level), key, own
+
+    schema = pa.schema([("node", pa.int64()), ("set_id", pa.int64()), ("own", pa.bool_())])
+    levelled = nodes.select("set_id", "n_shingles").mapInArrow(lambda b: common.rows_to_batches(leveled(b), schema, 16384), "node long, set_id long, own boolean")
+    weights = common.stored(clusters.join(levelled, "node").join(nodes.select("set_id", "rep_id", "rep_hash", "n_shingles"), "set_id"), "join-candidates")
+    sizes = weights.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n_shingles") / CHUNK_MEMBERS)).alias("chunks"))
+    place = F.struct("root", "own", F.pmod(F.xxhash64("set_id"), "chunks").alias("chunk"), "chunks")
+    # a set has at most two places, one per level
+    picked = common.stored(weights.join(sizes, "root").groupBy(F.col("rep_id").alias("doc_id"), F.col("rep_hash").alias("text_hash"), "set_id").agg(F.collect_list(place).alias("places")), "join-places")
     texts = rows.join(F.broadcast(picked) if few(picked) else picked, ["doc_id", "text_hash"])
-    chunk, chunks = F.col("chunk"), F.col("chunks")
-    tasks = F.transform(F.sequence(F.lit(0).cast("bigint"), chunks - 1), lambda k: F.struct(F.least(k, chunk).alias("low"), F.greatest(k, chunk).alias("high"), (k < chunk).alias("second")))
+    chunk = F.col("place.chunk")
+    tasks = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("place.chunks") - 1), lambda k: F.struct(F.least(k, chunk).alias("low"), F.greatest(k, chunk).alias("high"), (k < chunk).alias("second")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -318,15 +336,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
             found = [shingles(t.as_py(), n, hashes).tobytes() for t in batch.column("text")]
             yield batch.drop_columns(["text"]).append_column("members", pa.array(found, pa.binary()))
 
-    with_sets = texts.select("root", "node", "chunk", "chunks", "text").mapInArrow(sets, "root long, node long, chunk long, chunks long, members binary")
-    dealt = with_sets.select("root", "node", "members", F.explode(tasks).alias("task")).select("root", "task.low", "task.high", "task.second", "node", "members")
+    with_sets = texts.select("set_id", "places", "text").mapInArrow(sets, "set_id long, places array<struct<root long, own boolean, chunk long, chunks long>>, members binary")
+    placed = with_sets.select("set_id", "members", F.explode("places").alias("place"))
+    dealt = placed.select("set_id", "members", "place", F.explode(tasks).alias("task")).select("place.root", "task.low", "task.high", "task.second", "set_id", "place.own", "members")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "second", "node", "members")), strict=True))
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "second", "set_id", "own", "members")), strict=True))
         for _, group in itertools.groupby(rows, key=lambda r: r[:3]):
             own = list({r[4]: r for r in group}.values())  # repeated rows are one node
             if own[0][1] == own[0][2] or any(r[3] for r in own):  # a pair of chunks of which the second is empty has no links
-                yield from join_chunks([r[4] for r in own], [np.frombuffer(r[5], np.uint64) for r in own], [r[3] for r in own], percent)
+                yield from join_chunks([r[4] for r in own], [np.frombuffer(r[6], np.uint64) for r in own], [r[3] for r in own], [r[5] for r in own], percent)
 
     schema = pa.schema([(c, pa.int64()) for c in ("set_id", "near", "n_links")])
     found = common.stored(
@@ -344,7 +363,7 @@ def pre_aggregated(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     # a pair has a signature of its own, so it meets no block
     signature = np.concatenate([own, mixed(pairs[:, 0].view(np.uint64) ^ mixed(pairs[:, 1].view(np.uint64)))]).view(np.int64)
     other = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(pairs[:, 1])])
-    return pa.RecordBatch.from_arrays([pa.array(signature), pa.array(np.concatenate([ids[first], pairs[:, 0]])), other], names=["signature", "set_id", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(signature), pa.array(np.concatenate([ids[first], pairs[:, 0]])), other], names=["signature", "node", "other"])
 
 
 def with_components(j: Join) -> DataFrame:
