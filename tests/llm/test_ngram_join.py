@@ -102,9 +102,10 @@ def test_blocks_miss_no_link():
             cut = int(rng.integers(0, len(a) * (100 - percent) // 100 + 1))
             add = int(rng.integers(0, len(a) * (100 - percent) // percent + 1))
             b = np.unique(np.concatenate([a[rng.permutation(len(a))[cut:]], rng.integers(0, 2**63, add).astype(np.uint64)]))
+            out = np.sort(rng.permutation(np.union1d(a, b))[: int(rng.choice([0, size // 4, size]))])
             both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
             if len(b) and 100 * both >= percent * either:
-                sides = [dict(zip(levels.of_size(len(x)), ngram_join.signatures(x, levels))) for x in (a, b)]
+                sides = [dict(zip(levels.of_size(len(x)), ngram_join.signatures(x, levels, out))) for x in (a, b)]
                 level = levels.of_size(max(len(a), len(b)))[0]
                 assert len(np.intersect1d(sides[0][level], sides[1][level]))
 

@@ -11,8 +11,9 @@ intersection is at least `percent` hundredths of their union.
    (a + b) * (100 - percent) / (100 + percent) members. Members are dealt to
    more buckets than that by their hash, so linked sets have an equal bucket.
    The bucket's content and the level are a signature; sets that share one
-   are candidates. No link can be missed, and sets that merely share a common
-   passage seldom meet.
+   are candidates. Members that many sets have, as passages do, are left out
+   of both sides' buckets, which leaves the bound as it is: no link can be
+   missed, and sets that merely share a passage don't meet.
 3. A level's candidates' connected components are split into chunks of bounded
    size, and each pair of chunks is a task of the join. A pair is looked at in
    the level of its larger set alone.
@@ -48,6 +49,8 @@ CHUNK_SETS = 1024
 CHUNK_MEMBERS = 1 << 20
 BROADCAST_ROWS = 1_000_000
 SIGNATURES_HELD = 1 << 20
+#: Members that so many sets of a stretch share are left out of signatures, the most common MOST_COMMON of them.
+COMMON_SETS, MOST_COMMON = 3, 1_000_000
 U = np.uint64
 
 
@@ -108,28 +111,42 @@ class Levels(NamedTuple):
         return 2 * (int(self.bounds[level + 1]) - 1) * (100 - self.percent) // (100 + self.percent)
 
 
-def signatures(members: np.ndarray, levels: Levels) -> list[np.ndarray]:
+def signatures(members: np.ndarray, levels: Levels, common_members: np.ndarray) -> list[np.ndarray]:
     """Signatures of a set in each of its levels. Linked sets share one in the level of the larger.
 
-    Unlike members touch at most most_unlike() buckets. If a set has more
-    buckets with members than that, an equal one has members; else the empty
-    ones are signed too, by it and by any set that agrees on them alone.
+    Unlike members touch at most most_unlike() buckets, whichever members are
+    left out of both sets. Those in common_members, one list for all sets, are
+    left out first: the buckets with other members are signed. If they are no
+    more than can be unlike, the whole set's buckets are signed too, and of
+    those the empty ones if the full ones are no more than can be unlike.
     """
-    scrambled, out = mixed(members + U(0x9E3779B97F4A7C15)), []
+    at = np.minimum(np.searchsorted(common_members, members), max(0, len(common_members) - 1))
+    rest = members[common_members[at] != members] if len(common_members) else members
+    out = []
     for level in levels.of_size(len(members)):
         unlike = levels.most_unlike(level)
-        buckets = unlike + 1 + unlike // 20
-        bucket = (members >> U(32)) * U(buckets) >> U(32)
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        full = bucket[first]
+        buckets = unlike + 1 + unlike // 5
         salt = U(level << 40) + U(1 << 36)
-        found = [mixed(mixed(salt + full) + np.add.reduceat(scrambled, first))]
+        full, found = filled_buckets(rest, buckets, salt)
         if len(full) <= unlike:
-            found.append(mixed(mixed(salt + np.setdiff1d(np.arange(buckets, dtype=np.uint64), full))))
-        out.append(np.concatenate(found))
+            salt += U(1 << 37)
+            full, whole = filled_buckets(members, buckets, salt)
+            found = np.concatenate([found, whole])
+            if len(full) <= unlike:
+                found = np.concatenate([found, mixed(mixed(salt + np.setdiff1d(np.arange(buckets, dtype=np.uint64), full)))])
+        out.append(found)
     return out
 
 
+def filled_buckets(members: np.ndarray, buckets: int, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that have members, and a signature of each one's content."""
+    if not len(members):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    bucket = (members >> U(32)) * U(buckets) >> U(32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return bucket[first], mixed(mixed(salt + bucket[first]) + np.add.reduceat(mixed(members + U(0x9E3779B97F4A7C15)), first))
+
+
 def node_of(set_id: int, level: int) -> int:
     """A set in a level, as a signed 64-bit integer."""
     return int(mixed(np.array([(set_id + (1 << 63)) ^ (level + 1) * 0x9E3779B97F4A7C15 & 0xFFFF_FFFF_FFFF_FFFF], np.uint64)).view(np.int64)[0])
@@ -267,14 +284,31 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
     rows = hashed(docs)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        hashes = WordHashes()
+        """A row per document, and a row per member that COMMON_SETS sets of some CHUNK_MEMBERS members have."""
+        hashes, held, seen, size = WordHashes(), [], set(), 0
         for batch in batches:
             for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), strict=True):
                 members = shingles(text.as_py(), n, hashes)
-                yield doc_id, text_hash, len(members), set_id(members)
-
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "n_shingles", "set_id")])
-    documents = common.stored(rows.mapInArrow(lambda b: common.rows_to_batches(measure(b), schema), "doc_id long, text_hash long, n_shingles long, set_id long"), "join-documents")
+                key = set_id(members)
+                yield doc_id, text_hash, len(members), key, None, None
+                if key not in seen:
+                    seen.add(key)
+                    held.append(members)
+                    size += len(members)
+                if size > CHUNK_MEMBERS:
+                    yield from often(held)
+                    held, seen, size = [], set(), 0
+        if held:
+            yield from often(held)
+
+    columns = ("doc_id", "text_hash", "n_shingles", "set_id", "member", "sets")
+    schema = pa.schema([(c, pa.int64()) for c in columns])
+    measured = common.stored(rows.mapInArrow(lambda b: common.rows_to_batches(measure(b), schema), ", ".join(f"{c} long" for c in columns)), "join-documents")
+    documents = measured.where("member is null").drop("member", "sets")
+    # which members are left out changes the work, never the links, so the list may be cut
+    left_out = measured.where("member is not null").groupBy("member").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "member").limit(MOST_COMMON).select("member").toArrow()
+    left_out = np.sort(left_out.column("member").to_numpy().astype(np.int64).view(np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast(left_out)  # at most MOST_COMMON numbers
     nodes = common.stored(
         documents.where("doc_id is not null and n_shingles > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")).selectExpr("set_id", "rep.doc_id rep_id", "rep.text_hash rep_hash", "n_shingles", "copies"),
         "join-nodes",
@@ -298,7 +332,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
             for text in batch.column("text"):
                 members = shingles(text.as_py(), n, hashes)
                 if len(members):
-                    for level, found in zip(levels.of_size(len(members)), signatures(members, levels), strict=True):
+                    for level, found in zip(levels.of_size(len(members)), signatures(members, levels, sent.value), strict=True):
                         held.append((found, np.full(len(found), node_of(set_id(members), level))))
                         size += len(found)
                 if size > SIGNATURES_HELD:
@@ -356,6 +390,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
     return Join(documents, nodes, common.stored(linked, "join-linked"))
 
 
+def often(held: list[np.ndarray]) -> Iterator[tuple]:
+    values, sets = np.unique(np.concatenate(held), return_counts=True)
+    for member, count in zip(values[sets >= COMMON_SETS].view(np.int64).tolist(), sets[sets >= COMMON_SETS].tolist(), strict=True):
+        yield None, None, None, None, member, count
+
+
 def pre_aggregated(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     signature, ids = (np.concatenate(c) for c in zip(*held, strict=True))
     own, first, back = np.unique(signature, return_index=True, return_inverse=True)
