@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: Used only where the session names no folder of its own, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
+#: Rows that go to Python at once: texts may be long, and the executor and its worker both hold a batch.
+BATCH_ROWS = 512
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: The ASCII white space that separates words: blank and \t \n \v \f \r.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,6 +47,14 @@ def open_dir(uri: str) -> tuple[fs.FileSystem, str]:
     return system, path
 
 
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow() with batches of at most BATCH_ROWS rows; a session that allows more is set to that."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(f, schema)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

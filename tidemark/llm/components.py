@@ -43,7 +43,7 @@ def finished(edges: DataFrame) -> DataFrame:
         nodes = list(forest.up)
         yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "root": pa.array(map(forest.root, nodes), pa.int64())})
 
-    return edges.select("a", "b").coalesce(1).mapInArrow(join, "node long, root long")
+    return edges.select("a", "b").coalesce(1).transform(common.map_batches, join, "node long, root long")
 
 
 def connected(edges: DataFrame) -> DataFrame:

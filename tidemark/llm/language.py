@@ -185,7 +185,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
                     yield lang.as_py(), v.astype(np.float16).tobytes()
 
     schema = pa.schema([("lang", pa.string()), ("v", pa.binary())])
-    found = sample(docs, per_language).select("lang", "text").mapInArrow(lambda b: common.rows_to_batches(rows(b), schema, 64), "lang string, v binary").collect()
+    found = sample(docs, per_language).select("lang", "text").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), schema, 64), "lang string, v binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["v"])))  # the same machines whatever the order of tasks
     x = np.frombuffer(b"".join([r["v"] for r in found]), np.float16).astype(np.float32).reshape(-1, DIMENSIONS)
     return fit_model([r["lang"] for r in found], x)
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield (doc_id.as_py(), out.as_py(), *model.predict(text.as_py()))
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return picked.mapInArrow(lambda b: common.rows_to_batches(rows(b), schema), "doc_id long, held_out boolean, lang_pred string, score double")
+    return picked.transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), schema), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

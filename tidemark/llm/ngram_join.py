@@ -303,7 +303,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
 
     columns = ("doc_id", "text_hash", "n_shingles", "set_id", "member", "sets")
     schema = pa.schema([(c, pa.int64()) for c in columns])
-    measured = common.stored(rows.mapInArrow(lambda b: common.rows_to_batches(measure(b), schema), ", ".join(f"{c} long" for c in columns)), "join-documents")
+    measured = common.stored(rows.transform(common.map_batches, lambda b: common.rows_to_batches(measure(b), schema), ", ".join(f"{c} long" for c in columns)), "join-documents")
     documents = measured.where("member is null").drop("member", "sets")
     # which members are left out changes the work, never the links, so the list may be cut
     left_out = measured.where("member is not null").groupBy("member").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "member").limit(MOST_COMMON).select("member").toArrow()
@@ -341,7 +341,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
         if held:
             yield pre_aggregated(held)
 
-    signed = own.select("text").mapInArrow(sign, "signature long, node long, other long")
+    signed = own.select("text").transform(common.map_batches, sign, "signature long, node long, other long")
     # every candidate is tied to the least set of its block: the same component as all pairs, without the pairs
     block = Window.partitionBy("signature")
     ties = signed.withColumn("least", F.coalesce("other", F.min("node").over(block))).where("least <> node").selectExpr("least a", "node b")
@@ -354,7 +354,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
                     yield node_of(key, level), key, own
 
     schema = pa.schema([("node", pa.int64()), ("set_id", pa.int64()), ("own", pa.bool_())])
-    levelled = nodes.select("set_id", "n_shingles").mapInArrow(lambda b: common.rows_to_batches(leveled(b), schema, 16384), "node long, set_id long, own boolean")
+    levelled = nodes.select("set_id", "n_shingles").transform(common.map_batches, lambda b: common.rows_to_batches(leveled(b), schema, 16384), "node long, set_id long, own boolean")
     weights = common.stored(clusters.join(levelled, "node").join(nodes.select("set_id", "rep_id", "rep_hash", "n_shingles"), "set_id"), "join-candidates")
     sizes = weights.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n_shingles") / CHUNK_MEMBERS)).alias("chunks"))
     place = F.struct("root", "own", F.pmod(F.xxhash64("set_id"), "chunks").alias("chunk"), "chunks")
@@ -370,7 +370,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
             found = [shingles(t.as_py(), n, hashes).tobytes() for t in batch.column("text")]
             yield batch.drop_columns(["text"]).append_column("members", pa.array(found, pa.binary()))
 
-    with_sets = texts.select("set_id", "places", "text").mapInArrow(sets, "set_id long, places array<struct<root long, own boolean, chunk long, chunks long>>, members binary")
+    with_sets = texts.select("set_id", "places", "text").transform(common.map_batches, sets, "set_id long, places array<struct<root long, own boolean, chunk long, chunks long>>, members binary")
     placed = with_sets.select("set_id", "members", F.explode("places").alias("place"))
     dealt = placed.select("set_id", "members", "place", F.explode(tasks).alias("task")).select("place.root", "task.low", "task.high", "task.second", "set_id", "place.own", "members")
 
@@ -383,7 +383,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
 
     schema = pa.schema([(c, pa.int64()) for c in ("set_id", "near", "n_links")])
     found = common.stored(
-        dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(lambda b: common.rows_to_batches(walk(b), schema), "set_id long, near long, n_links long"), "join-links"
+        dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").transform(common.map_batches, lambda b: common.rows_to_batches(walk(b), schema), "set_id long, near long, n_links long"), "join-links"
     )
     roots = components.connected(found.selectExpr("set_id a", "near b")).withColumnsRenamed({"node": "set_id"})
     linked = found.groupBy("set_id").agg(F.sum("n_links").alias("n_links")).join(roots, "set_id")

@@ -120,4 +120,4 @@ def pack(docs: DataFrame, path: str | None = None, mixture: Mapping[str | None,
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return common.rows_to_batches(rows(batches), PIECES, 16384)
 
-    return token_files.per_file(manifest).mapInArrow(read, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    return token_files.per_file(manifest).transform(common.map_batches, read, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

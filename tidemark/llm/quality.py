@@ -165,7 +165,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 yield (doc_id.as_py(), *m[:5], votes(m))
 
     fields = ", ".join(f"{n} long" for n in ("doc_id", *Measures._fields[:5])) + ", votes string"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda b: common.rows_to_batches(rows(b), MEASURED), fields)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), MEASURED), fields)
 
 
 def base_failed(n_words, n_repeat_words):
@@ -202,4 +202,4 @@ def filter_documents(docs: DataFrame, keep: float = KEEP) -> DataFrame:
             found = [measures(t.as_py() or "") for t in batch.column("text")]
             yield batch.filter(pa.array([not base_failed(m.n_words, m.n_repeat_words) and model.posterior(votes(m)) >= keep for m in found], pa.bool_()))
 
-    return docs.mapInArrow(stay, docs.schema)
+    return docs.transform(common.map_batches, stay, docs.schema)

@@ -203,7 +203,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         for doc_id, e in encoded(batches, c):
             yield doc_id, e.ids, e.begins, e.ends, c.decode(e.ids)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda b: common.rows_to_batches(rows(b), schema, 256), "doc_id long, ids array<long>, begins array<long>, ends array<long>, decoded string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), schema, 256), "doc_id long, ids array<long>, begins array<long>, ends array<long>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -217,7 +217,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = e.ids.tolist()
             yield doc_id, len(ids), sha256(",".join(map(str, ids))), sha256(c.library.decode(ids)), int((e.ends - e.begins).sum())
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda b: common.rows_to_batches(rows(b), schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
 
 
 def sha256(text: str) -> str:

@@ -60,7 +60,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     yield host, page, token, n
 
     numbered = pages.select("host", F.xxhash64("page_id", "url", F.monotonically_increasing_id()).alias("page"), "html")
-    return numbered.mapInArrow(lambda b: common.rows_to_batches(rows(b), schema, 16384), "host string, page long, token long, n long")
+    return numbered.transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), schema, 16384), "host string, page long, token long, n long")
 
 
 def classes(pages: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
                         yield host, class_of[e.token], None, None, e.token, chars
 
     fields = "host string, class_no long, `order` string, parent long, token long, chars long"
-    seen = common.stored(with_classes(pages, found).select("host", "classes", "html").mapInArrow(lambda b: common.rows_to_batches(rows(b), schema, 16384), fields), "template-orders")
+    seen = common.stored(with_classes(pages, found).select("host", "classes", "html").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), schema, 16384), fields), "template-orders")
     valid = (
         seen.where("order is not null")
         .groupBy("host", "class_no")
@@ -196,4 +196,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 text = text_of(page.as_py(), known[0]["tokens"][0] if known else None)
                 yield page_id, url, text, len(text)
 
-    return with_classes(own, slots).select("page_id", "url", "classes", "html").mapInArrow(lambda b: common.rows_to_batches(rows(b), EXTRACTED), "page_id long, url string, text string, n_chars long")
+    return with_classes(own, slots).select("page_id", "url", "classes", "html").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), EXTRACTED), "page_id long, url string, text string, n_chars long")

@@ -62,7 +62,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, key: Column | No
                 pa.schema([("path", pa.string()), ("shard", pa.int64()), ("key", pa.string()), ("key_no", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
             )
 
-    return common.stored(dealt.mapInArrow(write, MANIFEST), "token-manifest")
+    return common.stored(dealt.transform(common.map_batches, write, MANIFEST), "token-manifest")
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:
@@ -104,4 +104,4 @@ def read_token_files(manifest: DataFrame, arrays: bool = False) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return common.rows_to_batches(rows(batches), schema)
 
-    return per_file(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * arrays)
+    return per_file(manifest).transform(common.map_batches, read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * arrays)

@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"]})
 
-    return common.stored(pages.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(write, "path string"), "warc-streams-manifest")
+    return common.stored(pages.select("page_id", "url", "payload", "payload_digest", "refers_to").transform(common.map_batches, write, "path string"), "warc-streams-manifest")
 
 
 def a_file_each(manifest: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def normalise(manifest: DataFrame) -> DataFrame:
                         at, count = at + len(body), count + 1
                 yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}.warc.gz"], "index_path": [f"{folder}/{name}.idx"], "n_records": pa.array([count], pa.int64())})
 
-    return common.stored(a_file_each(manifest).mapInArrow(rewrite, "path string, index_path string, n_records long"), "warc-manifest")
+    return common.stored(a_file_each(manifest).transform(common.map_batches, rewrite, "path string, index_path string, n_records long"), "warc-manifest")
 
 
 READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())])
@@ -200,4 +200,4 @@ def read_records(manifest: DataFrame) -> DataFrame:
                         source.seek(int(at))
                         yield parsed(zlib.decompress(source.read(int(size)), GZIP))
 
-    return a_file_each(manifest).mapInArrow(lambda batches: common.rows_to_batches(rows(batches), READ), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
+    return a_file_each(manifest).transform(common.map_batches, lambda batches: common.rows_to_batches(rows(batches), READ), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
