@@ -9,13 +9,14 @@ its vocabulary.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
 
 import regex
 
+from tidemark.llm import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The white space of the tokenizer's pattern, and that pattern.
@@ -84,10 +85,9 @@ class Encoder:
         return self.units[first] + b"".join(map(self.words.__getitem__, words))
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker; its memory lasts over tasks."""
-    return Encoder(path)
+    return common.lasting(("bpe", path), lambda: Encoder(path))
 
 
 def default_path() -> str:

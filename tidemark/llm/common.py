@@ -55,6 +55,17 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
+_lasting: dict[object, object] = {}
+
+
+def lasting[T](key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task. It keeps one object: another key's is dropped first, so the memories of a pipeline's stages don't add up."""
+    if key not in _lasting:
+        _lasting.clear()
+        _lasting[key] = make()
+    return _lasting[key]
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -70,6 +70,10 @@ class WordHashes(dict):
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
 
+    @classmethod
+    def lasting(cls) -> WordHashes:
+        return common.lasting(cls.__qualname__, cls)
+
 
 def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     """The set of a text: ascending distinct 64-bit hashes."""
@@ -285,7 +289,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """A row per document, and a row per member that COMMON_SETS sets of some CHUNK_MEMBERS members have."""
-        hashes, held, seen, size = WordHashes(), [], set(), 0
+        hashes, held, seen, size = WordHashes.lasting(), [], set(), 0
         for batch in batches:
             for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), strict=True):
                 members = shingles(text.as_py(), n, hashes)
@@ -327,7 +331,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per signature and task, however many nodes of the task share it, and a row per pair (node, other) that shared one here."""
-        hashes, held, size = WordHashes(), [], 0
+        hashes, held, size = WordHashes.lasting(), [], 0
         for batch in batches:
             for text in batch.column("text"):
                 members = shingles(text.as_py(), n, hashes)
@@ -365,7 +369,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
     tasks = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("place.chunks") - 1), lambda k: F.struct(F.least(k, chunk).alias("low"), F.greatest(k, chunk).alias("high"), (k < chunk).alias("second")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes.lasting()
         for batch in batches:
             found = [shingles(t.as_py(), n, hashes).tobytes() for t in batch.column("text")]
             yield batch.drop_columns(["text"]).append_column("members", pa.array(found, pa.binary()))

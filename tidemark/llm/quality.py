@@ -16,7 +16,6 @@ measure(); an empty table fits no model and gives no rows.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -67,7 +66,6 @@ def repeated_words(words: list[bytes]) -> int:
     return covered
 
 
-@functools.cache
 def letter_kinds() -> np.ndarray:
     """By code point: 0 no letter, 1 a letter, 2 a capital."""
     return np.array([c.isalpha() + (c.isalpha() and c.isupper()) for c in map(chr, range(0x110000))], np.uint8)
@@ -76,7 +74,7 @@ def letter_kinds() -> np.ndarray:
 def measures(text: str) -> Measures:
     words = text.encode().split()
     lines = [s for s in text.split("\n") if s.strip(BLANKS)]
-    kinds = letter_kinds()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    kinds = common.lasting("letter kinds", letter_kinds)[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     return Measures(
         len(words),
         len(text) - sum(map(text.count, BLANKS)),
