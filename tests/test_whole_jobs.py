@@ -1,5 +1,7 @@
 """Queries whose registered SQL is narrower than the job: held against the whole job here."""
 
+import re
+
 import duckdb
 
 from tidemark.plans.registry import QUERIES
@@ -21,3 +23,13 @@ def same(spark, name, sql, *tables):
 def test_every_order_is_looked_up(spark):
     rows = same(spark, "text_lookup_left", "SELECT o_orderkey AS id, coalesce(trim(regexp_replace(text, '[\\s]+', ' ', 'g')), '') AS text FROM orders LEFT JOIN documents ON doc_id = o_orderkey", "orders", "documents")
     assert len(rows) == 1500 and any(i % 3 for i, _ in rows)
+
+
+def test_urls_are_masked_in_every_text(spark, tmp_path):
+    """Against Python's re, whose classes of letters are Unicode's."""
+    texts = ["plain", None, "", "siehe https://x.de/ä?q=é#ü für mehr", "HTTPS://X.JP/東京。次 www.é.fr", "naïve café, no link", "http://a.b/c|http://d", "wwwx www. www.é", "\U0001f600https://x/\U0001f600"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    url = re.compile(r"(?i)(?:https?://|www\.)[\w\-._~:/?#\[\]@!$&'()*+,;=%]+")
+    got = {r.doc_id: r.text for r in QUERIES["url_mask"](spark, str(tmp_path)).collect()}
+    assert got == {k: t if t is None else url.sub("<URL>", t) for k, t in enumerate(texts)}
+    assert QUERIES["url_mask"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()

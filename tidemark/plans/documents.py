@@ -41,8 +41,7 @@ def noise_phrases(spark, sf_dir):
 
 @query(r"SELECT doc_id, regexp_replace(text, '(?i)(?:https?://|www\.)[A-Za-z0-9_\-._~:/?#\[\]@!$&''()*+,;=%]+', '<URL>', 'g') AS text FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
 def url_mask(spark, sf_dir):
-    """Texts in ASCII alone, where letters mean the same to both engines."""
-    return docs(spark, sf_dir).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", F.regexp_replace("text", C.URL, "<URL>").alias("text"))
+    return text(spark, sf_dir, F.regexp_replace("text", C.URL, "<URL>"))
 
 
 @query()
