@@ -4,6 +4,8 @@ import re
 
 import duckdb
 
+from tidemark.operators import regressor
+from tidemark.plans.market import BARS, DISC, INDEX
 from tidemark.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -33,3 +35,36 @@ def test_urls_are_masked_in_every_text(spark, tmp_path):
     got = {r.doc_id: r.text for r in QUERIES["url_mask"](spark, str(tmp_path)).collect()}
     assert got == {k: t if t is None else url.sub("<URL>", t) for k, t in enumerate(texts)}
     assert QUERIES["url_mask"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_all_codes_are_flattened(spark):
+    assert {r[0] for r in same(spark, "json_flatten", f"WITH {BARS} SELECT code, date, close::BIGINT AS close FROM bars", "lineitem")} == set(range(10))
+
+
+def test_next_day_of_all_bars(spark):
+    same(spark, "next_available_day", f"WITH {BARS}, x AS (SELECT DISTINCT date AS day FROM bars) SELECT a.day, min(b.day) AS next_day FROM x a JOIN x b ON b.day > a.day AND b.day <= a.day + 10 GROUP BY a.day", "lineitem")
+
+
+def test_index_days_of_every_code(spark):
+    rows = same(spark, "day_offset_semi", f"WITH {BARS}, {INDEX}, c AS (SELECT DISTINCT code FROM bars) SELECT code, idx.date, close FROM c, idx WHERE (code, idx.date) IN (SELECT (code, date) FROM bars)", "lineitem")
+    assert {r[0] for r in rows} == set(range(10))
+
+
+def test_distances_up_to_200_days(spark):
+    rows = same(spark, "day_distance", f"WITH {BARS}, {DISC} SELECT id, date_diff('day', disc.date, b.date) AS days FROM disc JOIN bars b ON b.code = disc.code WHERE date_diff('day', disc.date, b.date) BETWEEN -200 AND 200", "lineitem", "orders", "customer", "supplier")
+    assert min(d for _, d in rows) == -200 and max(d for _, d in rows) == 200
+
+
+def test_fitting_takes_no_prefix(spark, tmp_path, monkeypatch):
+    rows = [(k, [k / 3000.0] * 64, k % 10) for k in range(3000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, fit = [], regressor.fit
+
+    def watched(rows, epochs, most=regressor.MOST_ROWS):
+        seen.append((most, [r.id for r in rows.select("id").limit(200).collect()]))
+        return fit(rows, epochs=1, most=most)
+
+    monkeypatch.setattr(regressor, "fit", watched)
+    assert QUERIES["mlp_fitted"](spark, str(tmp_path)).count() == 3000
+    (most, ids), = seen
+    assert most == regressor.MOST_ROWS and max(ids) > 2000

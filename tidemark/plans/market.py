@@ -305,14 +305,15 @@ def forward_window_range_join(spark, sf_dir):
 @query(f"WITH {BARS}, {DISC} SELECT id, date_diff('day', disc.date, b.date) AS days FROM disc JOIN bars b ON b.code = disc.code WHERE date_diff('day', disc.date, b.date) BETWEEN -3 AND 3")
 def day_distance(spark, sf_dir):
     days = F.date_diff("bar_date", "date")
-    found = prices.around(entities.bars(spark, sf_dir), events(spark, sf_dir), F.date_sub("date", 3), F.date_add("date", 4))
+    found = prices.around(entities.bars(spark, sf_dir), events(spark, sf_dir), F.date_sub("date", 200), F.date_add("date", 201))
     return found.select("id", days.cast("bigint").alias("days"))
 
 
 @query(f"WITH {BARS}, {INDEX} SELECT idx.date, idx.close FROM idx WHERE date IN (SELECT date FROM bars WHERE code = 1)")
 def day_offset_semi(spark, sf_dir):
-    one = entities.bars(spark, sf_dir).where("code = 1").select("date")
-    return entities.index_bars(spark, sf_dir).join(one, "date", "left_semi").select("date", "close")
+    """Per code the index rows of its days; a code has a day once, so the join is a semi-join for each code."""
+    own = entities.bars(spark, sf_dir).select("code", "date")
+    return entities.index_bars(spark, sf_dir).join(own, "date").select("code", "date", "close")
 
 
 # --- the training set ---

@@ -113,7 +113,7 @@ def partition_counts(spark, sf_dir):
 
 @query(f"WITH {BARS}, x AS (SELECT DISTINCT date AS day FROM bars WHERE code = 1) SELECT a.day, min(b.day) AS next_day FROM x a JOIN x b ON b.day > a.day AND b.day <= a.day + 10 GROUP BY a.day")
 def next_available_day(spark, sf_dir):
-    return R.next_day(entities.bars(spark, sf_dir).where("code = 1"), "date")
+    return R.next_day(entities.bars(spark, sf_dir), "date")
 
 
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) rn FROM conversations) WHERE rn > 2 AND rn <= 4")
@@ -167,7 +167,7 @@ def json_get(spark, sf_dir):
 @query(f"WITH {BARS} SELECT code, date, close::BIGINT AS close FROM bars WHERE code <= 5")
 def json_flatten(spark, sf_dir):
     """Each series as a JSON text of records, and the records again."""
-    rows = entities.bars(spark, sf_dir).where("code <= 5").select("code", "date", F.col("close").cast("bigint").alias("close"))
+    rows = entities.bars(spark, sf_dir).select("code", "date", F.col("close").cast("bigint").alias("close"))
     text = rows.groupBy("code").agg(F.to_json(F.collect_list(F.struct("date", "close"))).alias("series"))
     return text.select("code", F.inline(F.from_json("series", "array<struct<date date, close bigint>>")))
 
