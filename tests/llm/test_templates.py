@@ -31,6 +31,22 @@ def test_one_page(page, want):
     assert templates.text_of(page, None) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *((f"<body><p>menu</p><article><div class='{c}'><h1>Title</h1></div><p>x</p></article></body>", "Title\n\nx") for c in ("article-header", "entry-header", "header", "post-footer", "related-work", "form-factor", "post has-comments")),
+        *((f"<body><p>menu</p><div {c}><article>Story of many words</article></div></body>", "Story of many words") for c in ("id=reader", "class=reader-content", "class=feedback")),
+        ("<body><p>menu</p><article class='feedback'>Story of many words</article></body>", "Story of many words"),
+        ("<body><div class=post-header><h1>Title</h1></div><p>x</p><div class=site-header>no</div><div class=related-posts>no</div></body>", "Title\n\nx"),
+        ("<body><article>Story of words</article><div class=ad><article>no</article></div></body>", "Story of words"),
+        ("<body><p>Story</p><div class=comment-list><article>a long answer of a reader to it</article></div></body>", "Story"),
+        ("<body><article>x<div class='wp-sidebar-2'>no</div><div class=feedback>no, although it is most of the page</div></article></body>", "x"),
+    ],
+)
+def test_names_drop_no_article(page, want):
+    assert templates.text_of(page, None) == want
+
+
 @pytest.fixture(scope="module")
 def site(spark):
     """A host whose article lies in an unnamed div between unnamed chrome; the chrome is told by the template alone."""

@@ -19,16 +19,22 @@ RAW = set("script style textarea title xmp iframe noembed noframes".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table div article section main body html aside nav header footer".split())
 
-#: What isn't the article by its tag, by its role, and by a word of its class or id.
+#: What isn't the article by its tag, by its role, and by the head word of its class or id.
 OTHER_TAGS = set("head nav footer aside form button select option textarea script style noscript template iframe svg math canvas object embed audio video map dialog menu search fieldset label title xmp noembed noframes".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist tooltip status".split())
-READERS = set("comment comments commentlist commentarea reply replies respond disqus reader readers feedback ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted promotion promotions".split())
+COMMENTS = set("comment comments commentlist commentarea reply replies respond disqus".split())
+AUDIENCE = set("reader readers feedback".split())
+READERS = COMMENTS | AUDIENCE | set("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted promotion promotions".split())
 CHROME = READERS | set(
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars sidenav aside widget widgets footer foot colophon header masthead topbar banner cookie cookies consent gdpr notice notices "
     "disclaimer popup modal overlay newsletter subscribe subscription signup signin login register share sharing sharebar social related recommended recommendation recommendations trending popular pagination pager "
     "paginator skip skiplink toolbar search searchbox form tags taglist copyright".split()
 )
 WRAPPERS = {"has", "with", "no", "without", "is"}
+#: Words that may follow the head word, head words that an article has itself, and what marks them as an article's.
+SUFFIXES = set("area bar block box button buttons container icons inner item items left link links list message post posts right section slot text unit widget widgets wrap wrapper".split())
+EDGES = set("header masthead footer foot colophon".split())
+OWNERS = set("article entry post story content".split())
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
@@ -48,18 +54,33 @@ def token_of(label: str, parent: int) -> int:
     return xxhash.xxh3_64_intdigest(label, parent & 0xFFFF_FFFF) - (1 << 63)
 
 
+@functools.lru_cache(maxsize=65536)
+def heads(names: str) -> frozenset[str]:
+    """The head word of each name, the last that isn't a suffix; none if a name only tells what the element has."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in NAME_PART.findall(name)]
+        if WRAPPERS & set(words):
+            return NO_NAMES
+        while len(words) > 1 and (words[-1].isdigit() or words[-1] in SUFFIXES):
+            words.pop()
+        if words and not (words[-1] in EDGES and OWNERS & set(words)):
+            found.add(words[-1])
+    return frozenset(found)
+
+
 class Element:
-    __slots__ = ("children", "known", "label", "names", "other", "parent", "tag", "token")
+    __slots__ = ("chars", "children", "known", "label", "names", "other", "parent", "tag", "token")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None) -> None:
-        self.tag, self.parent, self.children, self.known = tag, parent, [], None
+        self.tag, self.parent, self.children, self.known, self.chars = tag, parent, [], None, None
         if not attributes:
             self.label, self.names, self.other = tag, NO_NAMES, tag in OTHER_TAGS
             self.token = token_of(tag, parent.token if parent else 0)
             return
         self.label = ".".join([tag, *sorted(attributes.get("class", "").split()), *(["#" + attributes["id"]] if attributes.get("id") else [])])
         self.token = token_of(self.label, parent.token if parent else 0)
-        self.names = {n.lower() for n in NAME_PART.findall(attributes.get("class", "") + " " + attributes.get("id", ""))}
+        self.names = heads(attributes.get("class", "") + " " + attributes.get("id", ""))
         style = attributes.get("style", "").replace(" ", "").lower()
         self.other = (
             tag in OTHER_TAGS
@@ -93,11 +114,30 @@ class Element:
             return False
         if self.tag == "header":
             return not self.within("article", "main")
+        names = self.names & CHROME
+        if names & EDGES and self.within("article", "main"):
+            names = names - EDGES
         if self.tag == "article":
-            return bool(self.names & READERS)
-        if not self.names & CHROME or self.names & WRAPPERS:
+            names = names & READERS
+        if not names or names & READERS and self.holds("main"):
+            return False
+        if names & COMMENTS or names & READERS and self.within("article", "main"):
+            return True
+        if names & READERS:
+            return not ((names & AUDIENCE or self.tag == "article" or self.holds("article")) and self.is_most())
+        return not self.holds("article", "main")
+
+    def is_most(self) -> bool:
+        """Whether a block has over half of its page's characters; asked once the page is parsed."""
+        if self.tag not in BLOCKS:
             return False
-        return bool(self.names & READERS) or not self.holds("article", "main")
+        top = self
+        while top.parent is not None:
+            top = top.parent
+        if top.chars is None:
+            for e in reversed(list(elements(top))):
+                e.chars = len(own_text(e)) + sum(c.chars for c in e.children if isinstance(c, Element))
+        return 2 * self.chars > top.chars
 
 
 def attributes_of(text: str) -> dict[str, str]:
