@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -102,3 +103,23 @@ def test_windows_hold_the_mixture():
                 filled[p // 1024, q] += e - b
     assert seen.all()
     assert np.abs(filled[:-2] - 1024 * totals / totals.sum()).max() <= 2 * len(totals)
+
+
+def test_many_sources_keep_the_mixture(spark, monkeypatch):
+    """With more sources than queues: the named source and the large one are queues of their own, and pieces tell their source."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    monkeypatch.setattr(packing, "LARGE_SHARE", 0.25)
+    rows = [(k, "word " * 100, "large" if k % 3 == 0 else "named" if k % 3 == 1 and k % 2 else None if k == 5 else f"s{k}") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, mixture={"named": 0.5, "large": 0.25}, window=256).collect()
+    want = {k: "null" if s is None else f"={s}" for k, _, s in rows}
+    assert {(r.doc_id, r.source) for r in got} == set(want.items())
+    places = sorted((r.sequence_id * 256 + r.offset, r.length, r.source) for r in got)
+    assert all(a + n == b for (a, n, _), (b, _, _) in zip(places, places[1:], strict=False)) and places[0][0] == 0
+    early = Counter()
+    for r in got:
+        if r.sequence_id < 40:
+            early[r.source if r.source in ("=named", "=large") else "tail"] += r.length
+    tail = sum(len(t) for _, t, s in rows if s not in ("named", "large")) / sum(len(t) for _, t, _ in rows)
+    shares = {"=named": 0.5, "=large": 0.25, "tail": tail}
+    assert all(abs(early[s] / sum(early.values()) - w / sum(shares.values())) < 0.02 for s, w in shares.items())

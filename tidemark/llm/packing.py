@@ -20,14 +20,17 @@ with other weights an exhausted queue drops out and the rest share on.
 
 Null texts are empty and have the end id alone; a null source is a queue of
 its own; null doc_ids come first in their queue; repeated rows are all
-packed; an empty table gives no pieces. Over MAX_QUEUES sources share queues
-by a hash of their names, so that what each task is sent has a fixed bound.
+packed; an empty table gives no pieces. With over MAX_QUEUES / 2 sources, those
+of the mixture and those with at least LARGE_SHARE of the bytes still are
+queues of their own, and the others share MAX_QUEUES queues by a hash of their
+names, each with the weight of all its tokens, so that what each task is sent
+has a fixed bound.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +42,25 @@ from tidemark.llm import common, token_files
 WINDOW = 1024
 SCALE_BITS = 20
 MAX_QUEUES = 4096
+#: At most MAX_QUEUES / 2 sources can have that much.
+LARGE_SHARE = 2 / MAX_QUEUES
 
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("source", pa.string())])
 
 
-def queue_of(docs: DataFrame) -> Column:
-    """The queue's name; null and '' differ."""
+def name_of(source: str | None) -> str:
+    return "null" if source is None else f"={source}"
+
+
+def queue_of(docs: DataFrame, named: Iterable[str | None] = ()) -> tuple[Column, Column | None]:
+    """The queue's name and, where queues are shared, that of the source; null and '' differ."""
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-    many = docs.select(F.approx_count_distinct(name)).first()[0] > MAX_QUEUES // 2
-    return F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES))) if many else name
+    sizes = docs.groupBy(name.alias("name")).agg(F.sum(F.octet_length(common.text_of()) + 1).alias("size"))
+    if sizes.limit(MAX_QUEUES // 2 + 1).count() <= MAX_QUEUES // 2:
+        return name, None
+    least = LARGE_SHARE * sizes.agg(F.sum("size")).first()[0]
+    own = {r["name"] for r in sizes.where(F.col("size") >= least).collect()} | set(map(name_of, named))
+    return F.when(name.isin(sorted(own)), name).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)))), name
 
 
 class Rounds:
@@ -93,29 +106,30 @@ class Rounds:
 
 
 def pack(docs: DataFrame, path: str | None = None, mixture: Mapping[str | None, float] | None = None, window: int = WINDOW) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source (its queue).
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source (=name, or null).
 
     mixture: target share of tokens by source, null as None; absent sources get their share of the corpus.
     """
-    manifest = token_files.write_token_files(docs, path, key=queue_of(docs))
-    queues = manifest.groupBy("key").agg(F.sum("n_tokens").alias("n")).orderBy("key").collect()  # at most 2 * MAX_QUEUES rows
+    queue, name = queue_of(docs, mixture or ())
+    manifest = token_files.write_token_files(docs, path, key=queue, label=name)
+    queues = manifest.groupBy("key").agg(F.sum("n_tokens").alias("n")).orderBy("key").collect()  # at most 2 * MAX_QUEUES rows and those of the mixture
     place = {q["key"]: k for k, q in enumerate(queues)}
     totals = np.array([q["n"] for q in queues], np.int64)
     weights = totals / max(1, totals.sum())
     for source, share in (mixture or {}).items():
-        if (k := place.get("null" if source is None else f"={source}")) is not None:
+        if (k := place.get(name_of(source))) is not None:
             weights[k] = share
     rounds = Rounds(totals, weights, window)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for file in batch.to_pylist():
-                for key, doc_id, base, ids in token_files.documents_of(file["path"], file["bases"]):
+                for key, label, doc_id, base, ids in token_files.documents_of(file["path"], file["bases"]):
                     data = memoryview(ids.astype("<u4").tobytes())
                     begin, at = rounds.pieces(place[key], base, len(ids))
                     begin = (begin - base).tolist()
                     for b, e, p in zip(begin, [*begin[1:], len(ids)], at.tolist(), strict=True):
-                        yield doc_id, b, e - b, zlib.crc32(data[4 * b : 4 * e]), len(ids), p // window, p % window, key
+                        yield doc_id, b, e - b, zlib.crc32(data[4 * b : 4 * e]), len(ids), p // window, p % window, label
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return common.rows_to_batches(rows(batches), PIECES, 16384)
