@@ -83,6 +83,14 @@ def test_filter_keeps_one_of_each(odd_docs, no_docs):
     assert ngram_join.filter_documents(no_docs).count() == 0
 
 
+def test_a_repeated_row_merges_no_others(spark):
+    """Wordless rows of one id and null-id rows of equal text all stay, whether or not another row is repeated."""
+    rest = [(2, ""), (2, ""), (3, None), (3, None), (None, "no id has this text of words"), (None, "no id has this text of words"), (4, "one that stands alone among the others")]
+    for rows in (rest, [*rest, (1, "a b c d e f g"), (1, "a b c d e f g")]):
+        kept = ngram_join.filter_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+        assert Counter(map(tuple, kept.collect())) == Counter(rest) + Counter(set(rows) - set(rest))
+
+
 def test_large_groups_share_no_row_of_pairs(spark):
     """A group of exact copies and one of near copies, both large: the chunked tasks find all links."""
     base = [f"w{k}" for k in range(60)]

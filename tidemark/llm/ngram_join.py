@@ -438,5 +438,9 @@ def filter_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     gone = gone.withColumnsRenamed({"doc_id": "_gone_id", "text_hash": "_gone_hash"})
     marked = docs.withColumn("_hash", F.xxhash64(common.text_of()))
     left = marked.join(F.broadcast(gone) if few(gone) else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash")), "left_anti")
-    repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    return (left.dropDuplicates(["doc_id", "_hash"]) if repeated else left).drop("_hash")
+    repeated = common.stored(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_again_id"), F.col("text_hash").alias("_again_hash")), "join-repeated")
+    if repeated.limit(1).count():
+        again = F.broadcast(repeated) if few(repeated) else repeated
+        same = (F.col("doc_id").cast("long") == F.col("_again_id")) & (F.col("_hash") == F.col("_again_hash"))
+        left = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).union(left.join(again, same, "left_anti"))
+    return left.drop("_hash")
