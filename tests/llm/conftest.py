@@ -9,6 +9,7 @@ ODD = [
     (5, "naïve café — 東京 \U0001f600 test nbsp  two  blanks \n\n lines\r\nend "),
     (7, "It's the cat's don't we'll 12345 <|endoftext|> a1b2"),
     (7, "It's the cat's don't we'll 12345 <|endoftext|> a1b2"),
+    (10, "<|endoftext|><|endoftext|> \n<|endoftext|>x  <|endoftext|"),
     (8, "word " * 20000 + "end"),
     (9, "The cat sat on the mat. The cat sat on the mat."),
     (None, "no id here"),

@@ -1,10 +1,11 @@
 """Byte-level BPE ids of whole texts, with the merges of the tokenizers library.
 
-A text is split where the tokenizer's own pattern always splits it (before a
-blank that precedes a word, and around other white space), each distinct
-piece is merged once by the library's BPE model and its ids are remembered.
-The memory has a fixed number of pieces, so a task's size doesn't depend on
-its vocabulary.
+A text is first split at the tokenizer's added tokens, which have ids of
+their own. What lies between them is split where the tokenizer's own pattern
+always splits it (before a blank that precedes a word, and around other white
+space), each distinct piece is merged once by the library's BPE model and its
+ids are remembered. The memory has a fixed number of pieces, so a task's size
+doesn't depend on its vocabulary.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Marks that end a word: one of them behind letters is a part of its own.
+ENDS = frozenset(".,;:!?)]\"'")
 UNITS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -34,26 +37,33 @@ def byte_letters() -> list[str]:
 
 
 class Memory(dict):
-    """Ids of units as little-endian unsigned 32-bit integers; forgets all when full."""
+    """Ids of units as little-endian unsigned 32-bit integers; when full it becomes the elder memory, whose units come back when asked for."""
 
     def __init__(self, ids_of, limit: int) -> None:
-        self.ids_of, self.limit = ids_of, limit
+        self.ids_of, self.limit, self.elder = ids_of, limit, {}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.limit:
+            self.elder = dict(self)
             self.clear()
-        out = self[unit] = self.ids_of(unit)
+        out = self.elder.get(unit)
+        if out is None:
+            out = self.ids_of(unit)
+        self[unit] = out
         return out
 
 
 class Encoder:
-    """encode(text) gives all ids of a text as bytes, `<u4`."""
+    """encode(text) gives all ids of a text as bytes, `<u4`: those of the library's encode(text, add_special_tokens=False)."""
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {t: array("I", [k]).tobytes() for t, k in added.items()}
+        # the longest of those that begin at a place is taken
+        self.at_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
         self.merges, self.split = self.tokenizer.model.tokenize, regex.compile(PATTERN).findall
         self.letters = dict(enumerate(byte_letters()))
         self.blank = self.letters[ord(" ")]
@@ -70,16 +80,33 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """What follows a blank up to the next; a line end stands for itself, without a blank."""
-        if word[:1] == "\n":
-            return self.units["\n"] + self.units[word[1:]]
         if word.isalpha():
             letters = self.blank + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
             return array("I", [t.id for t in self.merges(letters)]).tobytes()
+        if word[:1] == "\n":
+            return self.units["\n"] + self.units[word[1:]]
+        if word[-1] in ENDS and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.units[word[-1]]
         first, *rest = self.split(" " + word)
         return (self.words[first[1:]] if first[1:].isalpha() else self.units[first]) + b"".join([self.units[p] for p in rest])
 
     def encode(self, text: str) -> bytes:
-        if text.split() != text.replace("\n", " ").split(" "):  # other white space than single blanks and line ends inside
+        if not self.at_added.search(text):
+            return self.plain(text)
+        out, at = [], 0
+        for m in self.at_added.finditer(text):
+            out += [self.plain(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.plain(text[at:])])
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        if not text:
+            return b""
+        flat = text.replace("\n", " ")
+        # what can be printed has no white space but blanks
+        single = "  " not in flat and flat[0] != " " != flat[-1] if flat.isprintable() else text.split() == flat.split(" ")
+        if not single:  # other white space than single blanks and line ends inside
             return b"".join(map(self.units.__getitem__, UNITS.findall(text)))
         first, *words = text.replace("\n", " \n").split(" ")
         return self.units[first] + b"".join(map(self.words.__getitem__, words))
