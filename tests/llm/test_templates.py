@@ -82,11 +82,93 @@ def test_classes_equal_brute_force(site):
     assert Counter((r.host, tuple(r.tokens)) for r in templates.classes(own).collect()) == want
 
 
-def test_valid_classes_nest(site):
-    own = templates.hosted(site)
-    found = {r.class_no: r for r in templates.nested(own, templates.classes(own)).collect()}
-    assert found and all(r.parent is None or r.parent in found or True for r in found.values())
-    assert any(r.parent is None for r in found.values())
+def brute_template(pages):
+    """A host's template from its pages' trees: valid classes as token -> (class, parent class), the static tokens, and the main element's token."""
+    roots = [html_text.parse(p) for p in pages]
+    sequences = [html_text.tokens(r) for r in roots]
+    counts, vectors = [Counter(s) for s in sequences], {}
+    for t in sorted(set().union(*counts)):
+        v = tuple(c[t] for c in counts)
+        if sum(map(bool, v)) >= max(3, len(pages) / 2):
+            vectors.setdefault(v, []).append(t)
+    classes = {v: set(ts) for v, ts in vectors.items() if len(ts) >= 2}
+    of = {t: v for v, ts in classes.items() for t in ts}
+    parents = {v: set() for v in classes}
+    for root in roots:
+        for e in html_text.elements(root):
+            up = e.parent
+            while up is not None and of.get(up.token, of.get(e.token)) == of.get(e.token):
+                up = up.parent
+            if e.token in of:
+                parents[of[e.token]].add(of[up.token] if up is not None else None)
+    valid = {}
+    for v, ts in classes.items():
+        runs = {tuple(t for t in s if t in ts) for s in sequences if any(t in ts for t in s)}
+        short = min(runs, key=len)[: len(ts)]
+        above = {min(parents[v], key=lambda p: (p is not None, p)) if parents[v] else None}
+        if set(short) == ts and all(r == short * (len(r) // len(ts)) for r in runs) and len(parents[v]) <= 1:
+            valid[v] = above.pop()
+    while lost := [v for v, p in valid.items() if p is not None and p not in valid]:
+        for v in lost:
+            del valid[v]
+    static = {t for v in classes for t in classes[v] if t & 1 and sum(map(bool, v)) >= 0.9 * len(pages) and len(pages) >= 5}
+    chars = Counter()
+    for root in roots:
+        for e, depth, n in html_text.slot_chars(root, static):
+            if of.get(e.token) in valid and set(of[e.token]) <= {0, 1}:
+                chars[e.token, e.tag, depth] += n
+    most = max(chars.values(), default=0)
+    half = [(k, n) for k, n in chars.items() if n > most / 2]
+    picks = [min((k[2], k[0]) for k, _ in half if k[1] == tag)[1] for tag in ("article", "main") if any(k[1] == tag for k, _ in half)]
+    picks += [max((k[2], k[0]) for k, n in half if n >= 0.95 * most)[1]] if half else []
+    return {t: (of[t], valid[of[t]]) for t in of if of[t] in valid}, {t for t in static if of[t] in valid}, picks[0] if picks else None
+
+
+@pytest.fixture(scope="module")
+def lists(spark):
+    """A host with a list of varying length nested in its frame, static notices in and around the text, and a class whose parent isn't valid."""
+    page = "<body><div class=top>{ad}</div><div class=text><h2>About {k}</h2><p>{words}</p><p>Read our terms</p></div><ul class=more>{items}</ul>{odd}<div class=end>All rights</div></body>"
+    rows = []
+    for k in range(9):
+        items = "".join(f"<li><p class=a>name {k} {j}</p><p class=b>note {k} {j}</p>" for j in range(1 + k % 3))
+        odd = ["<div class=u><div class=v><p class=w>x</p></div></div>", "<div class=v><div class=u><p class=w>x</p></div></div>"][k % 2]
+        rows.append((k, f"http://lists.example/{k}", page.format(k=k, ad=f"advert number {k}", words=" ".join(f"word{k}{j}" for j in range(900)), items=items, odd=odd)))
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_templates_equal_brute_force(site, lists):
+    nested = 0
+    for pages in (site, lists):
+        own = templates.hosted(pages)
+        found = templates.templates_of(own)
+        slots = {r.host: r for r in templates.main_slots(found).collect()}
+        by_host = {}
+        for r in own.collect():
+            by_host.setdefault(r.host, []).append(r.html)
+        for host, htmls in by_host.items():
+            rows = [r for r in found.collect() if r.host == host]
+            if len(htmls) < 3:
+                assert not rows
+                continue
+            template, static, main = brute_template(htmls)
+            number = {r.class_no: frozenset(r.tokens) for r in rows}
+            assert Counter(map(frozenset, number.values())) == Counter(frozenset(t for t in template if template[t][0] == v) for v in {v for v, _ in template.values()})
+            for r in rows:
+                (_, above), = {template[t] for t in r.tokens}
+                assert (r.parent is None) == (above is None) and (above is None or {template[t][0] for t in number[r.parent]} == {above})
+                nested += r.parent is not None
+            assert slots[host].main == main and set(slots[host].tokens) == static
+    assert nested > 0
+
+
+def test_static_text_goes_and_slots_are_told(lists):
+    got = {r.page_id: r.text for r in templates.extract(lists).collect()}
+    for k, text in got.items():
+        assert text == f"About {k}\n\n" + " ".join(f"word{k}{j}" for j in range(900))
+    slots = templates.slots(lists).where("page_id = 2").orderBy("place").collect()
+    texts = [r.text for r in slots]
+    assert texts[0] == "advert number 2" and "name 2 1" in texts and "Read our terms" not in texts and "All rights" not in texts
+    assert len({r.slot for r in slots if r.text.startswith("name")}) == 1
 
 
 def test_many_tokens_are_joined_by_host(site, monkeypatch):

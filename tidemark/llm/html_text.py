@@ -21,6 +21,8 @@ SCOPES = set("ul ol dl table div article section main body html aside nav header
 
 #: What isn't the article by its tag, by its role, and by the head word of its class or id.
 OTHER_TAGS = set("head nav footer aside form button select option textarea script style noscript template iframe svg math canvas object embed audio video map dialog menu search fieldset label title xmp noembed noframes".split())
+#: Of those, what may still hold text that a reader sees.
+SEEN = set("nav footer aside form menu search fieldset".split())
 OTHER_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist tooltip status".split())
 COMMENTS = set("comment comments commentlist commentarea reply replies respond disqus".split())
 AUDIENCE = set("reader readers feedback".split())
@@ -51,7 +53,7 @@ TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 
 @functools.lru_cache(maxsize=65536)
 def token_of(label: str, parent: int) -> int:
-    return xxhash.xxh3_64_intdigest(label, parent & 0xFFFF_FFFF) - (1 << 63)
+    return (xxhash.xxh3_64_intdigest(label, parent & 0xFFFF_FFFF) & ~1) - (1 << 63)
 
 
 @functools.lru_cache(maxsize=65536)
@@ -208,8 +210,8 @@ def iter_tags(page: str) -> Iterator[re.Match]:
             at = len(page) if end < 0 else end
 
 
-def blocks(top: Element) -> Iterator[str]:
-    """The texts of the blocks below an element, in page order, without what isn't an article's."""
+def blocks(top: Element, static: frozenset[int] = frozenset()) -> Iterator[str]:
+    """The texts of the blocks below an element, in page order, without what isn't an article's, nor elements' own texts whose token is static."""
     run: list[str] = []
 
     def flush() -> Iterator[str]:
@@ -217,7 +219,8 @@ def blocks(top: Element) -> Iterator[str]:
             yield text
         run.clear()
 
-    todo: list = [iter(top.children)]
+    kept = lambda e: iter([c for c in e.children if not isinstance(c, str)] if static and text_token(e) in static else e.children)
+    todo: list = [kept(top)]
     while todo:
         child = next(todo[-1], None)
         if child is None:
@@ -230,7 +233,7 @@ def blocks(top: Element) -> Iterator[str]:
                 yield from flush()
         else:
             yield from flush()
-            todo.append(iter(child.children))
+            todo.append(kept(child))
 
 
 def elements(top: Element) -> Iterator[Element]:
@@ -245,11 +248,33 @@ def own_text(element: Element) -> str:
     return " ".join("".join(c for c in element.children if isinstance(c, str)).split())
 
 
+def text_token(element: Element, text: str | None = None) -> int | None:
+    """The token of an element's own text: an odd number, as those of elements are even; none without text."""
+    text = own_text(element) if text is None else text
+    return (xxhash.xxh3_64_intdigest(text, element.token & 0xFFFF_FFFF) | 1) - (1 << 63) if text else None
+
+
 def tokens(root: Element) -> list[int]:
     """The page's tokens in order: each element by its path, and each element's own text with the path."""
     out = []
     for e in elements(root):
         out.append(e.token)
         if text := own_text(e):
-            out.append(xxhash.xxh3_64_intdigest(text, e.token & 0xFFFF_FFFF) - (1 << 63))
+            out.append(text_token(e, text))
     return out
+
+
+def slot_chars(root: Element, static: set[int] | frozenset[int]) -> list[tuple[Element, int, int]]:
+    """Every element that a reader sees, in page order, with its depth and the characters in and below it that aren't static."""
+    found: list[list] = []
+    todo: list[tuple[Element, list | None, int]] = [(root, None, 0)]
+    while todo:
+        e, up, depth = todo.pop()
+        text = own_text(e)
+        mine = [e, depth, 0 if not text or text_token(e, text) in static else len(text), up]
+        found.append(mine)
+        todo += [(c, mine, depth + 1) for c in reversed(e.children) if not isinstance(c, str) and (c.tag not in OTHER_TAGS or c.tag in SEEN)]
+    for _, _, chars, up in reversed(found):
+        if up is not None:
+            up[2] += chars
+    return [(e, depth, chars) for e, depth, chars, _ in found]

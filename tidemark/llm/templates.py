@@ -8,16 +8,24 @@ their own texts. Over the pages of one host
    Vectors are compared by digests that are summed over pages, so a host's
    pages never meet in one place;
 2. a class is valid if every page has its tokens in one order, repeated as
-   often as the vector says, inside an occurrence of one parent class; valid
-   classes nest into the host's template;
-3. what lies between the template's tokens are slots. The main slot is that of
-   the deepest element, once on a page, that holds nearly all the text of the
-   host's pages that isn't marked as other matter.
-
-A page's text are the blocks of its main slot, without menus, headers,
-footers, sidebars, notices, adverts, forms, scripts and comments by tag, role,
-class or id. A page whose host has no template, or that doesn't have the main
-slot, goes by its own tree alone: article, main, else the body.
+   often as the vector says, inside an occurrence of one parent class. Valid
+   classes nest: the template are those whose parents lead up to a class
+   without one, and what hangs on a class that isn't valid is no part of it;
+3. what lies between the template's tokens are slots, told by the innermost
+   element of the template around them; slots() gives the text of them all.
+   Texts that are tokens of the template themselves, on nearly every page of
+   the host, are its static text and belong to no slot;
+4. the main slots are those below one element of the template, found by what
+   slots hold and not by names: of the elements with over HALF of the host's
+   text in slots, the outermost article, else main, else the deepest that
+   has MOST of it.
+
+A page's text are the blocks of its main slots. Within them menus, adverts,
+forms, scripts and comments are left out by tag, role, class or id, since
+statistics can't tell a reader's comment from an author's text. A page whose
+host has no template, or that doesn't have the main element, goes by its own
+tree alone: article, main, else the body. A page of which only static text is
+left keeps that.
 
 Null or empty html gives the empty text. Pages without a host share the host
 ''. Repeated rows count as pages of their own; null page_ids are kept; other
@@ -37,8 +45,10 @@ from tidemark.llm import common, html_text
 
 #: A template needs so many pages; its tokens are on this share of them at least; its classes have so many tokens.
 MIN_PAGES, MIN_SUPPORT, MIN_TOKENS = 3, 0.5, 2
-#: The share of a host's main text that its main slot holds.
-MOST = 0.9
+#: Shares of a host's text that the main slots hold: within an article or main, and elsewhere.
+HALF, MOST = 0.5, 0.95
+#: Static text is on this share of a host's pages, of which there are so many.
+STATIC_SHARE, STATIC_PAGES = 0.9, 5
 #: Templates of so many tokens in all are sent to every task; more are joined by host.
 BROADCAST_TOKENS = 1_000_000
 SALTS = 16
@@ -72,8 +82,9 @@ def classes(pages: DataFrame) -> DataFrame:
     sizes = pages.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= MIN_PAGES)
     frequent = vectors.where(F.col("pages") >= MIN_PAGES).join(sizes, "host").where(F.col("pages") >= MIN_SUPPORT * F.col("host_pages"))
     # frequent tokens of a host are at most the mean page's tokens / MIN_SUPPORT
-    found = frequent.groupBy("host", "pages", "total", "xor", "sum").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return found.select("host", F.xxhash64("pages", "total", "xor", "sum").alias("class_no"), (F.col("total") == F.col("pages")).alias("once"), F.col("tokens"))
+    found = frequent.groupBy("host", "host_pages", "pages", "total", "xor", "sum").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    every = (F.col("host_pages") >= STATIC_PAGES) & (F.col("pages") >= STATIC_SHARE * F.col("host_pages"))
+    return found.select("host", F.xxhash64("pages", "total", "xor", "sum").alias("class_no"), (F.col("total") == F.col("pages")).alias("once"), every.alias("static"), "tokens")
 
 
 def with_classes(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -93,11 +104,11 @@ def order_of(sequence: list[int], size: int) -> tuple[int, ...] | None:
 
 
 def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """host, class_no, once, tokens in page order, parent (class or null), slots (token, chars): the valid classes.
+    """host, class_no, tokens in page order, parent (class or null), static, slots (token, tag, depth, chars): the valid classes.
 
-    chars: text of all pages in and below the token's element that isn't other matter.
+    slots are of elements that a page has once; chars: text of all pages in and below the element that isn't static.
     """
-    schema = pa.schema([("host", pa.string()), ("class_no", pa.int64()), ("order", pa.string()), ("parent", pa.int64()), ("token", pa.int64()), ("chars", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("class_no", pa.int64()), ("order", pa.string()), ("parent", pa.int64()), ("token", pa.int64()), ("tag", pa.string()), ("depth", pa.int64()), ("chars", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -108,6 +119,7 @@ def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
                 class_of = {t: c["class_no"] for c in known for t in c["tokens"]}
                 size = {c["class_no"]: len(c["tokens"]) for c in known}
                 once = {t for c in known if c["once"] for t in c["tokens"]}
+                static = {t for c in known if c["static"] for t in c["tokens"] if t & 1}
                 sequence: dict[int, list[int]] = {}
                 parents: dict[int, set[int | None]] = {}
                 for token in html_text.tokens(root):
@@ -122,12 +134,12 @@ def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
                 for number, tokens in sequence.items():
                     order, above = order_of(tokens, size[number]), parents.get(number, {None})
                     # the class's outermost elements tell its parent; deeper ones lie in classes nested in it
-                    yield host, number, "" if order is None else ",".join(map(str, order)), min(above, key=lambda p: (p is not None, p or 0)), None, 0
-                for e, chars in main_chars(root):
+                    yield host, number, "" if order is None else ",".join(map(str, order)), min(above, key=lambda p: (p is not None, p or 0)), None, None, None, 0
+                for e, depth, chars in html_text.slot_chars(root, static):
                     if e.token in once:
-                        yield host, class_of[e.token], None, None, e.token, chars
+                        yield host, class_of[e.token], None, None, e.token, e.tag, depth, chars
 
-    fields = "host string, class_no long, `order` string, parent long, token long, chars long"
+    fields = "host string, class_no long, `order` string, parent long, token long, tag string, depth long, chars long"
     seen = common.stored(with_classes(pages, found).select("host", "classes", "html").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), schema, 16384), fields), "template-orders")
     valid = (
         seen.where("order is not null")
@@ -135,8 +147,22 @@ def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
         .agg(F.min("order").alias("order"), F.max("order").alias("last"), F.min("parent").alias("parent"), F.max("parent").alias("other"))
         .where(F.col("order").eqNullSafe(F.col("last")) & (F.col("order") != "") & F.col("parent").eqNullSafe(F.col("other")))
     )
-    slots = seen.where("token is not null").groupBy("host", "class_no", "token").agg(F.sum("chars").alias("chars")).groupBy("host", "class_no").agg(F.collect_list(F.struct("token", "chars")).alias("slots"))
-    return valid.join(slots, ["host", "class_no"], "left").select("host", "class_no", F.split("order", ",").cast("array<bigint>").alias("tokens"), "parent", "slots")
+    each = seen.where("token is not null").groupBy("host", "class_no", "token", "tag", "depth").agg(F.sum("chars").alias("chars"))
+    slots = each.groupBy("host", "class_no").agg(F.collect_list(F.struct("token", "tag", "depth", "chars")).alias("slots"))
+    every = found.select("host", "class_no", "static")
+    return valid.join(slots, ["host", "class_no"], "left").join(every, ["host", "class_no"]).select("host", "class_no", F.split("order", ",").cast("array<bigint>").alias("tokens"), "parent", "static", "slots")
+
+
+def in_template(valid: DataFrame) -> DataFrame:
+    """The valid classes whose parents lead up to a class without a parent; nesting is as deep as pages' elements, so it's followed down level by level."""
+    level, kept = valid.where("parent is null"), None
+    while True:
+        level = common.stored(level, "template-level")
+        kept = level if kept is None else kept.unionByName(level)
+        if not level.limit(1).count():
+            return kept
+        # a class has one parent, so no class comes twice
+        level = valid.join(level.select("host", F.col("class_no").alias("parent")), ["host", "parent"], "left_semi").select(valid.columns)
 
 
 def main_chars(root: html_text.Element) -> list[tuple[html_text.Element, int]]:
@@ -157,15 +183,17 @@ def main_chars(root: html_text.Element) -> list[tuple[html_text.Element, int]]:
     return [(e, chars) for e, chars, _ in found]
 
 
-def main_slots(templates: DataFrame) -> DataFrame:
-    """host, tokens: the element of each template's main slot, alone; no row where there's none.
-
-    Of elements on every page with at least MOST of the largest text, that with the least text is the deepest; of equals the last in page order.
-    """
-    each = templates.where("slots is not null").select("host", F.posexplode("tokens").alias("place", "token"), "slots").select("host", "place", "token", F.element_at(F.map_from_entries("slots"), F.col("token")).alias("chars")).where("chars > 0")
+def main_slots(template: DataFrame) -> DataFrame:
+    """host, main (the element whose slots are the main ones, or null) and static (tokens of static text) of each template."""
+    each = template.select("host", F.explode("slots").alias("s")).select("host", "s.*").where("chars > 0")
     most = each.groupBy("host").agg(F.max("chars").alias("most"))
-    picked = each.join(most, "host").where(F.col("chars") >= MOST * F.col("most")).groupBy("host").agg(F.max_by("token", F.struct(-F.col("chars"), "place")).alias("token"))
-    return picked.select("host", F.array("token").alias("tokens"))
+    # elements with over half of the text lie in one another
+    nested = each.join(most, "host").where(F.col("chars") > HALF * F.col("most"))
+    outer = lambda tag: F.min_by("token", F.when(F.col("tag") == tag, F.col("depth")))
+    deepest = F.max_by("token", F.when(F.col("chars") >= MOST * F.col("most"), F.col("depth")))
+    main = nested.groupBy("host").agg(F.coalesce(outer("article"), outer("main"), deepest).alias("main"))
+    static = template.where("static").select("host", F.explode("tokens").alias("token")).where(F.col("token").bitwiseAND(F.lit(1)) == 1).groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("static"))
+    return main.join(static, "host", "full").select("host", "main", F.coalesce("static", F.array().cast("array<bigint>")).alias("tokens"))
 
 
 def deepest_article(root: html_text.Element) -> html_text.Element:
@@ -174,26 +202,71 @@ def deepest_article(root: html_text.Element) -> html_text.Element:
     return max(found, key=lambda p: (p[1], p[0].tag == "article"), default=(root, 0))[0]
 
 
-def text_of(page: str, main: int | None) -> str:
+def slot_of(root: html_text.Element, main: int | None) -> html_text.Element | None:
+    """The page's element with the main slots, unless it's other matter."""
+    found = next((e for e in html_text.elements(root) if e.token == main), None) if main is not None else None
+    up = found
+    while up is not None:
+        if up.is_other():
+            return None
+        up = up.parent
+    return found
+
+
+def text_of(page: str, main: int | None, static: frozenset[int] = frozenset()) -> str:
     root = html_text.parse(page)
-    slot = next((e for e, _ in main_chars(root) if e.token == main), root) if main is not None else root
-    return "\n\n".join(html_text.blocks(slot if slot.tag == "article" else deepest_article(slot)))
+    slot = slot_of(root, main)
+    top = slot if slot is not None and slot.tag in ("article", "main") else deepest_article(root if slot is None else slot)
+    return "\n\n".join(list(html_text.blocks(top, static)) or html_text.blocks(top))
 
 
 EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+SLOTS = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("slot", pa.int64()), ("place", pa.int64()), ("text", pa.string())])
+
+
+def templates_of(own: DataFrame) -> DataFrame:
+    """The classes of each host's template, stored. own: hosted() pages."""
+    found = common.stored(classes(own), "template-classes")
+    return common.stored(in_template(common.stored(nested(own, found), "template-valid")), "templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     own = hosted(pages)
-    found = common.stored(classes(own), "template-classes")
-    templates = common.stored(nested(own, found), "templates")
-    slots = common.stored(main_slots(templates), "template-slots")
+    slots = common.stored(main_slots(templates_of(own)), "template-slots")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for page_id, url, known, page in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("classes").to_pylist(), batch.column("html"), strict=True):
-                text = text_of(page.as_py(), known[0]["tokens"][0] if known else None)
+                text = text_of(page.as_py(), known[0]["main"], frozenset(known[0]["tokens"])) if known else text_of(page.as_py(), None)
                 yield page_id, url, text, len(text)
 
     return with_classes(own, slots).select("page_id", "url", "classes", "html").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), EXTRACTED), "page_id long, url string, text string, n_chars long")
+
+
+def slots(pages: DataFrame) -> DataFrame:
+    """page_id, host, slot, place and text: what is in every slot of every page whose host has a template, in page order. slot: the token of the innermost element of the template."""
+    own = hosted(pages)
+    template = templates_of(own).select("host", "class_no", "static", "tokens")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for page_id, host, known, page in zip(batch.column("page_id").to_pylist(), batch.column("host").to_pylist(), batch.column("classes").to_pylist(), batch.column("html"), strict=True):
+                if known:
+                    static = {t for c in known if c["static"] for t in c["tokens"] if t & 1}
+                    found = remaining(html_text.parse(page.as_py()), {t for c in known for t in c["tokens"]}, static)
+                    yield from ((page_id, host, slot, k, text) for k, (slot, text) in enumerate(found))
+
+    fields = "page_id long, host string, slot long, place long, text string"
+    return with_classes(own, template).select("page_id", "host", "classes", "html").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), SLOTS), fields)
+
+
+def remaining(root: html_text.Element, template: set[int], static: set[int]) -> Iterator[tuple[int, str]]:
+    """(slot, text) of what lies between a template's tokens on a page."""
+    todo: list[tuple[html_text.Element, int]] = [(root, root.token)]
+    while todo:
+        e, slot = todo.pop()
+        slot = e.token if e.token in template else slot
+        if (text := html_text.own_text(e)) and html_text.text_token(e, text) not in static:
+            yield slot, text
+        todo += [(c, slot) for c in reversed(e.children) if not isinstance(c, str) and (c.tag not in html_text.OTHER_TAGS or c.tag in html_text.SEEN)]
