@@ -1,7 +1,11 @@
 """Text chain, relational operators, streams and the regressor on small fixtures."""
 
+import os
+from datetime import date
+
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemark.functions import cleaning as C
@@ -89,6 +93,26 @@ def test_stream_adds_each_key_once_and_alerts_on_new_rows(spark, tmp_path):
     assert got == [("1", "増配"), ("2", "x"), ("3", "増配 two")] and seen == ["増配", "増配 two"]
 
 
+def test_stream_by_day_reads_its_days_alone(spark, tmp_path):
+    source, table, schema = str(tmp_path / "in"), str(tmp_path / "table"), "code string, title string, day date"
+    rows = lambda *r: spark.createDataFrame([(c, t, None if d is None else date(2024, 1, d)) for c, t, d in r], schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda alert=None: ingest.ingest(spark.readStream.schema(schema).parquet(source), table, ["day", "code", "title"], str(tmp_path / "offsets"), alert, "title", ["a"], day="day").awaitTermination()
+    rows(("1", "a", 1), ("1", "a", 1), ("2", "b", 2), ("3", "c", None))
+    run()
+    rows(("1", "a", 1), ("1", "a", 2), ("3", "c", None))
+
+    def fails(new):
+        raise ValueError("no alert today")
+
+    with pytest.raises(StreamingQueryException):
+        run(fails)
+    seen = []
+    run(lambda new: seen.extend(r.day.day for r in new.collect()))  # the failed batch again: its rows are in the table
+    got = sorted((r.code, r.title, r.day and r.day.day or 0) for r in spark.read.parquet(table).collect())
+    assert got == [("1", "a", 1), ("1", "a", 2), ("2", "b", 2), ("3", "c", 0)] and seen == []
+    assert sorted(os.listdir(tmp_path)) == ["in", "offsets", "table"]
+
+
 def test_days_are_replaced_or_merged(spark, tmp_path):
     path = str(tmp_path / "days")
     frame = lambda rows: spark.createDataFrame(rows, "code string, title string, seq int, day string").withColumn("day", F.to_date("day"))
@@ -114,6 +138,6 @@ def test_regressor_learns_and_its_gradient_is_right(spark):
     rows = spark.createDataFrame([(k, rng.normal(size=6).tolist(), rng.normal(size=4).tolist(), [float(k % 3), 1.0]) for k in range(64)], "id long, text_vector array<double>, features array<double>, targets array<double>")
     weights, losses = regressor.fit(rows, epochs=30)
     assert losses[-1] < losses[0]
-    got = {r.id: r.rates for r in regressor.predict(rows, weights).collect()}
+    got = {r.id: r.rates for r in regressor.predict(rows, weights, ("near", "far")).collect()}
     r = rows.first()
-    assert np.allclose(got[r.id], regressor.forward(weights, np.array([r.text_vector]), np.array([r.features]))[0][0])
+    assert np.allclose([got[r.id]["near"], got[r.id]["far"]], regressor.forward(weights, np.array([r.text_vector]), np.array([r.features]))[0][0])

@@ -55,16 +55,12 @@ def test_distances_up_to_200_days(spark):
     assert min(d for _, d in rows) == -200 and max(d for _, d in rows) == 200
 
 
-def test_fitting_takes_no_prefix(spark, tmp_path, monkeypatch):
+def test_fitting_takes_no_prefix(spark, tmp_path):
+    """The operator's own sample: by hash of id, the same for any order and partitioning of the rows."""
     rows = [(k, [k / 3000.0] * 64, k % 10) for k in range(3000)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    seen, fit = [], regressor.fit
-
-    def watched(rows, epochs, most=regressor.MOST_ROWS):
-        seen.append((most, [r.id for r in rows.select("id").limit(200).collect()]))
-        return fit(rows, epochs=1, most=most)
-
-    monkeypatch.setattr(regressor, "fit", watched)
     assert QUERIES["mlp_fitted"](spark, str(tmp_path)).count() == 3000
-    (most, ids), = seen
-    assert most == regressor.MOST_ROWS and max(ids) > 2000
+    ids = spark.range(3000)
+    got = [r.id for r in regressor.sample(ids, 200).collect()]
+    assert len(got) == 200 and max(got) > 2000 and got == [r.id for r in regressor.sample(ids.orderBy("id", ascending=False).repartition(7), 200).collect()]
+    assert regressor.sample(ids).count() == 3000

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import indicators as I
 
@@ -58,9 +60,32 @@ def carried(days: tuple[int, ...] = HORIZONS) -> list[Column]:
     return [F.coalesce(*(F.col(f"rate_{d}") for d in reversed(days[: k + 1])), F.lit(NO_RATE)).alias(f"target_{days[k]}") for k in range(len(days))]
 
 
-def around(bars: DataFrame, events: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Events joined with the bars of their code from start to before end."""
-    return events.join(bars.withColumnRenamed("date", "bar_date"), "code").where((F.col("bar_date") >= start) & (F.col("bar_date") < end))
+def around(bars: DataFrame, events: DataFrame, start: Column, end: Column, span: int = 201) -> DataFrame:
+    """Events joined with the bars of their code from start to before end.
+
+    Days are dealt to buckets of `span` days, about the length of a window: an
+    event meets the bars of its code in the buckets that its window touches,
+    not the whole series.
+    """
+    bucket = lambda day: F.floor(F.unix_date(day) / span)
+    near = events.select("*", start.alias("_start"), end.alias("_end")).where("_start < _end")
+    near = near.select("*", F.explode(F.sequence(bucket("_start"), F.floor((F.unix_date("_end") - 1) / span))).alias("_bucket"))
+    dealt = bars.withColumnRenamed("date", "bar_date").withColumn("_bucket", bucket("bar_date"))
+    found = near.join(dealt, ["code", "_bucket"]).where((F.col("bar_date") >= F.col("_start")) & (F.col("bar_date") < F.col("_end")))
+    return found.select(*events.columns, *(c for c in dealt.columns if c not in ("code", "_bucket")))
+
+
+def with_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """Bars with macd and signal. A mean that feeds on its own last value has no window form; a code's series is as long as the days are many, so each goes to Python as one batch."""
+    fields = T.StructType([*bars.schema.fields, T.StructField("macd", T.DoubleType()), T.StructField("signal", T.DoubleType())])
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("date", kind="stable")
+        mean = lambda x, n: x.ewm(span=n, adjust=False).mean()
+        macd = mean(d["close"], fast) - mean(d["close"], slow)
+        return d.assign(macd=macd, signal=mean(macd, signal))
+
+    return bars.groupBy("code").applyInPandas(run, fields)
 
 
 def aligned_changes(left: DataFrame, right: DataFrame, by: str) -> DataFrame:

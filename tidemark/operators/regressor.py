@@ -1,7 +1,8 @@
 """A two-branch network: text vector and features to rates at all horizons.
 
-Fitting runs on a bounded sample of rows on the driver; prediction runs on the
-executors, batch by batch, with the weights (a few hundred kB, fixed by the
+Fitting runs on the driver, on a sample of at most MOST_ROWS rows: those with
+the least hash of id, which are spread over the whole table and are the same
+however it is partitioned. Prediction runs on the executors, batch by batch, with the weights (a few hundred kB, fixed by the
 layer sizes) sent along.
 """
 
@@ -12,6 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators import training
 
 MOST_ROWS = 20_000
 LAYERS = {"text": (128, 64), "features": (32,), "out": 9}
@@ -49,9 +53,14 @@ def gradients(w: dict[str, np.ndarray], text: np.ndarray, features: np.ndarray,
     return float(((out - targets) ** 2).mean()), g
 
 
+def sample(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """At most `most` rows, those with the least hash of id, in that order."""
+    return rows.orderBy(F.xxhash64("id"), "id").limit(most)
+
+
 def fit(rows: DataFrame, weights: dict[str, np.ndarray] | None = None, epochs: int = 10, batch: int = 32, rate: float = 1e-3, most: int = MOST_ROWS, seed: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Adam on at most `most` rows (text_vector, features, targets); weights to go on from, and the loss of each epoch."""
-    table = rows.select("text_vector", "features", "targets").limit(most).toPandas()
+    """Adam on at most `most` rows (id, text_vector, features, targets), taken by hash of id; weights to go on from, and the loss of each epoch."""
+    table = sample(rows, most).select("text_vector", "features", "targets").toPandas()
     text, features, targets = (np.array(table[c].tolist(), float) for c in ("text_vector", "features", "targets"))
     w = {k: v.copy() for k, v in (weights or start(text.shape[1], features.shape[1], targets.shape[1], seed)).items()}
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
@@ -70,8 +79,8 @@ def fit(rows: DataFrame, weights: dict[str, np.ndarray] | None = None, epochs: i
     return w, losses
 
 
-def predict(rows: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """id and predicted rates of rows (id, text_vector, features)."""
+def predict(rows: DataFrame, weights: dict[str, np.ndarray], names: tuple[str, ...] = training.TARGETS) -> DataFrame:
+    """id and rates, a map from each target's name to its predicted rate, of rows (id, text_vector, features)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -79,4 +88,5 @@ def predict(rows: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
                 out, _ = forward(weights, np.array(b["text_vector"].tolist(), float), np.array(b["features"].tolist(), float))
                 yield pd.DataFrame({"id": b["id"], "rates": out.tolist()})
 
-    return rows.select("id", "text_vector", "features").mapInPandas(run, "id long, rates array<double>")
+    found = rows.select("id", "text_vector", "features").mapInPandas(run, "id long, rates array<double>")
+    return found.select("id", training.named(F.col("rates"), names).alias("rates"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import guarded_corr, percent_change
 from tidemark.operators import fundamentals, prices
 
-FEATURES = ("eps", "roe", "per", "pbr", "cap_log", "rsi14", "ma50", "ma200", "upper", "lower", "pr14", "adx14", "atr", "index_corr", "growth_corr")
-LAST = ("rsi14", "ma50", "ma200", "upper", "lower", "pr14", "adx14")
+# --- fixed values: the features and targets in the network's order ---
+
+FEATURES = ("eps", "roe", "per", "pbr", "cap_log", "index_corr", "growth_corr", "rsi14", "ma50", "ma200", "atr", "macd", "signal", "upper", "lower", "pr14", "adx14")
+TARGETS = tuple(f"rate_{d}" for d in prices.HORIZONS)
+#: Indicators whose last value is looked for in the days before the event alone, and in the whole series up to it.
+LAST_NEAR, LAST_EVER = ("rsi14", "ma50", "ma200"), ("macd", "signal", "upper", "lower", "pr14", "adx14")
 DAYS_BACK = 200
 
 
@@ -19,22 +23,62 @@ def ratios_at(events: DataFrame, statements: DataFrame, bars: DataFrame) -> Data
     return fundamentals.ratios(fundamentals.imputed(fundamentals.as_of(events, statements)).join(opening, ["code", "date"]))
 
 
-def features(events: DataFrame, statements: DataFrame, bars: DataFrame, index: DataFrame, growth: DataFrame) -> DataFrame:
-    """id, date, code and FEATURES. Indicators come from the whole series and are then cut to the days before the event."""
+def by_ordinal(window: DataFrame, indices: DataFrame) -> DataFrame:
+    """The bars of each event's window with the indices' changes of the day at the same place among the indices' days in it, if the event's code has a bar that day.
+
+    indices: a row a day (date, index_change, growth_change), so it's broadcast whole.
+    """
+    days = indices.withColumn("ordinal", F.row_number().over(Window.orderBy("date")))
+    span = indices.agg(F.min("date").alias("low"), F.max("date").alias("high")).select(F.explode(F.sequence(F.date_sub("low", DAYS_BACK + 1), F.col("high"))).alias("date"))
+    following = Window.orderBy("date").rowsBetween(0, Window.unboundedFollowing)
+    begin = span.join(days.select("date", "ordinal"), "date", "left").select(F.date_add("date", DAYS_BACK).alias("date"), F.first("ordinal", ignorenulls=True).over(following).alias("begin"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("bar_date"))
+    placed = window.withColumn("place", place).join(F.broadcast(begin), "date", "left").withColumn("ordinal", F.col("begin") + F.col("place") - 1)
+    paired = placed.join(F.broadcast(days.withColumnRenamed("date", "index_date")), "ordinal", "left")
+    own = window.select("id", F.col("bar_date").alias("index_date"), F.lit(True).alias("held"))
+    found = paired.join(own, ["id", "index_date"], "left")
+    return found.select("id", "bar_date", "atr14", "change", *(F.when(F.col("held"), F.col(c)).alias(c) for c in ("index_change", "growth_change")))
+
+
+def vector(record: dict[str, Column], keys: tuple[str, ...]) -> Column:
+    """The values of named columns as an array in the order of keys, missing ones 0."""
+    return F.array(*(F.coalesce(record[k].cast("double"), F.lit(0.0)) if k in record else F.lit(0.0) for k in keys))
+
+
+def named(values: Column, keys: tuple[str, ...]) -> Column:
+    """An array as a map from keys, in their order, to its values."""
+    return F.map_from_arrays(F.array(*map(F.lit, keys)), values)
+
+
+def features(events: DataFrame, statements: DataFrame, bars: DataFrame, index: DataFrame, growth: DataFrame, align: str = "date") -> DataFrame:
+    """id, date, code and FEATURES of events on a trading day of their code with a statement.
+
+    bars: made once, as all features hang on them. An event's day is a bar of
+    its code, so the last values up to it are columns of that bar. align: by
+    `date`, or by `ordinal`, the place in the event's own series and in the
+    index's of the same days.
+    """
     daily = lambda rows, name: rows.select("date", percent_change("close", Window.orderBy("date")).alias(name))  # noqa: E731  a row a day
-    marked = prices.with_indicators(bars).join(daily(index, "index_change"), "date", "left").join(daily(growth, "growth_change"), "date", "left")
-    base = ratios_at(events, statements, bars)
-    window = prices.around(marked.select("code", "date", "change", "index_change", "growth_change", "atr14", *LAST), base.select("id", "code", "date"), F.date_sub("date", DAYS_BACK), F.date_add("date", 1))
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("bar_date"))).alias(c) for c in LAST]
-    technical = window.groupBy("id").agg(*last, F.avg("atr14").alias("atr"), guarded_corr("change", "index_change").alias("index_corr"), guarded_corr("change", "growth_change").alias("growth_corr"))
-    return base.select("id", "code", "date", "eps", "roe", "per", "pbr", "cap_log").join(technical, "id")
+    w = prices.series()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    near = Window.partitionBy("code").orderBy(F.unix_date("date")).rangeBetween(-DAYS_BACK, 0)
+    found = prices.with_indicators(prices.with_macd(bars.select("code", "date", "open", "high", "low", "close", "volume")))
+    last = found.select("code", "date", "change", "atr14", *(F.last(c, ignorenulls=True).over(near if c in LAST_NEAR else upto).alias(c) for c in LAST_NEAR + LAST_EVER))
+    base = ratios_at(events, statements, bars).select("id", "code", "date", "eps", "roe", "per", "pbr", "cap_log")
+    marked = last.select("code", "date", "change", "atr14")
+    indices = daily(index, "index_change").join(daily(growth, "growth_change"), "date", "full")
+    window = prices.around(marked, base.select("id", "code", "date"), F.date_sub("date", DAYS_BACK), F.date_add("date", 1)).select("id", "date", "bar_date", "change", "atr14")
+    window = by_ordinal(window, indices) if align == "ordinal" else window.join(F.broadcast(indices.withColumnRenamed("date", "bar_date")), "bar_date", "left")
+    technical = window.groupBy("id").agg(F.avg("atr14").alias("atr"), guarded_corr("change", "index_change").alias("index_corr"), guarded_corr("change", "growth_change").alias("growth_corr"))
+    return base.join(technical, "id").join(last.drop("change", "atr14"), ["code", "date"]).select("id", "code", "date", *FEATURES)
 
 
 def work_set(feats: DataFrame, events: DataFrame, bars: DataFrame, documents: DataFrame) -> DataFrame:
-    """id, features, targets, document: features missing are 0, targets are carried forward, events without a bar or a document are dropped."""
+    """id, features, targets, document: features missing are 0, targets are carried forward; events without a bar or a document, or without any rate, are dropped.
+
+    documents: id and document, the text of each event.
+    """
     targets = prices.change_rates(bars).select("code", "date", *prices.carried())
-    n = documents.count()
-    texts = documents.select(F.col("doc_id").alias("place"), F.col("text").alias("document")).where("document is not null")
-    vector = F.array(*(F.coalesce(F.col(c), F.lit(0.0)) for c in FEATURES)).alias("features")
     goal = F.array(*(F.col(f"target_{d}") for d in prices.HORIZONS)).alias("targets")
-    return feats.join(targets, ["code", "date"]).withColumn("place", F.col("id") % max(1, n)).join(texts, "place").select("id", vector, goal, "document")
+    whole = feats.join(targets, ["code", "date"]).join(documents.where("document is not null"), "id")
+    return whole.select("id", vector({c: F.col(c) for c in FEATURES}, FEATURES).alias("features"), goal, "document").where(~F.exists("targets", lambda t: t == prices.NO_RATE))

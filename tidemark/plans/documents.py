@@ -39,7 +39,7 @@ def noise_phrases(spark, sf_dir):
     return text(spark, sf_dir, C.without_noise(F.col("text")))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '(?i)(?:https?://|www\.)[A-Za-z0-9_\-._~:/?#\[\]@!$&''()*+,;=%]+', '<URL>', 'g') AS text FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+@query()
 def url_mask(spark, sf_dir):
     return text(spark, sf_dir, F.regexp_replace("text", C.URL, "<URL>"))
 

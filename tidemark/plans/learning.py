@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import regressor
 from tidemark.plans.catalogue import query
 from tidemark.sources import entities
+from tidemark.sources.store import shared_dir
 from tidemark.streaming import ingest
 
 
@@ -27,26 +26,19 @@ def mlp_forward(spark, sf_dir):
 
 @query()
 def mlp_fitted(spark, sf_dir):
-    """Predictions after fitting on at most MOST_ROWS rows by a hash of id; their order is fixed, so the weights don't depend on tasks."""
+    """Predictions after fitting on at most MOST_ROWS rows by a hash of id; the weights don't depend on tasks."""
     rows = samples(spark, sf_dir)
-    weights, _ = regressor.fit(rows.orderBy(F.xxhash64("id"), "id"), epochs=3)
+    weights, _ = regressor.fit(rows, epochs=3)
     return regressor.predict(rows, weights)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     """The events' keys as a stream ingests them: each new key once."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    at = f"{root.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
-    source = entities.table(spark, sf_dir, "events").select("user_id", "event_type")
-    stream = spark.readStream.schema(entities.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(*[p for p in source_dirs(spark, sf_dir)])
-    ingest.ingest(stream.select("user_id", "event_type"), f"{at}/table", ["user_id", "event_type"], f"{at}/offsets").awaitTermination()
-    return spark.read.schema(source.schema).parquet(f"{at}/table")
-
-
-def source_dirs(spark, sf_dir):
-    """A folder of event files for a stream, which reads folders: the table written anew in two parts."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    at = f"{root.rstrip('/')}/tidemark/events-{uuid.uuid4().hex}"
-    entities.table(spark, sf_dir, "events").repartition(2, "event_id").write.parquet(at)
-    return [at]
+    rows = entities.table(spark, sf_dir, "events").select("user_id", "event_type")
+    # a stream reads folders: the table written anew in two parts
+    source, at = shared_dir(spark, "events"), shared_dir(spark, "stream")
+    rows.repartition(2, "user_id").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    ingest.ingest(stream, f"{at}/table", ["user_id", "event_type"], f"{at}/offsets").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/table")

@@ -9,6 +9,7 @@ from tidemark.functions.indicators import ewm_last, guarded_corr, macd_last, per
 from tidemark.operators import fundamentals, prices, training
 from tidemark.plans.catalogue import query
 from tidemark.sources import entities
+from tidemark.sources.store import stored
 
 # --- SQL pieces of the oracles ---
 
@@ -211,10 +212,12 @@ def target_vector(spark, sf_dir):
     return vector.select("code", "date", *(q4(F.col(f"target_{d}")).alias(f"target_{d}") for d in prices.HORIZONS))
 
 
-@query(f"WITH {BARS} SELECT code, arg_min(close, date)::BIGINT || ':' || arg_max(close, date)::BIGINT AS pair FROM bars GROUP BY code")
+@query(f"WITH {BARS}, r AS (SELECT code, date, close, {RATES} FROM bars) SELECT code, date, close::BIGINT || ':' || floor(rate_3 * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS pair FROM r WHERE rate_3 IS NOT NULL")
 def close_pairs(spark, sf_dir):
+    """Each bar's close and its forward rate of three bars, in hundredths, as `close:rate`."""
     text = lambda c: c.cast("bigint").cast("string")
-    return entities.bars(spark, sf_dir).groupBy("code").agg(F.concat_ws(":", text(F.min_by("close", "date")), text(F.max_by("close", "date"))).alias("pair"))
+    rates = prices.change_rates(entities.bars(spark, sf_dir), (3,)).where("rate_3 is not null")
+    return rates.select("code", "date", F.concat_ws(":", text(F.col("close")), text(F.floor(F.col("rate_3") * 100.0 + 0.5))).alias("pair"))
 
 
 # --- financials ---
@@ -298,18 +301,18 @@ def past_window_range_join(spark, sf_dir):
 
 @query(f"WITH {BARS}, {DISC} SELECT id, count(*) AS n, min(b.date) AS first_day, max(b.date) AS last_day FROM disc JOIN bars b ON b.code = disc.code AND b.date >= disc.date AND b.date < disc.date + INTERVAL 3 MONTH GROUP BY id")
 def forward_window_range_join(spark, sf_dir):
-    found = prices.around(entities.bars(spark, sf_dir), events(spark, sf_dir), F.col("date"), F.add_months("date", 3))
+    found = prices.around(entities.bars(spark, sf_dir), events(spark, sf_dir), F.col("date"), F.add_months("date", 3), 92)
     return found.groupBy("id").agg(F.count("*").alias("n"), F.min("bar_date").alias("first_day"), F.max("bar_date").alias("last_day"))
 
 
-@query(f"WITH {BARS}, {DISC} SELECT id, date_diff('day', disc.date, b.date) AS days FROM disc JOIN bars b ON b.code = disc.code WHERE date_diff('day', disc.date, b.date) BETWEEN -3 AND 3")
+@query(f"WITH {BARS}, {DISC} SELECT id, date_diff('day', disc.date, b.date) AS days FROM disc JOIN bars b ON b.code = disc.code WHERE date_diff('day', disc.date, b.date) BETWEEN -200 AND 200")
 def day_distance(spark, sf_dir):
     days = F.date_diff("bar_date", "date")
-    found = prices.around(entities.bars(spark, sf_dir), events(spark, sf_dir), F.date_sub("date", 200), F.date_add("date", 201))
+    found = prices.around(entities.bars(spark, sf_dir), events(spark, sf_dir), F.date_sub("date", 200), F.date_add("date", 201), 401)
     return found.select("id", days.cast("bigint").alias("days"))
 
 
-@query(f"WITH {BARS}, {INDEX} SELECT idx.date, idx.close FROM idx WHERE date IN (SELECT date FROM bars WHERE code = 1)")
+@query(f"WITH {BARS}, {INDEX}, c AS (SELECT DISTINCT code FROM bars) SELECT code, idx.date, close FROM c, idx WHERE (code, idx.date) IN (SELECT (code, date) FROM bars)")
 def day_offset_semi(spark, sf_dir):
     """Per code the index rows of its days; a code has a day once, so the join is a semi-join for each code."""
     own = entities.bars(spark, sf_dir).select("code", "date")
@@ -318,28 +321,56 @@ def day_offset_semi(spark, sf_dir):
 
 # --- the training set ---
 
-FEATURE_SQL = f"""WITH {INDICATORS}, {INDEX}, {GROWTH}, {FIN}, {TYPED}, {DISC}, {EVENTS}, {as_of_sql('<=')}, {imputed_sql('found')}, {RATIOS},
+EVER = "(PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)"
+NEAR = "(PARTITION BY code ORDER BY date RANGE BETWEEN INTERVAL 200 DAY PRECEDING AND CURRENT ROW)"
+MACD_ROWS = f"""n AS (SELECT code, date, close, row_number() OVER {W} rn FROM bars),
+m AS (WITH RECURSIVE t AS (SELECT code, date, rn, close AS f, close AS s, 0.0::DOUBLE AS g FROM n WHERE rn = 1
+  UNION ALL SELECT n.code, n.date, n.rn, t.f * (1 - 2.0::DOUBLE / 13) + n.close * (2.0::DOUBLE / 13), t.s * (1 - 2.0::DOUBLE / 27) + n.close * (2.0::DOUBLE / 27),
+    t.g * (1 - 2.0::DOUBLE / 10) + ((t.f * (1 - 2.0::DOUBLE / 13) + n.close * (2.0::DOUBLE / 13)) - (t.s * (1 - 2.0::DOUBLE / 27) + n.close * (2.0::DOUBLE / 27))) * (2.0::DOUBLE / 10)
+  FROM t JOIN n ON n.code = t.code AND n.rn = t.rn + 1) SELECT code, date, f - s AS macd, g AS signal FROM t)"""
+LASTS = ", ".join([f"last_value({c} IGNORE NULLS) OVER {NEAR} {c}" for c in training.LAST_NEAR] + [f"last_value({c} IGNORE NULLS) OVER {EVER} {c}" for c in training.LAST_EVER])
+FEATURE_SQL = f"""WITH {INDICATORS}, {MACD_ROWS}, {INDEX}, {GROWTH}, {FIN}, {TYPED}, {DISC}, {EVENTS}, {as_of_sql('<=')}, {imputed_sql('found')}, {RATIOS},
+l AS (SELECT code, date, {LASTS} FROM d JOIN m USING (code, date)),
 ic AS (SELECT date, (close / nullif(lag(close) OVER (ORDER BY date), 0) - 1) * 100 y FROM idx), gc AS (SELECT date, (close / nullif(lag(close) OVER (ORDER BY date), 0) - 1) * 100 z FROM grow),
-win AS (SELECT e.id, d.date bar_date, d.change, d.rsi14, d.ma50, d.ma200, d.atr14, d.upper, d.lower, d.pr14, d.adx14, ic.y, gc.z FROM ratio e JOIN d ON d.code = e.code AND d.date >= e.date - 200 AND d.date < e.date + 1
+win AS (SELECT e.id, d.change, d.atr14, ic.y, gc.z FROM ratio e JOIN d ON d.code = e.code AND d.date >= e.date - 200 AND d.date < e.date + 1
   LEFT JOIN ic ON ic.date = d.date LEFT JOIN gc ON gc.date = d.date),
-agg AS (SELECT id, {", ".join(f"arg_max({c}, bar_date) FILTER ({c} IS NOT NULL) {c}" for c in LATEST)}, avg(atr14) atr,
+agg AS (SELECT id, avg(atr14) atr,
   covar_pop(change, y) FILTER (change IS NOT NULL AND y IS NOT NULL) / nullif(stddev_pop(change) FILTER (y IS NOT NULL) * stddev_pop(y) FILTER (change IS NOT NULL), 0) index_corr,
   covar_pop(change, z) FILTER (change IS NOT NULL AND z IS NOT NULL) / nullif(stddev_pop(change) FILTER (z IS NOT NULL) * stddev_pop(z) FILTER (change IS NOT NULL), 0) growth_corr FROM win GROUP BY id)
-SELECT id, {", ".join(f"coalesce({sq4(c)}, 0) AS {c}" for c in ("eps", "roe", "per", "pbr", "cap_log", *LATEST, "index_corr", "growth_corr"))}, floor(atr * 100.0::DOUBLE + 0.3217::DOUBLE) / 100.0::DOUBLE AS atr
-FROM (SELECT id, eps, roe, per, pbr, ln(1 + cap) cap_log FROM ratio) JOIN agg USING (id)"""
+SELECT id, {", ".join(f"coalesce({sq4(c)}, 0) AS {c}" for c in training.FEATURES if c != "atr")}, floor(atr * 100.0::DOUBLE + 0.3217::DOUBLE) / 100.0::DOUBLE AS atr
+FROM (SELECT id, code, date, eps, roe, per, pbr, ln(1 + cap) cap_log FROM ratio) JOIN agg USING (id) JOIN l USING (code, date)"""
+
+
+def feature_rows(spark: SparkSession, sf_dir: str, align: str = "date") -> tuple[DataFrame, DataFrame]:
+    """The features of all disclosures, and the bars that they're made of: one pass over the trades for all bars, stored, and one for the statements."""
+    placed = stored(entities.placed_bars(spark, sf_dir), "bars")
+    growth = entities.merged_bars(placed.join(entities.growth_codes(spark, sf_dir), "code", "left_semi"))
+    return training.features(events(spark, sf_dir), statements(spark, sf_dir), placed.drop("first", "last"), entities.merged_bars(placed), growth, align), placed
 
 
 @query(FEATURE_SQL)
 def feature_vectors(spark, sf_dir):
-    """Fundamental, technical and correlation features of every disclosure, missing ones 0."""
-    found = training.features(events(spark, sf_dir), statements(spark, sf_dir), entities.bars(spark, sf_dir), entities.index_bars(spark, sf_dir), entities.growth_bars(spark, sf_dir))
+    """The network's 17 features of every disclosure, missing ones 0."""
+    found, _ = feature_rows(spark, sf_dir)
     # a mean of means often ends in halves: it's cut where no such mean falls
     shown = [F.coalesce(q4(F.col(c)), F.lit(0.0)).alias(c) for c in training.FEATURES if c != "atr"]
     return found.select("id", *shown, (F.floor(F.col("atr") * 100.0 + 0.3217) / 100.0).alias("atr"))
 
 
+@query(f"WITH {BARS}, {MACD_ROWS} SELECT code, date, {sq4('macd')} AS macd, {sq4('signal')} AS signal FROM m")
+def macd_series(spark, sf_dir):
+    """MACD and its signal at every bar."""
+    return prices.with_macd(entities.bars(spark, sf_dir)).select("code", "date", q4(F.col("macd")).alias("macd"), q4(F.col("signal")).alias("signal"))
+
+
 @query()
 def work_set(spark, sf_dir):
-    """id, features (an array in fixed order), targets and document of every disclosure that has them all."""
-    feats = training.features(events(spark, sf_dir), statements(spark, sf_dir), entities.bars(spark, sf_dir), entities.index_bars(spark, sf_dir), entities.growth_bars(spark, sf_dir))
-    return training.work_set(feats, events(spark, sf_dir), entities.bars(spark, sf_dir), entities.table(spark, sf_dir, "documents"))
+    """id, features (an array in fixed order), targets and document of every disclosure that has them all; its document is its customer's."""
+    feats, bars = feature_rows(spark, sf_dir)
+    return training.work_set(feats, events(spark, sf_dir), bars.drop("first", "last"), event_texts(spark, sf_dir))
+
+
+def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and document of every disclosure: the customer's document, by id. The plain tables have no better tie."""
+    texts = entities.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("customer"), F.col("text").alias("document"))
+    return entities.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")).join(texts, "customer").select("id", "document")

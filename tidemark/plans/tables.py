@@ -93,7 +93,7 @@ def name_code_lookup(spark, sf_dir):
     return needles.join(found, "needle").select("part", "code", "name")
 
 
-@query("SELECT o_orderkey AS id, coalesce(trim(regexp_replace(text, '[\\s]+', ' ', 'g')), '') AS text FROM orders LEFT JOIN documents ON doc_id = o_orderkey WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey AS id, coalesce(trim(regexp_replace(text, '[\\s]+', ' ', 'g')), '') AS text FROM orders LEFT JOIN documents ON doc_id = o_orderkey")
 def text_lookup_left(spark, sf_dir):
     docs = entities.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace("text", r"[\s]+", " ")).alias("text"))
     rows = entities.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
@@ -111,7 +111,7 @@ def partition_counts(spark, sf_dir):
     return disclosures(spark, sf_dir).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date_key")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {BARS}, x AS (SELECT DISTINCT date AS day FROM bars WHERE code = 1) SELECT a.day, min(b.day) AS next_day FROM x a JOIN x b ON b.day > a.day AND b.day <= a.day + 10 GROUP BY a.day")
+@query(f"WITH {BARS}, x AS (SELECT DISTINCT date AS day FROM bars) SELECT a.day, min(b.day) AS next_day FROM x a JOIN x b ON b.day > a.day AND b.day <= a.day + 10 GROUP BY a.day")
 def next_available_day(spark, sf_dir):
     return R.next_day(entities.bars(spark, sf_dir), "date")
 
@@ -164,7 +164,7 @@ def json_get(spark, sf_dir):
     return entities.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"))
 
 
-@query(f"WITH {BARS} SELECT code, date, close::BIGINT AS close FROM bars WHERE code <= 5")
+@query(f"WITH {BARS} SELECT code, date, close::BIGINT AS close FROM bars")
 def json_flatten(spark, sf_dir):
     """Each series as a JSON text of records, and the records again."""
     rows = entities.bars(spark, sf_dir).select("code", "date", F.col("close").cast("bigint").alias("close"))

@@ -43,15 +43,38 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ohlcv(trades(spark, sf_dir), "code", "date")
 
 
+def placed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars() with `first` and `last`, the places of their open and close, so that bars over many codes can be made of them."""
+    return trades(spark, sf_dir).groupBy("code", "date").agg(
+        F.min_by("price", "seq").alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", "seq").alias("close"),
+        F.sum("quantity").alias("volume"),
+        F.min("seq").alias("first"),
+        F.max("seq").alias("last"),
+    )
+
+
+def merged_bars(placed: DataFrame) -> DataFrame:
+    """A bar per date over all codes of placed_bars(): the same as of their trades."""
+    return placed.groupBy("date").agg(
+        F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"), F.sum("volume").alias("volume")
+    )
+
+
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ohlcv(trades(spark, sf_dir), "date")
 
 
-def growth_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars over the suppliers of one region; the region and nation tables have a fixed, tiny size and are broadcast."""
+def growth_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of one region; the region and nation tables have a fixed, tiny size and are broadcast."""
     nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region").where(F.col("r_name") == GROWTH_REGION)), F.col("n_regionkey") == F.col("r_regionkey"))
-    codes = table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("s_suppkey").alias("code"))
-    return ohlcv(trades(spark, sf_dir).join(codes, "code", "left_semi"), "date")
+    return table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("s_suppkey").alias("code"))
+
+
+def growth_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ohlcv(trades(spark, sf_dir).join(growth_codes(spark, sf_dir), "code", "left_semi"), "date")
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:

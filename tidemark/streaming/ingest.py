@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.cleaning import holds_any
 from tidemark.operators.relational import new_rows, upsert
+from tidemark.sources.store import delete, exists
 
 
 def latest_per_key(stream: DataFrame, keys: Sequence[str], time: str, late: str = "1 day") -> DataFrame:
@@ -21,45 +23,55 @@ def alerts(rows: DataFrame, text: str, words: list[str]) -> DataFrame:
     return rows.where(holds_any(F.col(text), words))
 
 
-def ingest(stream: DataFrame, table: str, keys: Sequence[str], checkpoint: str, on_alert: Callable[[DataFrame], None] | None = None, text: str | None = None, words: list[str] | None = None) -> StreamingQuery:
-    """Appends the rows of each micro-batch whose key the table doesn't have; alerts see those rows alone.
+def ingest(
+    stream: DataFrame, table: str, keys: Sequence[str], checkpoint: str, on_alert: Callable[[DataFrame], None] | None = None, text: str | None = None, words: list[str] | None = None, day: str | None = None
+) -> StreamingQuery:
+    """Appends the rows of each micro-batch whose key the table doesn't have; alerts see those rows alone, once the table has them.
+
+    day: a key that is a date. The table is then laid out by it, and a batch
+    is compared with the days that it has rows of, not with the whole table.
 
     A batch that is run again after a failure finds its rows in the table and
-    adds nothing: the source's offsets advance only after the table has them.
+    adds nothing, so nobody is alerted twice; an alert that fails is not
+    repeated. The source's offsets advance only after the table has the rows.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.parquet(table) if exists(spark, table) else batch.limit(0)
-        new = new_rows(batch.dropDuplicates(list(keys)), known, keys).persist()
+        fresh = batch.dropDuplicates(list(keys))
+        known = spark.read.schema(batch.schema).parquet(table) if exists(spark, table) else batch.limit(0)
+        if day is not None:
+            days = [r[0] for r in batch.select(day).distinct().collect()]  # a batch's days are few
+            known = known.where(F.col(day).isin([d for d in days if d is not None]) | F.col(day).isNull())
+        # a cache would be made anew once the table has the rows, so they are put aside
+        aside = f"{table.rstrip('/')}-batch-{uuid.uuid4().hex}"
+        new_rows(fresh, known, keys).write.parquet(aside)
+        new = spark.read.schema(batch.schema).parquet(aside)
         try:
+            write = new.write.mode("append")
+            (write if day is None else write.partitionBy(day)).parquet(table)
             if on_alert is not None and text and words:
                 on_alert(alerts(new, text, words))
-            new.write.mode("append").parquet(table)
         finally:
-            new.unpersist()
+            delete(spark, aside)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path holds anything, in whatever store it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def store_days(rows: DataFrame, path: str, day: str, keys: Sequence[str], order: str, today: bool) -> None:
     """Writes each day's partition: rows replace it if it is today's, else they are merged in, the last of a key winning.
 
     Rows without a day are left out. Only the partitions that rows belong to are read and replaced.
     """
-    spark = rows.sparkSession
+    spark, staged = rows.sparkSession, None
     dated = rows.where(F.col(day).isNotNull()).withColumn("date_key", F.date_format(day, "yyyy-MM-dd"))
     if not today and exists(spark, path):
         days = dated.select("date_key").distinct()
         stored = spark.read.option("inferSchema", "false").schema(dated.schema).parquet(path).join(days, "date_key", "left_semi")
         merged = upsert(stored.select(dated.columns), dated, [*keys, "date_key"], order).select(dated.columns)
-        staged = f"{path.rstrip('/')}-staged"
-        merged.write.mode("overwrite").parquet(staged)
+        staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+        merged.write.parquet(staged)
         dated = spark.read.schema(dated.schema).parquet(staged)
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").parquet(path)
+    if staged is not None:
+        delete(spark, staged)
