@@ -52,13 +52,6 @@ def test_text(spark, f, text, want):
     assert one(spark, f, text) == want
 
 
-def test_sentences():
-    long = "これは二十文字より長いはずの文でありますから残ります。"
-    assert C.split_sentences(long + "短い。" + long) == [long, long]
-    assert C.split_sentences("（括弧の中。句点）" + long) == ["（括弧の中。句点）" + long]
-    assert C.split_sentences(None) == [] and C.split_sentences("（開いたまま。" + long) == ["（開いたまま。" + long]
-
-
 def test_upsert_keeps_first_place_and_last_value(spark):
     stored = spark.createDataFrame([("a", 1, "old"), ("b", 2, "old")], "k string, seq int, v string")
     new = spark.createDataFrame([("b", 1, "new"), ("c", 2, "new"), ("b", 3, "newer")], "k string, seq int, v string")

@@ -8,11 +8,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # --- fixed values: words and characters that results depend on ---
 
@@ -25,10 +22,7 @@ LOW_PRIORITY = ["目次", "会社概要", "沿革", "軌跡"]
 HEADERS = [r"お知らせ(?:」)?(?:の一部変更について|の一部訂正について)?", "ついてのお知らせ", "ついて", "お知らせ", "OVERVIEW", "業績サマリー Point", "百万円未満切捨て", r"証券コード(?:\:\s?|[ 　])[0-9]{4}"]
 CONTACTS = ["■本件に関するお問い合わせ先", "(?:【)?本件に関する(?:お)?問合せ(?:】)?", "お問い合わせ", "本資料に関するお問合せ先"]
 UNITS = ["百万円", "千万円", "億円", "百万", "万円", "千円", "万人", "円", "株", "%", "％", "㎡", "件", "号", "倍", "社", "人ポイント", "pt", "pp"]
-NOT_UNITS = (
-    "株主 株式 株当たり 株数 株価 株元 株券 社長 社名 社外 社員 社数 社宅 社内 社歴 人件費 人材 人口 人数 人員 人月 人時 人手 人物 "
-    "件数 件名 事件 案件 倍率 倍増 倍減 ポイント還元 ポイント制 ポイント数 ％表示 ％比率 ％変動"
-).split()
+NOT_UNITS = ["株主", "株式", "株当たり", "株数", "株価", "株元", "株券", "社長", "社名", "社外", "社員", "社数", "社宅", "社内", "社歴", "人件費", "人材", "人口", "人数", "人員", "人月", "人時", "人手", "人物", "件数", "件名", "事件", "案件", "倍率", "倍増", "倍減", "ポイント還元", "ポイント制", "ポイント数", "％表示", "％比率", "％変動"]
 EXTENSIONS = {"の末日": "EXT", "末日": "EXT", "末": "EXT", "下期": "TERM_EXT", "上期": "TERM_EXT", "1Q": "QUARTER1_EXT", "2Q": "QUARTER2_EXT", "3Q": "QUARTER3_EXT", "4Q": "QUARTER4_EXT", "第1四半期": "QUARTER1_EXT", "第2四半期": "QUARTER2_EXT", "第3四半期": "QUARTER3_EXT", "第4四半期": "QUARTER4_EXT", "中間期": "HALF_EXT", "通期": "ALL_EXT"}
 
 # --- fixed values: the parts that patterns are made of ---
@@ -189,28 +183,15 @@ def cleaned(c: Column) -> Column:
 # --- sentences, notices and rendering ---
 
 
-MARKS = re.compile("[（(）)。！!？?]")
+#: A sentence: characters and brackets with all they hold up to the next closing one, or to the text's end; then a mark, if one follows.
+SENTENCE = r"(?:[^（(。！!？?]++|[（(][^）)]*+(?:[）)]|\z))++[。！!？?]?"
+BLANKS = r"[\s\x1C-\x1F]+"
 
 
-def split_sentences(text: str | None, least: int = 21) -> list[str]:
+def sentences(c: Column, least: int = 21) -> Column:
     """Sentences of at least `least` characters once stripped. A full stop in brackets ends none; any closing bracket ends all brackets."""
-    found, start, inside = [], 0, False
-    for m in MARKS.finditer(text or ""):
-        if m[0] in "（(":
-            inside = True
-        elif m[0] in "）)":
-            inside = False
-        elif not inside:
-            found.append(text[start : m.end()])
-            start = m.end()
-    found.append((text or "")[start:])
-    return [s for s in map(str.strip, found) if len(s) >= least]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentences(texts: pd.Series) -> pd.Series:
-    """split_sentences() of a column: the state of brackets has no built-in form, so it runs on Arrow batches."""
-    return texts.map(split_sentences)
+    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, rf"(?U)^{BLANKS}|{BLANKS}\z", ""))
+    return F.filter(found, lambda s: F.length(s) >= least)
 
 
 def holds_any(c: Column, words: list[str]) -> Column:
@@ -284,3 +265,29 @@ def table_text(rows: Column) -> Column:
     lines = F.transform(rows, lambda r: F.concat(F.lit("「"), F.array_join(F.transform(r, cell), " | "), F.lit("」")))
     empty = F.coalesce(F.size(rows) < 1, F.lit(True)) | F.coalesce(F.size(F.get(rows, F.lit(0))) < 1, F.lit(True))
     return F.when(empty, F.lit("{'table': 『*』}")).otherwise(F.concat(F.lit("{'table': "), F.array_join(lines, " "), F.lit("}")))
+
+
+def without_table_text(text: Column, rows: Column) -> Column:
+    """A text without what a table (an array of rows of cells) repeats of it: from the first ten characters of its first row to the last ten of its last row, as short as can be."""
+    line = lambda r: F.array_join(F.filter(r, lambda x: F.coalesce(x, F.lit("")) != ""), " ")
+    quoted = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    first, last = F.substring(line(F.get(rows, F.lit(0))), 1, 10), F.right(line(F.element_at(rows, -1)), F.lit(10))
+    pattern = F.concat(F.lit("(?s)"), quoted(first), F.lit(".*?"), quoted(last))
+    return F.when((F.coalesce(text, F.lit("")) == "") | F.coalesce(F.size(rows) < 1, F.lit(True)), text).otherwise(trimmed(F.regexp_replace(text, pattern, F.lit(""))))
+
+
+def document_text(page_text: Column, tables: Column) -> Column:
+    """A page's text with its tables, an array of (top, text before, rows), from top to bottom: before each table the text above it without what the table repeats, and at last the page's own."""
+    placed = F.array_sort(tables, lambda a, b: F.when(a["top"] < b["top"], -1).when(a["top"] > b["top"], 1).otherwise(0))
+    part = lambda t: F.concat(F.when(F.coalesce(t["before"], F.lit("")) == "", F.lit("")).otherwise(F.concat(without_table_text(t["before"], t["rows"]), F.lit("\n\n"))), table_text(t["rows"]))
+    below = let(placed, lambda p: F.when(F.size(p) > 0, without_table_text(page_text, F.element_at(p, -1)["rows"])).otherwise(page_text))
+    return trimmed(F.array_join(F.concat(F.transform(placed, part), F.array(F.coalesce(below, F.lit("")))), "\n\n"))
+
+
+#: What stands for a document that couldn't be fetched, has no text, or failed.
+NOT_FETCHED, NO_TEXT, FAILED = "Failed to download PDF", "No readable text found", "★Error 想定外のエラーが発生しました: "
+
+
+def or_sentinel(text: Column, fetched: Column, error: Column) -> Column:
+    """A document's text, or what tells why there is none."""
+    return F.when(~F.coalesce(fetched, F.lit(False)), F.lit(NOT_FETCHED)).when(error.isNotNull(), F.concat(F.lit(FAILED), error)).when(F.coalesce(text, F.lit("")) == "", F.lit(NO_TEXT)).otherwise(text)

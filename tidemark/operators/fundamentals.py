@@ -43,3 +43,16 @@ def ratios(rows: DataFrame, price: str = "price") -> DataFrame:
     over = lambda c: F.when(F.col(c) > 0, F.col(price) / F.col(c))
     cap = F.col(price) * F.col("shares")
     return rows.select("*", over("eps").alias("per"), over("bps").alias("pbr"), cap.alias("cap"), F.log1p(cap).alias("cap_log"))
+
+
+def statement_ratios(statements: DataFrame, price: str = "price") -> DataFrame:
+    """eps, bps, per, pbr and cap of quarterly statements (eps, bps, equity, total_shares, treasury_shares as text) with a price.
+
+    Blank is missing; treasury shares are 0 then. A missing bps is equity by outstanding shares.
+    """
+    n = {c: number(c) for c in ("eps", "bps", "equity", "total_shares", "treasury_shares")}
+    shares = n["total_shares"] - F.coalesce(n["treasury_shares"], F.lit(0.0))
+    bps = F.when(F.coalesce(F.trim("bps"), F.lit("")) == "", F.try_divide(n["equity"], shares)).otherwise(n["bps"])
+    kept = [c for c in statements.columns if c not in n]
+    rows = statements.select(*kept, n["eps"].alias("eps"), bps.alias("bps"), shares.alias("shares"))
+    return rows.select(*kept, "eps", "bps", F.try_divide(price, "eps").alias("per"), F.try_divide(price, "bps").alias("pbr"), (F.col(price) * F.col("shares")).alias("cap"))

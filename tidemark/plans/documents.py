@@ -70,6 +70,25 @@ def clean_texts(spark, sf_dir):
     return text(spark, sf_dir, C.cleaned(F.col("text")))
 
 
+def notices(spark, sf_dir):
+    """Disclosures in Japanese, made of the orders: id and text."""
+    c = lambda e: e.cast("string")
+    key, total = F.col("o_orderkey"), F.format_number(F.floor("o_totalprice"), 0)
+    parts = [
+        F.lit("株式会社Ａ１２"), c(key), F.lit(" 証券コード："), c(key % 9000 + 1000), F.lit(" 業績予想の修正に関するお知らせ 当社は、"), F.year("o_orderdate"), F.lit("年"), F.month("o_orderdate"), F.lit("月期の業績について、売上高は "),
+        total, F.lit(" 百万円（前年同期比△"), c(key % 40), F.lit("％）となる見込みです。発表は令和"), c(key % 9 + 1), F.lit("年"), c(key % 12 + 1), F.lit("月"), c(key % 28 + 1), F.lit("日（月）午後3時30分です。"),
+        F.lit("対象期間は"), c(key % 12 + 1), F.lit("～12月で、"), F.year("o_orderdate"), F.lit("年度の第1四半期は1Qと呼びます。詳細は https://ir.example.jp/"), c(key), F.lit(" をご覧ください。"),
+        F.lit("お問い合わせ ir"), c(key), F.lit("@example.co.jp 電話 03-1234-"), F.lpad(c(key % 10000), 4, "0"), F.lit(" 以上"),
+    ]
+    return entities.table(spark, sf_dir, "orders").select(key.alias("id"), F.concat(*(p.cast("string") for p in parts)).alias("text"))
+
+
+@query()
+def clean_notices(spark, sf_dir):
+    """The whole chain, and the sentences that remain as a body, over Japanese disclosures."""
+    return notices(spark, sf_dir).select("id", C.cleaned(F.col("text")).alias("text"), C.body(F.col("text")).alias("body"))
+
+
 @query(sql("trim(regexp_replace(text, '[\\s]+', ' ', 'g'))"))
 def collapse_ws(spark, sf_dir):
     return text(spark, sf_dir, F.trim(F.regexp_replace("text", SPACES, " ")))

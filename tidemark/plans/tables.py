@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import q4
-from tidemark.operators import prices
+from tidemark.functions import cleaning as C
+from tidemark.operators import fundamentals, prices
 from tidemark.operators import relational as R
 from tidemark.plans.catalogue import query
 from tidemark.plans.market import BARS, DISC, FIN, W, sq4
-from tidemark.sources import entities
+from tidemark.sources import entities, pages
 
 
 def disclosures(spark, sf_dir):
@@ -30,11 +31,12 @@ def press_filter(spark, sf_dir):
     return R.kept(disclosures(spark, sf_dir), "code", {"title": EXCLUDED_TITLES}).select("id", "code", "title")
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE NOT regexp_matches(c_name, '(?i)(?:0{5}1)') AND NOT regexp_matches(substr(c_name, 10), '^[0-9]+$')")
+@query("SELECT c_custkey AS id, name FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN substr(c_name, 10) ELSE c_name END AS name FROM customer) WHERE NOT regexp_matches(name, '(?i)(?:0{5}1)') AND NOT regexp_matches(name, '^[0-9]+$')")
 def backfill_filter(spark, sf_dir):
-    """Customers whose name isn't excluded and whose name's rest isn't all digits."""
-    rows = entities.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return R.kept(rows, "id", {"name": ["0{5}1"]}).where(~F.substring("name", 10, 100).rlike("(?U)^\\d+$"))
+    """Customers whose name isn't excluded and isn't all digits; a third of the names here are."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.substring("c_name", 10, 100)).otherwise(F.col("c_name"))
+    rows = entities.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name.alias("name"))
+    return R.kept(rows, "id", {"name": ["0{5}1"]}).where(~F.col("name").rlike("(?U)^\\d+$"))
 
 
 @query(f"WITH {DISC} SELECT count(*) AS n, max(date) AS last_day FROM disc WHERE date > DATE '1998-01-01'")
@@ -48,10 +50,11 @@ def half_open_range(spark, sf_dir):
     return entities.table(spark, sf_dir, "events").where((day >= "2024-01-05") & (day < "2024-01-12")).select("event_id")
 
 
-@query(f"WITH {DISC} SELECT id, code, title FROM disc d WHERE d.date >= DATE '1997-01-01' AND NOT EXISTS (SELECT 1 FROM disc o WHERE o.date < DATE '1997-01-01' AND o.code IS NOT DISTINCT FROM d.code AND o.title IS NOT DISTINCT FROM d.title)")
+@query(f"WITH {DISC} SELECT id, code, title, day FROM (SELECT *, day(date) AS day FROM disc) d WHERE d.date >= DATE '1997-01-01' AND NOT EXISTS (SELECT 1 FROM disc o WHERE o.date < DATE '1997-01-01' AND o.code IS NOT DISTINCT FROM d.code AND o.title IS NOT DISTINCT FROM d.title AND day(o.date) = d.day)")
 def new_rows_anti(spark, sf_dir):
-    rows, cut = disclosures(spark, sf_dir), F.lit("1997-01-01").cast("date")
-    return R.new_rows(rows.where(F.col("date") >= cut), rows.where(F.col("date") < cut), ["code", "title"]).select("id", "code", "title")
+    """Disclosures whose code, title and day of the month no stored one has."""
+    rows, cut = disclosures(spark, sf_dir).withColumn("day", F.dayofmonth("date").cast("bigint")), F.lit("1997-01-01").cast("date")
+    return R.new_rows(rows.where(F.col("date") >= cut), rows.where(F.col("date") < cut), ["code", "title", "day"]).select("id", "code", "title", "day")
 
 
 @query(f"""WITH {DISC}, r AS (SELECT *, CASE WHEN date < DATE '1997-01-01' THEN 0 ELSE 1 END side FROM disc)
@@ -230,3 +233,61 @@ def null_normalised(spark, sf_dir):
     v = F.when(F.col("value") < 2, F.lit(float("nan"))).when(F.col("value") < 5, F.lit(float("inf"))).otherwise(F.col("value"))
     clean = F.when(F.isnan("v") | (F.abs("v") == float("inf")), None).otherwise(F.col("v"))
     return entities.table(spark, sf_dir, "events").select("event_id", v.alias("v")).select("event_id", clean.alias("value"))
+
+
+# --- reading numbers, names and errors ---
+
+
+@query("SELECT o_orderkey AS id, floor(o_totalprice)::DOUBLE AS total, NULL::DOUBLE AS other, 0.0::DOUBLE AS dividends, 0.0::DOUBLE AS splits FROM orders")
+def thousands_numbers(spark, sf_dir):
+    """Totals written with thousands separators, read again; what isn't a number is null; columns that a source lacks are 0."""
+    text = F.format_number(F.floor("o_totalprice"), 0)
+    rows = entities.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("t"))
+    return pages.with_constants(rows.select("id", pages.number(F.col("t")).alias("total"), pages.number(F.concat("t", F.lit("---"))).alias("other")))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_orderkey % 4 <> 0 THEN 'https://x/d/' || o_orderkey END AS url FROM orders")
+def title_path_split(spark, sf_dir):
+    plain = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).otherwise(F.concat("o_orderpriority", F.lit("=>/d/"), F.col("o_orderkey").cast("string")))
+    rows = entities.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), plain.alias("t"))
+    title, url = pages.title_and_path(F.col("t"), "https://x/")
+    return rows.select("id", title.alias("title"), url.alias("url"))
+
+
+@query(f"""WITH {FIN}, x AS (SELECT code, year, CASE WHEN code % 2 = 0 THEN NULL ELSE try_cast(eps AS DOUBLE) END AS e, try_cast(fin.equity AS DOUBLE) q, shares * 1.0::DOUBLE AS t, CASE WHEN code % 5 = 0 THEN NULL ELSE try_cast(bps AS DOUBLE) END b, code % 5 = 0 AS blank
+  FROM fin JOIN fin1 USING (code) WHERE fin1.y || '/03' = fin.year),
+y AS (SELECT code, year, e, t - code AS s, CASE WHEN blank THEN q / nullif(t - code, 0) ELSE b END AS bb FROM x)
+SELECT code, year, {sq4('e')} AS eps, {sq4('bb')} AS bps, {sq4('1000 / nullif(e, 0)')} AS per, {sq4('1000 / nullif(bb, 0)')} AS pbr, {sq4('1000 * s')} AS cap FROM y""")
+def statement_ratios(spark, sf_dir):
+    """Ratios of statements at a price of 1000; half of them have no eps, a fifth no bps."""
+    fin = entities.financials(spark, sf_dir)
+    shares = entities.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code"), F.concat(F.year("l_shipdate").cast("string"), F.lit("/03")).alias("year")).agg(F.sum("l_quantity").cast("bigint").alias("n"))
+    blank = lambda c, by: F.when(F.col("code") % by == 0, F.lit("")).otherwise(F.col(c)).alias(c)
+    rows = fin.join(shares, ["code", "year"]).select("code", "year", F.lit(1000.0).alias("price"), blank("eps", 2), blank("bps", 5), "equity", F.col("n").cast("string").alias("total_shares"), F.col("code").cast("string").alias("treasury_shares"))
+    return fundamentals.statement_ratios(rows).select("code", "year", *(q4(F.col(c)).alias(c) for c in ("eps", "bps", "per", "pbr", "cap")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'Failed to download PDF' WHEN event_id % 7 = 1 THEN '★Error 想定外のエラーが発生しました: ' || event_type WHEN event_id % 7 = 2 THEN 'No readable text found' ELSE event_type END AS text FROM events")
+def error_sentinels(spark, sf_dir):
+    k = F.col("event_id") % 7
+    text, error = F.when(k == 2, F.lit("")).otherwise(F.col("event_type")), F.when(k == 1, F.col("event_type"))
+    return entities.table(spark, sf_dir, "events").select("event_id", C.or_sentinel(text, k != 0, error).alias("text"))
+
+
+@query("SELECT conv_id, string_agg('above ' || turn || chr(10) || chr(10) || '{''table'': 「' || role || ' | ' || turn || '」}', chr(10) || chr(10) ORDER BY turn DESC) || chr(10) || chr(10) || 'below' AS text FROM conversations GROUP BY conv_id")
+def document_tables(spark, sf_dir):
+    """Each conversation as a page: a table per turn, later turns higher up, above each a text that repeats its table."""
+    cells = F.array(F.array("role", F.col("turn").cast("string")))
+    # first and last row are one, so what is repeated runs from its first to its last ten characters
+    own = F.concat("role", F.lit(" "), F.col("turn").cast("string"))
+    twice = F.concat(F.lit("above "), F.col("turn").cast("string"), F.lit(" "), F.left(own, F.lit(10)), F.lit(" "), F.right(own, F.lit(10)))
+    tables = F.collect_list(F.struct((-F.col("turn")).cast("double").alias("top"), twice.alias("before"), cells.alias("rows")))
+    return entities.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(tables.alias("t")).select("conv_id", C.document_text(F.lit("below"), F.col("t")).alias("text"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 13 < 12 AS alert, o_orderkey % 8 < 7 AS important FROM orders")
+def word_lists(spark, sf_dir):
+    """Whether a text has one of the words that alert, or of the important ones; each word of both lists is looked for."""
+    pick = lambda words: F.get(F.array(*map(F.lit, [*words, "なし"])), (F.col("o_orderkey") % (len(words) + 1)).cast("int"))
+    rows = entities.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("本日の"), pick(C.ALERTS), F.lit("です")).alias("a"), F.concat(F.lit("本日の"), pick(C.IMPORTANT), F.lit("です")).alias("i"))
+    return rows.select("id", C.holds_any(F.col("a"), C.ALERTS).alias("alert"), C.holds_any(F.col("i"), C.IMPORTANT).alias("important"))

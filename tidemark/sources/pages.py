@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.relational import until_empty_page
+
 LINK = '<a href="([^"]*)">([^<]*)</a>'
 #: The wrapper of a JSONP feed.
 JSONP = r"(?s)^\s*[\w.]+\((.*)\)\s*;?\s*$"
@@ -33,3 +37,92 @@ def articles(feed: Column) -> Column:
     return F.transform(
         body, lambda a: F.struct(F.substring(a["updated_at"]["time_iso_8601"], 12, 5).alias("time"), F.coalesce(F.trim(a["provider"]["name"]), F.lit("")).alias("name"), F.trim(a["title"]).alias("title"), a["text"].alias("text"))
     )
+
+
+# --- chained lists and detail pages ---
+
+#: Cells of these classes keep their text alone, the row that names the next page, and the labels of a detail page.
+PLAIN_CELLS = ["ct", "wmx300"]
+NEXT_ROW = r"(?is)<tr\b(?=[^>]*\bid\s*=\s*[\"']?loading\b)[^>]*\bdata-nx\s*=\s*[\"']([^\"']*)"
+WHEN, MATERIAL = "【日時】", "【資料】"
+#: A page whose link leads nowhere, and where the list goes on.
+DEAD_ENDS = {"td?y=1744095600&p=1&f=140120250408510906": "td?y=1744093800"}
+
+
+def plain(c: Column) -> Column:
+    """The text of a piece of HTML: tags and white space at its ends off, entities of markup resolved."""
+    text = F.regexp_replace(c, "<[^>]*>", "")
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.regexp_replace(text, name, mark)
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def list_rows(html: Column, least: int = 3) -> Column:
+    """The rows of a page's list, each an array of at least `least` cells. A cell with a link is 'text=>href', unless its class keeps it plain."""
+    table = F.regexp_extract(html, r"(?is)<table\b(?=[^>]*\bclass\s*=\s*[\"']?[^\"'>]*\bcs\b)[^>]*>(.*?)</table>", 1)
+    rows = F.regexp_extract_all(table, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    tag = lambda c: F.regexp_extract(c, "(?is)^<td[^>]*>", 0)
+    link = lambda c: F.regexp_extract(c, r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)", 1)
+    named = lambda c: F.regexp_extract(c, r"(?is)<a\b[^>]*>(.*?)</a>", 1)
+    bare = lambda c: tag(c).rlike(rf"(?i)\bclass\s*=\s*[\"']?[^\"'>]*\b(?:{'|'.join(PLAIN_CELLS)})\b")
+    cell = lambda c: F.when((link(c) != "") & ~bare(c), F.concat(plain(named(c)), F.lit("=>"), link(c))).otherwise(plain(c))
+    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<td[^>]*>.*?</td>"), F.lit(0)), cell))
+    return F.filter(cells, lambda r: F.size(r) >= least)
+
+
+def next_page(html: Column) -> Column:
+    """Where the list goes on; null at its end."""
+    link = F.replace(F.replace(F.replace(F.regexp_extract(html, NEXT_ROW, 1), F.lit("&amp;"), F.lit("&")), F.lit("/"), F.lit("")), F.lit("&pg=true"), F.lit(""))
+    for dead, onward in DEAD_ENDS.items():
+        link = F.when(link == dead, F.lit(onward)).otherwise(link)
+    return F.nullif(link, F.lit(""))
+
+
+def follow(spark: SparkSession, fetch: Callable[[str], str | None], start: str, most: int) -> tuple[str | None, DataFrame]:
+    """The next cursor and the pages (cursor, html) of a chain from start, `most` at most. fetch gives a page's HTML, or None where there is none; the chain is a few pages, one after another by nature."""
+    found, cursor = [], start
+    while cursor is not None and len(found) < most and (html := fetch(cursor)) is not None:
+        found.append((cursor, html))
+        page = spark.createDataFrame([found[-1]], "cursor string, html string")
+        cursor = page.select(next_page(F.col("html")).alias("next")).first()["next"]
+    return cursor, spark.createDataFrame(found, "cursor string, html string")
+
+
+def title_and_path(c: Column, base: str) -> tuple[Column, Column]:
+    """The title and URL of 'title=>/path'; without a path the URL is null."""
+    path = F.nullif(F.regexp_extract(c, r"=>(\S+)", 1), F.lit(""))
+    return F.regexp_replace(c, r"=>\S+", ""), F.concat(F.lit(base), F.regexp_replace(path, "^/", ""))
+
+
+def detail(html: Column) -> tuple[Column, Column]:
+    """The time and the PDF's link of a detail page; null where they are missing or can't be read."""
+    info = F.regexp_extract(html, r"(?is)<dl\b(?=[^>]*\bid\s*=\s*[\"']?info\b)[^>]*>(.*?)</dl>", 1)
+    after = lambda label: F.regexp_extract(info, rf"(?is)<dt[^>]*>\s*{label}\s*</dt>\s*<dd[^>]*>(.*?)</dd>", 1)
+    stamp = F.try_to_timestamp(plain(after(WHEN)), F.lit("yyyy年M月d日 H時m分"))
+    return F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.nullif(F.regexp_extract(after(MATERIAL), r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
+
+
+# --- quotes from pages ---
+
+QUOTE = ("open", "high", "low", "close", "volume")
+
+
+def number(c: Column) -> Column:
+    """A number that may have thousands separators; other text is null."""
+    return F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("double")
+
+
+def with_constants(bars: DataFrame) -> DataFrame:
+    """Bars with dividends and splits, which pages don't tell: 0."""
+    return bars.withColumns({"dividends": F.lit(0.0), "splits": F.lit(0.0)})
+
+
+def quotes(pages: DataFrame, most: int = 19) -> DataFrame:
+    """code, date and bars of pages (code, page, html), page from 1: those before a code's first page without rows, and `most` at most. A row is a date and five numbers; rows that tell of a split have fewer cells."""
+    rows = F.regexp_extract_all("html", F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    each = pages.where(F.col("page") <= most).select("code", "page", F.explode_outer(rows).alias("row"))
+    parts = each.select("code", "page", plain(F.regexp_extract("row", "(?is)<th[^>]*>(.*?)</th>", 1)).alias("day"), F.transform(F.regexp_extract_all("row", F.lit("(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), plain).alias("cells"))
+    day = F.to_date(F.try_to_timestamp("day", F.lit("yyyy年M月d日")))
+    held = F.coalesce((F.size("cells") == len(QUOTE)) & day.isNotNull(), F.lit(False))
+    kept = until_empty_page(parts.withColumn("held", held), F.col("held"), ["code"])
+    return with_constants(kept.select("code", day.alias("date"), *(number(F.get("cells", F.lit(k))).alias(c) for k, c in enumerate(QUOTE))))
