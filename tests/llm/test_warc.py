@@ -48,6 +48,17 @@ def test_round_trip(pages):
     assert {r.url for r in got if r.page_id == 4} == {"http://a/4%0D%0AEvil: 1"}
 
 
+@pytest.mark.parametrize("broadcast_rows", [1, 2, 1000])
+def test_copies_by_digest_and_by_broadcast(spark, pages, broadcast_rows):
+    """With few groups, with one group too many (the largest is sent, the other joined), and the same rows each time."""
+    more = pages.unionByName(spark.createDataFrame([(i, "u", "z" * 150, "clash", 1) for i in (21, 20, 22)] + [(i, None, "q" * 101, "clash", 1) for i in (31, 30)], pages.schema))
+    got = warc.with_revisits(more, broadcast_rows=broadcast_rows)
+    assert set(got.columns) == {"page_id", "url", "payload", "payload_digest", "refers_to"}
+    rows = sorted(((r.page_id, len(r.payload), r.refers_to) for r in got.collect()), key=str)
+    want = [(i, n, refers) for i, n, _, _, refers in brute()] + [(20, 150, None), (21, 150, 20), (22, 150, 20), (30, 101, None), (31, 101, 30)]
+    assert rows == sorted(want, key=str)
+
+
 def test_members_open_alone_and_in_a_row(pages):
     for row in warc.normalise(warc.write_archives(warc.with_revisits(pages))).collect():
         data = open(row.path.removeprefix("file:"), "rb").read()

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 MIN_REVISIT = 100
+BROADCAST_ROWS = 500_000
 PIECE = 1 << 20
 LEVEL = 6
 GZIP = 31  # window bits that mean a gzip wrapper
@@ -38,8 +39,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EOL, GAP = b"\r\n", b"\r\n\r\n"
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, payload, payload_digest and refers_to: the page of which a page is a copy, or null."""
+def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """page_id, url, payload, payload_digest and refers_to: the page of which a page is a copy, or null.
+
+    Only digests are grouped. Groups of copies are few and are sent to all
+    tasks; if they aren't, those are sent that have so many copies that no more
+    than broadcast_rows groups can, and the rest, none of them large, is joined
+    by digest. A page of a group that was sent has a key of its own there.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
     first = (
@@ -47,10 +54,18 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .where(F.col("copies") > 1)
-        .drop("copies")
     )
+    first = common.stored(first, "warc-copies")
+    n, copies = first.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     refers = F.when(F.col("first_id") != F.coalesce(F.col("page_id"), F.col("first_id") + 1), F.col("first_id"))
-    return base.join(first, "payload_digest", "left").withColumn("refers_to", refers).drop("first_id")
+    if n <= broadcast_rows:
+        return base.join(F.broadcast(first.drop("copies")), "payload_digest", "left").withColumn("refers_to", refers).drop("first_id")
+    many = copies // broadcast_rows + 1
+    sent = first.where(F.col("copies") >= many).select("payload_digest", F.col("first_id").alias("sent_id"), F.lit(True).alias("sent"))
+    rest = first.where(F.col("copies") < many).select(F.col("payload_digest").alias("key"), F.col("first_id").alias("rest_id"))
+    key = F.when(F.col("sent"), F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("payload_digest"))
+    both = base.join(F.broadcast(sent), "payload_digest", "left").withColumn("key", key).join(rest, "key", "left")
+    return both.withColumn("first_id", F.coalesce("sent_id", "rest_id")).withColumn("refers_to", refers).select("page_id", "url", "payload", "payload_digest", "refers_to")
 
 
 def urn(page_id: int | None) -> str:
