@@ -50,8 +50,9 @@ def words(rng, n):
     return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
 
 
-@pytest.mark.parametrize("stride", [1, 7, 10_000])
-def test_next_over_many_ranges(spark, stride):
+@pytest.mark.parametrize(("stride", "sampled"), [(1, 10**6), (7, 10**6), (10_000, 10**6), (7, 20), (1, 3)])
+def test_next_over_many_ranges(spark, stride, sampled, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SAMPLED_IDS", sampled)
     rng = random.Random(stride)
     ids = rng.sample(range(-(10**15), 10**15), 200)
     docs = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(7)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,25 +125,28 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-#: Documents between two boundaries of with_next(), and the most boundaries that are sent to the driver.
-STRIDE, MOST_STRIDES = 1000, 20_000
+#: Documents between two boundaries of with_next(), the most boundaries, and about how many ids are sent to the driver to find them.
+STRIDE, MOST_STRIDES, SAMPLED_IDS = 1000, 100_000, 1_000_000
 
 
 def with_next(docs: DataFrame, stride: int = STRIDE) -> DataFrame:
     """Each row with `next`: the row after it in ascending order of doc_id, nulls first (ties by text), after the last the first.
 
-    The ids are cut into ranges at quantiles, which are ids of the table, and
-    one shuffle brings each range together. The first row of a range goes to
-    the range before it as well, behind its last row, so no row needs another
-    range. At most MOST_STRIDES boundaries exist; beyond, ranges grow and sort
-    with spilling.
+    The ids are cut into ranges at the quantiles of a sample by hash, which are
+    ids of the table, and one shuffle brings each range together. The first row
+    of a range goes to the range before it as well, behind its last row, so no
+    row needs another range. The sample has about SAMPLED_IDS ids at most,
+    whatever the table's size, and decides on nothing but the ranges' sizes.
+    At most MOST_STRIDES boundaries exist; beyond, ranges grow and sort with
+    spilling.
     """
     order = ["doc_id", F.xxhash64("text"), "text"]
-    n = docs.count()
+    n, low = docs.agg(F.count("*"), F.min("doc_id")).first()
     strides = max(1, min(MOST_STRIDES, n // stride))
-    shares = ",".join(str(k / (strides + 1)) for k in range(1, strides + 1))
-    low = docs.agg(F.min("doc_id").alias("low"), F.expr(f"percentile_approx(doc_id, cast(split('{shares}', ',') as array<double>), {max(10_000, 20 * strides)})").alias("cuts")).first()
-    cuts = sorted({low["low"], *(low["cuts"] or [])} - {None}) or [0]
+    picked = docs.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLED_IDS))) == 0)
+    ids = np.unique(picked.select(F.col("doc_id").cast("long").alias("doc_id")).toArrow().column("doc_id").to_numpy())
+    places = np.linspace(0, len(ids), strides + 2)[1:-1].astype(np.int64) if len(ids) else []
+    cuts = sorted({low, *(ids[places].tolist() if len(ids) else [])} - {None}) or [0]
     steps = max(1, len(cuts)).bit_length()
     known = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded into one literal
     # binary search: the number of boundaries up to the id, less one; null ids are before all
