@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: computed once for all who use them."""
+    """The rows, written to the shared folder and read again: computed once for all who use them, with no lineage that a lost executor could break."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
