@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,12 +10,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder of its own, as in tests.
-LOCAL_SHARED = "/tmp/checkpoints"
+from tidemark.sources.store import shared_dir, stored
 
-#: Rows that go to Python at once: texts may be long, and the executor and its worker both hold a batch.
-BATCH_ROWS = 512
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+__all__ = ["BATCH_ROWS", "WORD", "WORD_GAP", "lasting", "map_batches", "open_dir", "rows_to_batches", "shared_dir", "stored", "table", "text_of"]
+
+#: Rows and bytes that go to Python at once, whichever is less: texts may be long, and the executor and its worker both hold a batch. A longer row goes alone.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+ROWS_SETTING, BYTES_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: The ASCII white space that separates words: blank and \t \n \v \f \r.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -27,19 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder that the driver and all executors can reach; it isn't created yet."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
-    return f"{root.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: it cuts the lineage and outlives executors."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def open_dir(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a folder of the shared store, made if absent; for use inside tasks."""
     system, path = fs.FileSystem.from_uri(uri)
@@ -48,10 +35,17 @@ def open_dir(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow() with batches of at most BATCH_ROWS rows; a session that allows more is set to that."""
+    """mapInArrow() with batches of at most BATCH_ROWS rows and BATCH_BYTES bytes.
+
+    Spark reads both bounds when it plans a job, so they can't be set for one
+    job alone: a session that allows more is set to these from now on.
+    """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
-        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    if not 0 < int(conf.get(ROWS_SETTING)) <= BATCH_ROWS:
+        conf.set(ROWS_SETTING, str(BATCH_ROWS))
+    held = conf.get(BYTES_SETTING)
+    if not held.isdecimal() or not 0 < int(held) <= BATCH_BYTES:
+        conf.set(BYTES_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 
 
