@@ -185,12 +185,12 @@ def cleaned(c: Column) -> Column:
 
 #: A sentence: characters and brackets with all they hold up to the next closing one, or to the text's end; then a mark, if one follows.
 SENTENCE = r"(?:[^（(。！!？?]++|[（(][^）)]*+(?:[）)]|\z))++[。！!？?]?"
-BLANKS = r"[\s\x1C-\x1F]+"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def sentences(c: Column, least: int = 21) -> Column:
     """Sentences of at least `least` characters once stripped. A full stop in brackets ends none; any closing bracket ends all brackets."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_replace(s, rf"(?U)^{BLANKS}|{BLANKS}\z", ""))
+    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s, F.lit(BLANKS)))
     return F.filter(found, lambda s: F.length(s) >= least)
 
 

@@ -13,7 +13,7 @@ from tidemark.operators import fundamentals, prices
 FEATURES = ("eps", "roe", "per", "pbr", "cap_log", "index_corr", "growth_corr", "rsi14", "ma50", "ma200", "atr", "macd", "signal", "upper", "lower", "pr14", "adx14")
 TARGETS = tuple(f"rate_{d}" for d in prices.HORIZONS)
 #: Indicators whose last value is looked for in the days before the event alone, and in the whole series up to it.
-LAST_NEAR, LAST_EVER = ("rsi14", "ma50", "ma200"), ("macd", "signal", "upper", "lower", "pr14", "adx14")
+LAST_NEAR, LAST_EVER = ("rsi14", "ma50", "ma200"), ("upper", "lower", "pr14", "adx14")
 DAYS_BACK = 200
 
 
@@ -61,16 +61,19 @@ def features(events: DataFrame, statements: DataFrame, bars: DataFrame, index: D
     daily = lambda rows, name: rows.select("date", percent_change("close", Window.orderBy("date")).alias(name))  # noqa: E731  a row a day
     w = prices.series()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    near = Window.partitionBy("code").orderBy(F.unix_date("date")).rangeBetween(-DAYS_BACK, 0)
-    found = prices.with_indicators(prices.with_macd(bars.select("code", "date", "open", "high", "low", "close", "volume")))
-    last = found.select("code", "date", "change", "atr14", *(F.last(c, ignorenulls=True).over(near if c in LAST_NEAR else upto).alias(c) for c in LAST_NEAR + LAST_EVER))
+    seen = lambda c: F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value"), "date")), ignorenulls=True).over(upto)
+    near = lambda s: F.when(s["date"] >= F.date_sub("date", DAYS_BACK), s["value"])
+    # every bar has a macd and a signal, so those of the event's day are the last
+    macd = prices.with_macd(bars.select("code", "date", "close")).drop("close")
+    found = prices.with_indicators(bars.select("code", "date", "open", "high", "low", "close", "volume"))
+    last = found.select("code", "date", "change", "atr14", *((near(seen(c)) if c in LAST_NEAR else F.last(c, ignorenulls=True).over(upto)).alias(c) for c in LAST_NEAR + LAST_EVER))
     base = ratios_at(events, statements, bars).select("id", "code", "date", "eps", "roe", "per", "pbr", "cap_log")
     marked = last.select("code", "date", "change", "atr14")
     indices = daily(index, "index_change").join(daily(growth, "growth_change"), "date", "full")
     window = prices.around(marked, base.select("id", "code", "date"), F.date_sub("date", DAYS_BACK), F.date_add("date", 1)).select("id", "date", "bar_date", "change", "atr14")
     window = by_ordinal(window, indices) if align == "ordinal" else window.join(F.broadcast(indices.withColumnRenamed("date", "bar_date")), "bar_date", "left")
     technical = window.groupBy("id").agg(F.avg("atr14").alias("atr"), guarded_corr("change", "index_change").alias("index_corr"), guarded_corr("change", "growth_change").alias("growth_corr"))
-    return base.join(technical, "id").join(last.drop("change", "atr14"), ["code", "date"]).select("id", "code", "date", *FEATURES)
+    return base.join(technical, "id").join(last.drop("change", "atr14"), ["code", "date"]).join(macd, ["code", "date"]).select("id", "code", "date", *FEATURES)
 
 
 def work_set(feats: DataFrame, events: DataFrame, bars: DataFrame, documents: DataFrame) -> DataFrame:

@@ -330,7 +330,7 @@ m AS (WITH RECURSIVE t AS (SELECT code, date, rn, close AS f, close AS s, 0.0::D
   FROM t JOIN n ON n.code = t.code AND n.rn = t.rn + 1) SELECT code, date, f - s AS macd, g AS signal FROM t)"""
 LASTS = ", ".join([f"last_value({c} IGNORE NULLS) OVER {NEAR} {c}" for c in training.LAST_NEAR] + [f"last_value({c} IGNORE NULLS) OVER {EVER} {c}" for c in training.LAST_EVER])
 FEATURE_SQL = f"""WITH {INDICATORS}, {MACD_ROWS}, {INDEX}, {GROWTH}, {FIN}, {TYPED}, {DISC}, {EVENTS}, {as_of_sql('<=')}, {imputed_sql('found')}, {RATIOS},
-l AS (SELECT code, date, {LASTS} FROM d JOIN m USING (code, date)),
+l AS (SELECT code, date, macd, signal, {LASTS} FROM d JOIN m USING (code, date)),
 ic AS (SELECT date, (close / nullif(lag(close) OVER (ORDER BY date), 0) - 1) * 100 y FROM idx), gc AS (SELECT date, (close / nullif(lag(close) OVER (ORDER BY date), 0) - 1) * 100 z FROM grow),
 win AS (SELECT e.id, d.change, d.atr14, ic.y, gc.z FROM ratio e JOIN d ON d.code = e.code AND d.date >= e.date - 200 AND d.date < e.date + 1
   LEFT JOIN ic ON ic.date = d.date LEFT JOIN gc ON gc.date = d.date),
