@@ -40,7 +40,7 @@ STAGES = [
     ("packing", mixture_packing),
 ]
 
-#: Expectation-maximisation, models and merges have no SQL form; the tests hold each stage against brute force.
+#: Expectation-maximisation, models and merges have no SQL form. The tests hold each stage's rows against plain loops over its whole input, with the operators' fitted models.
 ORACLE_SQL = None
 
 
