@@ -56,7 +56,7 @@ class Memory(dict):
 class Encoder:
     """encode(text) gives all ids of a text as bytes, `<u4`: those of the library's encode(text, add_special_tokens=False)."""
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
