@@ -82,6 +82,44 @@ def test_likeness_follows_jaccard(spark):
         assert abs(sum(e) / len(e)) < 0.06, n
 
 
+def plain_bins(hashes, hash_of):
+    """One-permutation bins of 64-bit hashes, the empty ones filled, as their low bytes."""
+    least = {}
+    for h in hashes:
+        h &= (1 << 64) - 1
+        least.setdefault(h >> 56, []).append(h >> 16 & (1 << 40) - 1)
+    least = {b: min(v) for b, v in least.items()}
+    out = []
+    for b in range(256):
+        tries = [hash_of[b, t] % 256 for t in range(16)]
+        last = min(least, key=lambda i: (hash_of[b, i] & 0x7FFFFFFF, i), default=None)
+        at = next((k for k in [b, *tries, last] if k in least), None)
+        out.append(255 if at is None else least[at] & 255)
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Bins, densification, packing and the correction for chance, from Spark's hashes of the shingles."""
+    rng = random.Random(3)
+    texts = ["", "one", *(words(rng, n) for n in (5, 6, 7, 9, 30, 120, 400, 2500))]
+    texts += [texts[-1].replace("w1", "v1"), texts[-3] + " x y z"]
+    pairs = spark.range(256).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
+    hash_of = {(b, i): h for b, i, h in pairs.select("b", "i", F.hash("b", "i")).collect()}
+    text = F.col("text")
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = df.select("k", fingerprints.shingle_hashes(text).alias("h"), fingerprints.as_string(fingerprints.fingerprint(text)).alias("fp")).orderBy("k").collect()
+    bins = [plain_bins(r.h, hash_of) for r in got]
+    for t, r, b in zip(texts, got, bins):
+        assert len(set(r.h)) == len(shingles(t))
+        assert r.fp == "".join(f"{x:02X}" for x in b)
+    both = spark.createDataFrame([(a, b, texts[a], texts[b]) for a in range(len(texts)) for b in range(len(texts))], "a int, b int, s string, t string")
+    near = fingerprints.likeness(fingerprints.fingerprint(F.col("s")), fingerprints.fingerprint(F.col("t")))
+    for a, b, likeness in both.select("a", "b", near).collect():
+        same = sum(x == y for x, y in zip(bins[a], bins[b])) / 256
+        want = 1.0 if a == b else 0.0 if 0 in (a, b) else max(0.0, (same - 1 / 256) / (1 - 1 / 256))
+        assert abs(likeness - want) < 1e-9
+
+
 def test_plan_has_no_python_and_one_shuffle_of_texts(spark, odd_docs, capsys):
     fingerprints.compare_with_edits(odd_docs).explain()
     plan = capsys.readouterr().out

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -50,6 +52,35 @@ def test_fit_finds_the_bad_cluster():
     assert m.posterior(errs) > m.posterior(bad)
 
 
+def plain_posteriors(patterns):
+    """Expectation-maximisation document by document: the posterior of being good of each."""
+    good = [0.2 if "-" in p else 0.95 for p in patterns]
+    for _ in range(100):
+        share = (sum(good) + 1) / (len(good) + 2)
+        odds = [math.log(share / (1 - share))] * len(patterns)
+        for rule in range(len(quality.RULES)):
+            def rate(chance, start):
+                voted = sum(c for c, p in zip(chance, patterns) if p[rule] != "0")
+                return (sum(c for c, p in zip(chance, patterns) if p[rule] == "-") + start) / (voted + 1)
+
+            of_good = min(rate(good, quality.MOST_FALSE / 2), quality.MOST_FALSE)
+            of_bad = max(rate([1 - c for c in good], 0.5), of_good)
+            vote = {"-": math.log(of_good / of_bad), "+": math.log((1 - of_good) / (1 - of_bad)), "0": 0.0}
+            odds = [o + vote[p[rule]] for o, p in zip(odds, patterns)]
+        good = [1 / (1 + math.exp(-o)) for o in odds]
+    return good
+
+
+def test_fit_equals_plain_loops():
+    rng = random.Random(4)
+    bad = [rng.random() < 0.2 for _ in range(300)]
+    patterns = ["".join(rng.choices("+0-", (2, 2, 4) if b and k % 2 else (8, 2, 0.1))[0] for k in range(len(quality.RULES))) for b in bad]
+    model = quality.fit_counts(Counter(patterns))
+    want = plain_posteriors(patterns)
+    assert all(math.isclose(model.posterior(p), w, abs_tol=1e-6) for p, w in zip(patterns, want))
+    assert 30 < sum(w < quality.KEEP for w in want) < 100
+
+
 def test_held_against_labels(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
