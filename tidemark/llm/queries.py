@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import common, fingerprints, language, ngram_join, packing, quality, sentencepieces, templates, token_files, toxicity, warc
+from tidemark.llm import common, divergence, fingerprints, language, ngram_join, packing, quality, sentencepieces, templates, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,14 @@ def op10_toxicity_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = divergence.AUDIT_SQL
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
