@@ -56,7 +56,7 @@ BROADCAST_GROUPS = 100_000
 COUNTED = "lang string, source string, term string, n long, docs long"
 
 
-def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def term_counts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows of COUNTED: occurrences and documents of each term by group, of a stretch of the task's texts."""
     groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     held = size = 0
@@ -83,7 +83,7 @@ def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.update(own)
             held += len(docs) - before
             size += raw.size if raw is not None else 0
-            if held > HELD_TERMS or size > HELD_BYTES:
+            if held > most or size > HELD_BYTES:
                 yield from flushed()
                 groups.clear()
                 held = size = 0
@@ -103,7 +103,7 @@ def sharded(df: DataFrame, sql: str, schema: str) -> DataFrame:
         with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": SHARD_MEMORY, "temp_directory": spill, "preserve_insertion_order": False}) as con:
             con.register("rest", rest)
             con.execute("CREATE TEMP TABLE shard AS SELECT * FROM rest")
-            yield from con.execute(sql).to_arrow_reader(1 << 14)
+            yield from con.sql(sql).to_arrow_reader(1 << 14)
 
     return df.repartition("lang", "term").transform(common.map_batches, run, schema)
 
@@ -148,8 +148,9 @@ def small(df: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value and rank: `pair` for every other source of the language, `term` for the TOP_TERMS terms that a group overuses most."""
+    most = HELD_TERMS
     plain = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), common.text_of().alias("text"))
-    counted = plain.transform(common.map_batches, term_counts, COUNTED)
+    counted = plain.transform(common.map_batches, lambda b: term_counts(b, most), COUNTED)
     kept = common.stored(sharded(counted, KEPT_SQL, "lang string, term string, source string, n long, lang_n long, first boolean"), "divergence-kept")
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if("first").alias("v"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))

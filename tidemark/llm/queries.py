@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import alignment, common, divergence, fingerprints, language, ngram_join, packing, quality, sentencepieces, templates, token_files, toxicity, warc
+from tidemark.llm import alignment, common, divergence, fingerprints, language, ngram_join, packing, pii, quality, sentencepieces, templates, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op11_postings_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(common.table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_semi_markov_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(common.table(spark, sf_dir, "documents"))
