@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import indicators as I
 
@@ -75,19 +73,6 @@ def around(bars: DataFrame, events: DataFrame, start: Column, end: Column, span:
     return found.select(*events.columns, *(c for c in dealt.columns if c not in ("code", "_bucket")))
 
 
-def with_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Bars with macd and signal. A mean that feeds on its own last value has no window form; a code's series is as long as the days are many, so each goes to Python as one batch."""
-    fields = T.StructType([*bars.schema.fields, T.StructField("macd", T.DoubleType()), T.StructField("signal", T.DoubleType())])
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("date", kind="stable")
-        mean = lambda x, n: x.ewm(span=n, adjust=False).mean()
-        macd = mean(d["close"], fast) - mean(d["close"], slow)
-        return d.assign(macd=macd, signal=mean(macd, signal))
-
-    return bars.groupBy("code").applyInPandas(run, fields)
-
-
 def aligned_changes(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     """code, change and index_change of a stock's and an index's bars, paired by `date` or by ordinal (the place in each series)."""
     w = series()

@@ -53,16 +53,6 @@ def take_while(rows: DataFrame, keep: Column, by: Sequence[str], order: Sequence
     return rows.withColumn("_stop", F.max(F.when(keep, 0).otherwise(1)).over(seen)).where("_stop = 0").drop("_stop")
 
 
-def first_match(names: DataFrame, needles: DataFrame, name: str, needle: str, order: str) -> DataFrame:
-    """Each needle with the first name, in order, that contains it; an empty needle is in all, one without a match is dropped.
-
-    Containment has no equi-key. Needles are spread over the cluster and the
-    smaller side, the name list, is broadcast only if it is small.
-    """
-    found = needles.join(names, F.contains(F.col(name), F.col(needle)))
-    return found.groupBy(*needles.columns).agg(F.min_by(F.struct(*names.columns), order).alias("m")).select(*needles.columns, "m.*")
-
-
 def error_gate(rows: DataFrame, text: str, by: str, most: int = 5) -> DataFrame:
     """by, errors and passed: whether a batch may be stored. An error text begins with a marker and doesn't name a URL."""
     bad = F.col(text).rlike("(?i)^(Error[:：]|\\bError\\b)") & ~F.contains(F.col(text), F.lit("URL"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import guarded_corr, percent_change
-from tidemark.operators import fundamentals, prices
+from tidemark.operators import fundamentals, prices, recurrences
 
 # --- fixed values: the features and targets in the network's order ---
 
@@ -64,7 +64,7 @@ def features(events: DataFrame, statements: DataFrame, bars: DataFrame, index: D
     seen = lambda c: F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value"), "date")), ignorenulls=True).over(upto)
     near = lambda s: F.when(s["date"] >= F.date_sub("date", DAYS_BACK), s["value"])
     # every bar has a macd and a signal, so those of the event's day are the last
-    macd = prices.with_macd(bars.select("code", "date", "close")).drop("close")
+    macd = recurrences.with_macd(bars.select("code", "date", "close")).drop("close")
     found = prices.with_indicators(bars.select("code", "date", "open", "high", "low", "close", "volume"))
     last = found.select("code", "date", "change", "atr14", *((near(seen(c)) if c in LAST_NEAR else F.last(c, ignorenulls=True).over(upto)).alias(c) for c in LAST_NEAR + LAST_EVER))
     base = ratios_at(events, statements, bars).select("id", "code", "date", "eps", "roe", "per", "pbr", "cap_log")

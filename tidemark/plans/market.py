@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import ewm_last, guarded_corr, macd_last, percent_change, q4
-from tidemark.operators import fundamentals, prices, training
+from tidemark.operators import fundamentals, prices, recurrences, training
 from tidemark.plans.catalogue import query
 from tidemark.sources import entities
 from tidemark.sources.store import stored
@@ -360,7 +360,22 @@ def feature_vectors(spark, sf_dir):
 @query(f"WITH {BARS}, {MACD_ROWS} SELECT code, date, {sq4('macd')} AS macd, {sq4('signal')} AS signal FROM m")
 def macd_series(spark, sf_dir):
     """MACD and its signal at every bar."""
-    return prices.with_macd(entities.bars(spark, sf_dir)).select("code", "date", q4(F.col("macd")).alias("macd"), q4(F.col("signal")).alias("signal"))
+    return recurrences.with_macd(entities.bars(spark, sf_dir)).select("code", "date", q4(F.col("macd")).alias("macd"), q4(F.col("signal")).alias("signal"))
+
+
+MEANS_SQL = f"""WITH {BARS}, n AS (SELECT code, date, close, row_number() OVER {W} rn FROM bars),
+m AS (WITH RECURSIVE t AS (SELECT code, date, rn, close AS a, close AS b, close AS c FROM n WHERE rn = 1
+  UNION ALL SELECT n.code, n.date, n.rn, t.a * (1 - 2.0::DOUBLE / 10) + n.close * (2.0::DOUBLE / 10), t.b * (1 - 2.0::DOUBLE / 13) + n.close * (2.0::DOUBLE / 13), t.c * (1 - 2.0::DOUBLE / 27) + n.close * (2.0::DOUBLE / 27)
+  FROM t JOIN n ON n.code = t.code AND n.rn = t.rn + 1) SELECT * FROM t)
+SELECT code, date, {", ".join(f"floor({c} * 100.0::DOUBLE + 0.3217::DOUBLE) / 100.0::DOUBLE AS {n}" for c, n in (("a", "ewm9"), ("b", "ewm12"), ("c", "ewm26")))} FROM m"""
+
+
+@query(MEANS_SQL)
+def ewma_series(spark, sf_dir):
+    """The exponentially weighted means of the close at every bar."""
+    found = recurrences.with_means(entities.bars(spark, sf_dir).select("code", "date", "close"), "close", {"ewm9": 9, "ewm12": 12, "ewm26": 26})
+    # means of some hundred thousand are cut at cents, where sums in another order hardly differ
+    return found.select("code", "date", *((F.floor(F.col(c) * 100.0 + 0.3217) / 100.0).alias(c) for c in ("ewm9", "ewm12", "ewm26")))
 
 
 @query()

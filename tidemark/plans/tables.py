@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import q4
 from tidemark.functions import cleaning as C
-from tidemark.operators import fundamentals, prices
+from tidemark.operators import fundamentals, paging, prices, substrings
 from tidemark.operators import relational as R
 from tidemark.plans.catalogue import query
 from tidemark.plans.market import BARS, DISC, FIN, W, sq4
@@ -91,11 +91,20 @@ def take_while_day(spark, sf_dir):
 @query("SELECT p_partkey AS part, min(s_suppkey) AS code, arg_min(s_name, s_suppkey) AS name FROM (SELECT *, lpad((p_partkey % 50)::VARCHAR, 2, '0') needle FROM part) JOIN supplier ON contains(s_name, needle) GROUP BY p_partkey")
 def name_code_lookup(spark, sf_dir):
     needles = entities.table(spark, sf_dir, "part").select(F.lpad((F.col("p_partkey") % 50).cast("string"), 2, "0").alias("needle"), F.col("p_partkey").alias("part"))
-    # the few distinct needles are matched, not every part
-    found = R.first_match(entities.companies(spark, sf_dir), needles.select("needle").distinct(), "name", "needle", "code")
+    found = substrings.first_holding(entities.companies(spark, sf_dir), needles, "name", "needle", "code")
     return needles.join(found, "needle").select("part", "code", "name")
 
 
+@query("""WITH n AS (SELECT p_partkey AS part, lpad(p_partkey::VARCHAR, (3 + p_partkey % 4)::INTEGER, '0') AS needle FROM part)
+SELECT part, needle, code, name FROM n JOIN (SELECT needle, min(c_custkey) AS code, arg_min(c_name, c_custkey) AS name FROM (SELECT DISTINCT needle FROM n) JOIN customer ON contains(c_name, needle) GROUP BY needle) USING (needle)""")
+def name_index_lookup(spark, sf_dir):
+    """The first customer whose name holds a part's number, written with three to six digits."""
+    key = F.col("p_partkey")
+    needles = entities.table(spark, sf_dir, "part").select(key.alias("part"), F.lpad(key.cast("string"), (3 + key % 4).cast("int"), F.lit("0")).alias("needle"))
+    names = entities.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"))
+    return needles.join(substrings.first_holding(names, needles, "name", "needle", "code"), "needle").select("part", "needle", "code", "name")
+
+
 @query("SELECT o_orderkey AS id, coalesce(trim(regexp_replace(text, '[\\s]+', ' ', 'g')), '') AS text FROM orders LEFT JOIN documents ON doc_id = o_orderkey")
 def text_lookup_left(spark, sf_dir):
     docs = entities.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace("text", r"[\s]+", " ")).alias("text"))
@@ -133,6 +142,27 @@ def page_loop_early_stop(spark, sf_dir):
     return R.until_empty_page(rows, F.col("event_type") == "click", ["user_id"]).select("user_id", "event_id", "page")
 
 
+@query("SELECT event_id, ((row_number() OVER (ORDER BY ts, event_id) - 1) // 25)::BIGINT AS page FROM events")
+def global_pages(spark, sf_dir):
+    """The page of every event in the whole table's order of time."""
+    return paging.pages(entities.table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], 25).select("event_id", "page")
+
+
+@query("SELECT event_id, rn - 1 AS number FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS rn FROM events) WHERE rn > 100 AND rn <= 150")
+def global_page_slice(spark, sf_dir):
+    """The page at offset 100 with 50 rows, newest first."""
+    return paging.slice_rows(entities.table(spark, sf_dir, "events").select("event_id", "ts"), [F.desc("ts"), "event_id"], 100, 50).select("event_id", "number")
+
+
+@query("""WITH p AS (SELECT event_id, event_type, ((row_number() OVER (ORDER BY ts, event_id) - 1) // 5)::BIGINT page FROM events),
+c AS (SELECT coalesce(min(page), 9223372036854775807) cut FROM (SELECT page FROM p GROUP BY page HAVING count_if(event_type = 'click') = 0))
+SELECT event_id, page FROM p, c WHERE event_type = 'click' AND page < cut""")
+def global_page_loop(spark, sf_dir):
+    """Clicks on the pages of the whole table, up to the first page without any."""
+    paged = paging.pages(entities.table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), ["ts", "event_id"], 5)
+    return paging.until_empty(paged, F.col("event_type") == "click").select("event_id", "page")
+
+
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events")
 def time_desc(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
