@@ -87,7 +87,7 @@ def texts_of(seed):
     return [*out, "東" * 900, "a" * 700, None, "", " ", "\n", "same text", "same text"]
 
 
-@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"STRETCH_LINKS": 300, "HELD_POSTINGS": 200, "ID_POSTINGS": 20}), (3, {"STRETCH_DOCS": 7, "AT_ONCE": 5})])
+@pytest.mark.parametrize(("seed", "limits"), [(1, {}), (2, {"STRETCH_LINKS": 300, "HELD_POSTINGS": 200, "ID_POSTINGS": 20}), (3, {"AT_ONCE": 5})])
 def test_equals_every_pair_of_tokens(spark, monkeypatch, sides, seed, limits):
     for name, value in limits.items():
         monkeypatch.setattr(alignment, name, value)

@@ -19,7 +19,7 @@ into groups, and two tokens whose bytes overlap are a link.
    with many postings is dealt to several tasks, its blocks by a hash, its
    counts to each. The task finds the id's highest count and gives what each
    document's links add up to.
-4. These are summed by document.
+4. These are summed by document, those of a stretch of documents together.
 
 Texts that are null, empty, or that either side's tokens don't spell byte for
 byte (as with U+2581 in them) have no tokens. A row is a document, so repeated
@@ -29,9 +29,12 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import operator
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -59,17 +62,30 @@ BLOCK = "a int, base long, postings long, bs array<int>, counts array<long>, doc
 
 
 class Unit(NamedTuple):
-    """The alignment of a stretch of bytes: how many tokens and groups, every link as a << 32 | b, `<u8`, and the groups spelt out."""
+    """The alignment of a stretch of bytes: its sums of tokens of A and B and of groups, every link as a << 32 | b, `<u8`, and the groups spelt out."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
+    sums: int
     links: bytes
     groups: str
 
+    def __add__(self, other: Unit) -> Unit:
+        return Unit(self.sums + other.sums, self.links + other.links, f"{self.groups};{other.groups}")
+
+
+def packed(n_a: int, n_b: int, n_groups: int) -> int:
+    """Three sums as one integer, so that those of many units are added at once."""
+    return n_a | n_b << 64 | n_groups << 128
+
+
+def unpacked(sums: int) -> tuple[int, int, int]:
+    low = (1 << 64) - 1
+    return sums & low, sums >> 64 & low, sums >> 128
+
 
 def align(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> Unit:
     """Both sides' tokens with the bytes at which they end; the last ends are equal."""
+    if a_ends == b_ends:
+        return Unit(packed(len(a), len(b), len(a)), array("Q", [x << 32 | y for x, y in zip(a, b, strict=True)]).tobytes(), ";".join([f"{x}|{y}" for x, y in zip(a, b, strict=True)]))
     links, groups, first, i, j = [], [], (0, 0), 0, 0
     while i < len(a):
         links.append(a[i] << 32 | b[j])
@@ -79,20 +95,28 @@ def align(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> U
         if at_a == at_b:
             groups.append(",".join(map(str, a[first[0] : i])) + "|" + ",".join(map(str, b[first[1] : j])))
             first = i, j
-    return Unit(len(a), len(b), len(groups), np.array(links, "<u8").tobytes(), ";".join(groups))
+    return Unit(packed(len(a), len(b), len(groups)), array("Q", links).tobytes(), ";".join(groups))
 
 
 class Aligner:
     """units(texts) gives the units of each text with their number in order, None for a text without tokens."""
 
     def __init__(self, path_a: str, path_b: str, limit: int = UNITS) -> None:
-        self.a, self.b, self.limit = bpe.Encoder(path_a, 1), sentencepieces.Codec(path_b), limit
-        bytes_of = {letter: k for k, letter in self.a.letters.items()}
-        self.a_bytes = {k: bytes(bytes_of[c] for c in t) for t, k in self.a.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in bytes_of for c in t)}
-        pieces = map(self.b.library.id_to_piece, range(self.b.library.get_piece_size()))
+        from tokenizers import Tokenizer
+
+        self.a, self.b, self.limit = Tokenizer.from_file(path_a), sentencepieces.Codec(path_b), limit
+        self.a.encode_special_tokens = True
+        letters = frozenset(bpe.byte_letters())
+        # a letter of a byte-level token stands for a byte
+        self.a_size = {k: len(t) if letters.issuperset(t) else 0 for t, k in self.a.get_vocab().items()}
+        pieces = list(map(self.b.library.id_to_piece, range(self.b.library.get_piece_size())))
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := sentencepieces.BYTE.fullmatch(p)) else p.replace(sentencepieces.BLANK, " ").encode() for p in pieces]
+        self.b_size = list(map(len, self.b_bytes))
         self.cuts = self.b.cuts and self.b.prefix and not self.b.trims and not self.b.map.units
+        #: Marks before which neither side has a token across, if a letter stands there.
+        self.marks = frozenset(m for m in bpe.ENDS if not any(m in p[1:] and any(x.isalpha() for x in p[: p.rindex(m)]) for p in pieces)) - {"'"}
         self.known: dict[str, Unit | None] = {}
+        self.elder: dict[str, Unit | None] = {}
 
     def keys(self, text: str) -> list[str]:
         """The units of a blank and the text; the blank in front of a unit is left out if a word follows."""
@@ -101,39 +125,60 @@ class Aligner:
             return text.replace("\n", " \n").split(" ")
         return [u[1:] if u[0] == " " and u[1:2] not in ("", " ", "\n") else u for u in CUT.split(" " + text)]
 
-    def work_out(self, keys: list[str]) -> list[Unit | None]:
-        whole = [k if k[0] in " \n" else " " + k for k in keys]
-        spelt = self.b.merges.encode([u.replace(" ", sentencepieces.BLANK) for u in whole], num_threads=1)
-        return [self.unit(u, b) for u, b in zip(whole, spelt, strict=True)]
-
-    def unit(self, text: str, b: list[int]) -> Unit | None:
-        """The alignment of bytes that B spells with these ids; None if they aren't those of both sides."""
-        a = np.frombuffer(b"".join(map(self.a.merged, self.a.split(text))), "<u4").tolist()
-        raw, a_parts, b_parts = text.encode(), [self.a_bytes.get(k, b"") for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw or not all(a_parts):
+    def work_out(self, whole: list[str]) -> list[Unit | None]:
+        """The alignments of stretches of text, each put to both libraries as it is."""
+        a = self.a.encode_batch_fast(whole, add_special_tokens=False)
+        b = self.b.merges.encode([u.replace(" ", sentencepieces.BLANK) for u in whole], num_threads=1)
+        return [self.unit(u, x.ids, y) for u, x, y in zip(whole, a, b, strict=True)]
+
+    def unit(self, text: str, a: list[int], b: list[int]) -> Unit | None:
+        """The alignment of a text's ids; None if they don't spell its bytes."""
+        raw = text.encode()
+        a_ends = list(itertools.accumulate(map(self.a_size.__getitem__, a)))
+        if a_ends[-1] != len(raw) or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
-        return align(a, list(itertools.accumulate(map(len, a_parts))), b, list(itertools.accumulate(map(len, b_parts))))
+        return align(a, a_ends, b, list(itertools.accumulate(map(self.b_size.__getitem__, b))))
+
+    def recall(self, keys: set[str]) -> dict[str, Unit | None]:
+        """What stretches of text stand for: remembered, or worked out together."""
+        found, new = {}, []
+        for k in keys:
+            u = self.known.get(k, 0)
+            if u == 0:
+                u = self.elder.get(k, 0)
+                if u == 0:
+                    new.append(k)
+                    continue
+                self.known[k] = u
+            found[k] = u
+        worked = dict(zip(new, self.work_out([k if k[0] in " \n" else " " + k for k in new]), strict=True)) if new else {}
+        if len(self.known) + len(new) > self.limit:
+            self.known, self.elder = {}, self.known
+        # a character takes four bytes at most
+        self.known.update((k, u) for k, u in worked.items() if len(k) * 4 <= UNIT_BYTES or len(k.encode()) <= UNIT_BYTES)
+        return found | worked
 
     def units(self, texts: list[str]) -> Iterator[tuple[list[str], dict[str, Unit | None]] | None]:
         """Of each text its keys in order and what they stand for."""
         if not self.cuts:
             for t in texts:
-                found = self.unit(" " + t, self.b.library.encode(t)) if t else None
+                found = self.unit(" " + t, self.a.encode(" " + t, add_special_tokens=False).ids, self.b.library.encode(t)) if t else None
                 yield None if found is None else ([t], {t: found})
             return
         all_keys = [self.keys(t) if t and sentencepieces.BLANK not in t else None for t in texts]
         own = set(itertools.chain.from_iterable(filter(None, all_keys)))
-        found = {k: u for k in own if (u := self.known.get(k, self)) is not self}
-        new = [k for k in own if k not in found]
-        worked = dict(zip(new, self.work_out(new), strict=True))
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-        # a character takes four bytes at most
-        self.known.update((k, u) for k, u in worked.items() if len(k) * 4 <= UNIT_BYTES or len(k.encode()) <= UNIT_BYTES)
-        found |= worked
+        ended = {k for k in own if k[-1] in self.marks and k[-2:-1].isalpha()}
+        found = self.recall((own - ended) | {k[:-1] for k in ended})
+        for k in ended:
+            word, mark = found[k[:-1]], self.mark(k[-1])
+            found[k] = word + mark if word is not None and mark is not None else None
         for keys in all_keys:
             yield None if keys is None or any(found[k] is None for k in keys) else (keys, found)
 
+    @functools.cache  # noqa: B019  a worker has one aligner, and marks are few
+    def mark(self, mark: str) -> Unit | None:
+        return self.unit(mark, self.a.encode(mark, add_special_tokens=False).ids, self.b.merges.encode(mark))
+
 
 def default_paths() -> tuple[str, str]:
     return bpe.default_path(), sentencepieces.default_path()
@@ -159,13 +204,14 @@ def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     continue
                 keys, units = found
                 own = Counter(keys)
-                entries, times = [units[k] for k in own], np.fromiter(own.values(), np.int64, len(own))
-                each = [len(u.links) // 8 for u in entries]
-                totals = times @ np.array([u[:3] for u in entries]).reshape(-1, 3)
-                spelt = hashlib.sha256(";".join([units[k].groups for k in keys]).encode()).hexdigest()
-                held.append((np.frombuffer(b"".join([u.links for u in entries]), "<u8"), np.repeat(times, each), len(rows)))
+                sums, own_links, _ = zip(*[units[k] for k in own], strict=True)
+                times = np.fromiter(own.values(), np.int64, len(own))
+                each = np.fromiter(map(len, own_links), np.int64, len(own)) >> 3
+                totals = unpacked(sum(map(operator.mul, sums, own.values())))
+                spelt = hashlib.sha256(";".join([units[k][2] for k in keys]).encode()).hexdigest()
+                held.append((np.frombuffer(b"".join(own_links), "<u8"), np.repeat(times, each), len(rows)))
                 links += len(held[-1][0])
-                rows.append((base + len(rows), doc_id, *totals.tolist(), int(times @ np.array(each)), spelt))
+                rows.append((base + len(rows), doc_id, *totals, int(times @ each), spelt))
                 if links > STRETCH_LINKS or len(rows) >= STRETCH_DOCS:
                     yield from stretch(rows, held, base, schema)
                     base += len(rows)
@@ -204,8 +250,11 @@ def stretch(rows: list[tuple], held: list[tuple[np.ndarray, np.ndarray, int]], b
     yield pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in list(schema)[:7]), *columns, binary(doc, 4), binary(often, 8)], schema=schema)
 
 
+PARTS = "base long, docs binary, n_best binary, count_sum binary"
+
+
 def cogroup(batches: Iterator[pa.RecordBatch], n_ids: int, most: int) -> Iterator[pa.RecordBatch]:
-    """key, n_best and count_sum of documents, from rows in order of (a, salt, tag): each id's counts, then its blocks of postings, of which it holds `most`."""
+    """Rows of PARTS, what documents of a stretch get from this task's ids, from rows in order of (a, salt, tag): each id's counts, then its blocks of postings, of which it holds `most`."""
     counts, highest, at = np.zeros(n_ids, np.int64), 0, None
     held: list[np.ndarray] = []
     n_held = 0
@@ -227,20 +276,45 @@ def cogroup(batches: Iterator[pa.RecordBatch], n_ids: int, most: int) -> Iterato
             held.append(np.stack([np.repeat(part.column("base").to_numpy(), part.column("postings").to_numpy()) + doc, often * (count == highest), often * count]))
             n_held += len(doc)
             if n_held > most:
-                yield from summed(held)
+                yield summed(held)
                 held, n_held = [], 0
-    yield from summed(held)
+    if held:
+        yield summed(held)
 
 
-def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if held:
-        every = np.concatenate(held, axis=1)
-        every = every[:, np.argsort(every[0], kind="stable")]
-        first = np.flatnonzero(np.concatenate([[True], every[0, 1:] != every[0, :-1]]))
-        for some in np.array_split(first, len(first) // 100_000 + 1):
-            upto = first[np.searchsorted(first, some[-1]) + 1] if some[-1] != first[-1] else every.shape[1]
-            sums = np.add.reduceat(every[1:, :upto], some, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(every[0, some]), pa.array(sums[0]), pa.array(sums[1])], names=["key", "n_best", "count_sum"])
+def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Sums by document, a row per stretch of STRETCH_DOCS places or less: a stretch's keys are within one multiple of it."""
+    every = np.concatenate(held, axis=1)
+    every = every[:, np.argsort(every[0], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], every[0, 1:] != every[0, :-1]]))
+    keys, (best, total) = every[0, first], np.add.reduceat(every[1:], first, axis=1)
+    stretches = keys // STRETCH_DOCS
+    at = np.flatnonzero(np.concatenate([[True], stretches[1:] != stretches[:-1]]))
+    offsets = np.append(at, len(keys))
+    binary = lambda values, size: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((offsets * size).astype(np.int32)), pa.py_buffer(values.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(stretches[at] * STRETCH_DOCS), binary((keys - stretches * STRETCH_DOCS).astype("<u4"), 4), binary(best.astype("<i8"), 8), binary(total.astype("<i8"), 8)], names=["base", "docs", "n_best", "count_sum"])
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n_best and count_sum of every document with links, from rows of PARTS in order of base."""
+    base, sums, seen = None, np.zeros((2, STRETCH_DOCS), np.int64), np.zeros(STRETCH_DOCS, bool)
+
+    def told() -> pa.RecordBatch:
+        at = np.flatnonzero(seen)
+        return pa.RecordBatch.from_arrays([pa.array(base + at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["key", "n_best", "count_sum"])
+
+    for batch in batches:
+        for own, *parts in zip(*(batch.column(c).to_pylist() for c in ("base", "docs", "n_best", "count_sum")), strict=True):
+            if own != base:
+                if base is not None:
+                    yield told()
+                base, sums[:], seen[:] = own, 0, False
+            doc = np.frombuffer(parts[0], "<u4")
+            seen[doc] = True
+            for k in range(2):
+                sums[k, doc] += np.frombuffer(parts[k + 1], "<i8")
+    if base is not None:
+        yield told()
 
 
 def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -259,7 +333,7 @@ def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | No
     first = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tag"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("postings"), F.col("all.bs").alias("bs"), F.col("all.n").alias("counts"), null.cast("binary").alias("docs"), null.cast("binary").alias("often"))
     then = blocks.join(dealt, "a").select("a", F.pmod(F.xxhash64("base"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("tag"), "base", "postings", "bs", "counts", "docs", "often")
     streams = first.unionByName(then).repartition("a", "salt").sortWithinPartitions("a", "salt", "tag")
-    parts = streams.transform(common.map_batches, lambda b: cogroup(b, n_ids, most), "key long, n_best long, count_sum long")
-    sums = parts.groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    parts = streams.transform(common.map_batches, lambda b: cogroup(b, n_ids, most), PARTS)
+    sums = parts.repartition("base").sortWithinPartitions("base").transform(common.map_batches, merged, "key long, n_best long, count_sum long")
     zero = F.lit(0).cast("long")
     return documents.join(sums, "key", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
