@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cleaning as C
 from tidemark.operators import regressor
 from tidemark.operators import relational as R
-from tidemark.sources import pages
+from tidemark.sources import pages, store
 from tidemark.streaming import ingest
 
 
@@ -109,12 +109,16 @@ def test_stream_by_day_reads_its_days_alone(spark, tmp_path):
 def test_days_are_replaced_or_merged(spark, tmp_path):
     path = str(tmp_path / "days")
     frame = lambda rows: spark.createDataFrame(rows, "code string, title string, seq int, day string").withColumn("day", F.to_date("day"))
+    read = lambda days=None: sorted((r.code, r.seq) for r in store.read_days(spark, path, frame([]).schema, days).collect())
+    assert read() == []
     ingest.store_days(frame([("1", "a", 1, "2024-01-01"), ("2", "b", 2, "2024-01-02"), ("9", "z", 9, None)]), path, "day", ["code", "title"], "seq", today=True)
+    before = store.read_days(spark, path, frame([]).schema)
     ingest.store_days(frame([("1", "a", 5, "2024-01-01"), ("3", "c", 6, "2024-01-01")]), path, "day", ["code", "title"], "seq", today=False)
-    got = sorted((r.code, r.seq) for r in spark.read.parquet(path).collect())
-    assert got == [("1", 5), ("2", 2), ("3", 6)]
+    assert read() == [("1", 5), ("2", 2), ("3", 6)] and read(["2024-01-02"]) == [("2", 2)]
+    assert sorted(r.seq for r in before.collect()) == [1, 2]  # whoever read the version before isn't disturbed
     ingest.store_days(frame([("7", "q", 7, "2024-01-02")]), path, "day", ["code", "title"], "seq", today=True)
-    assert sorted(r.code for r in spark.read.parquet(path).collect()) == ["1", "3", "7"]
+    assert read() == [("1", 5), ("3", 6), ("7", 7)]
+    assert {r.date_key for r in store.read_days(spark, path, frame([]).schema).collect()} == {"2024-01-01", "2024-01-02"}
 
 
 def test_regressor_learns_and_its_gradient_is_right(spark):

@@ -1,6 +1,7 @@
 """Lists, cursors, models and scraped pages on small fixtures."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -47,6 +48,87 @@ def test_csv_lists(spark, tmp_path):
     assert store.guarded(fin, ["code", "nothing"]).columns == ["code", "nothing"]
 
 
+STEPS = ("_write_bytes", "_renamed", "delete")
+
+
+def stopped_at(monkeypatch, n):
+    """From now on the n-th of the store's steps raises instead of being made."""
+    left = [n]
+
+    def guard(f):
+        def run(*args):
+            left[0] -= 1
+            if left[0] < 0:
+                raise KeyboardInterrupt
+            return f(*args)
+
+        return run
+
+    for name in STEPS:
+        monkeypatch.setattr(store, name, guard(getattr(store, name)))
+
+
+def every_stop(write, read, old, new):
+    """write() stopped before each of its steps in turn: read() finds the old content or the new; both are met with."""
+    found = []
+    for n in range(40):
+        with pytest.MonkeyPatch.context() as patched:
+            stopped_at(patched, n)
+            try:
+                write()
+                done = True
+            except KeyboardInterrupt:
+                done = False
+        found.append(read())
+        assert found[-1] in (old, new)
+        if done:
+            assert found[-1] == new
+            return len(found)
+        if found[-1] == new:
+            old = new  # the commit is made: what follows is tidying
+    raise AssertionError("it never ended")
+
+
+def test_a_list_is_old_or_new_at_every_stop(spark, tmp_path):
+    path = f"{tmp_path}/list"
+    rows = lambda c: spark.createDataFrame([(c, "t", None)], RECORD)
+    read = lambda: [r.code for r in store.read_list(spark, path, RECORD).collect()]
+    assert every_stop(lambda: store.rewrite_list(rows("1"), path), read, [], ["1"]) >= 3
+    assert every_stop(lambda: store.rewrite_list(rows("2"), path), read, ["1"], ["2"]) >= 3
+    for k in "3456":
+        store.rewrite_list(rows(k), path)
+    assert read() == ["6"] and sum(n.startswith("v-") for n in os.listdir(path)) == 2  # the last and the one before
+
+
+def test_cursor_and_model_are_old_or_new_at_every_stop(spark, tmp_path):
+    cursor = store.Cursor(spark, f"{tmp_path}/cursor")
+    place = lambda: (cursor.value(), cursor.backup())
+    assert every_stop(lambda: cursor.advance("a"), place, (None, None), ("a", None)) >= 3
+    cursor = store.Cursor(spark, f"{tmp_path}/second")
+    cursor.advance("x")
+    cursor.advance("a")
+    with pytest.MonkeyPatch.context() as patched:
+        stopped_at(patched, 1)  # the commit's content is written, its name isn't there yet
+        with pytest.raises(KeyboardInterrupt):
+            cursor.advance("b")
+    assert place() == ("a", "x")
+    cursor.advance("b")
+    assert place() == ("b", "a") and len(store.commits(spark, cursor.path)) == 2
+    path = f"{tmp_path}/weights"
+    read = lambda: None if (w := store.load_model(spark, path)) is None else w["a"].tolist()
+    assert every_stop(lambda: store.save_model(spark, {"a": np.ones(2)}, path), read, None, [1, 1]) >= 4
+    assert every_stop(lambda: store.save_model(spark, {"a": np.zeros(1)}, path), read, [1, 1], [0]) >= 4
+
+
+def test_days_change_together_or_not_at_all(spark, tmp_path):
+    path, schema = f"{tmp_path}/days", "code string, date_key string"
+    rows = lambda c, *days: spark.createDataFrame([(c, d) for d in days], schema)
+    read = lambda: sorted(tuple(r) for r in store.read_days(spark, path, rows("").schema).collect())
+    store.replace_days(rows("old", "2024-01-01", "2024-01-02", "2024-01-03"), path)
+    before, after = read(), [("new", "2024-01-01"), ("new", "2024-01-02"), ("old", "2024-01-03")]
+    assert every_stop(lambda: store.replace_days(rows("new", "2024-01-01", "2024-01-02"), path), read, before, after) >= 5
+
+
 def test_cursor_moves_only_after_success(spark, tmp_path):
     cursor = store.Cursor(spark, f"{tmp_path}/state/next")
     assert cursor.value() is None and cursor.step(lambda c: "a") == "a" and cursor.backup() is None

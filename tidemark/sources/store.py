@@ -1,8 +1,15 @@
 """What runs keep between one another: tables in the shared folder, day lists, error lists, cursors and models.
 
 Everything goes through Spark's readers and writers or the store's own file
-system, so any path that Spark can open will do. Writes go to a new name first
-and are then moved into place, so a job that is stopped leaves the old content.
+system, so any path that Spark can open will do.
+
+What is replaced as a whole (lists, cursors, models, day tables) is kept as
+versions: new content goes to a folder of a new name, then a small commit file
+that names it is renamed to the next number. A rename to a name that isn't
+there is one step in any store that has renames, so whoever reads by the last
+commit finds the old content or the new, whatever moment a writer is stopped
+at. A path has one writer at a time; readers of the version before aren't
+disturbed, older ones go with the next commit.
 """
 
 from __future__ import annotations
@@ -54,23 +61,105 @@ def delete(spark: SparkSession, path: str) -> bool:
     return system.exists(at) and system.delete(at, True)
 
 
-def moved(spark: SparkSession, source: str, path: str) -> None:
-    """Moves source to path in place of what is there."""
-    delete(spark, path)
+# --- versions ---
+
+COMMIT = ".commit-"
+
+
+def _renamed(spark: SparkSession, source: str, path: str) -> None:
+    """Moves source to path, which must be free."""
     at, system = _at(spark, path)
     system.mkdirs(at.getParent())
-    if not system.rename(_at(spark, source)[0], at):
+    if system.exists(at) or not system.rename(_at(spark, source)[0], at):
         raise OSError(f"{source} can't be moved to {path}")
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    at, system = _at(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) and system.getFileStatus(at).isDirectory() else []
+
+
+def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    at, system = _at(spark, path)
+    out = system.create(at, False)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file's content."""
+    at, system = _at(spark, path)
+    stream = system.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def commits(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the commits of a path, ascending."""
+    return sorted(int(n.removeprefix(COMMIT)) for n in _names(spark, path) if n.startswith(COMMIT) and n.removeprefix(COMMIT).isdecimal())
+
+
+def committed(spark: SparkSession, path: str) -> list[str] | None:
+    """The lines of the last commit, or None if there is none. A commit that goes while it is looked at has a later one."""
+    for _ in range(5):
+        found = commits(spark, path)
+        if not found:
+            return None
+        try:
+            return _read_bytes(spark, f"{path.rstrip('/')}/{COMMIT}{found[-1]:012}").decode().split("\n")
+        except Exception as e:
+            if "FileNotFound" not in str(e):
+                raise
+    raise OSError(f"the commits of {path} change too fast")
+
+
+def commit(spark: SparkSession, path: str, lines: list[str]) -> int:
+    """Makes lines the last commit; from here on readers see what they name."""
+    path, found = path.rstrip("/"), commits(spark, path)
+    number = found[-1] + 1 if found else 0
+    fresh = f"{path}/.fresh-{uuid.uuid4().hex}"
+    _write_bytes(spark, fresh, "\n".join(lines).encode())
+    _renamed(spark, fresh, f"{path}/{COMMIT}{number:012}")
+    return number
+
+
+def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """write() fills a new folder, which then is the content of path; the version before stays until the next."""
+    path = path.rstrip("/")
+    if exists(spark, path) and not _is_dir(spark, path):
+        raise OSError(f"{path} is a file, not a path with versions")
+    name = f"v-{uuid.uuid4().hex}"
+    write(f"{path}/{name}")
+    number = commit(spark, path, [name])
+    kept = {name, f"{COMMIT}{number:012}", f"{COMMIT}{number - 1:012}"}
+    if number:
+        kept |= set(_read_bytes(spark, f"{path}/{COMMIT}{number - 1:012}").decode().split("\n"))
+    for old in _names(spark, path):
+        if old not in kept and old.startswith(("v-", ".fresh-", COMMIT)):
+            delete(spark, f"{path}/{old}")
+
+
+def opened(spark: SparkSession, path: str) -> str | None:
+    """Where the content of path is now: its last version, or path itself if others wrote it; None if there is nothing."""
+    lines = committed(spark, path)
+    if lines:
+        return f"{path.rstrip('/')}/{lines[0]}"
+    if any(n.startswith(("v-", ".fresh-")) for n in _names(spark, path)):
+        return None  # a first version that was never committed
+    return path if exists(spark, path) else None
+
+
 # --- lists of records ---
 
 
 def read_list(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The records of a JSON list, or of a record a line; no rows if the path is absent. Fields that a record lacks are null."""
-    if not exists(spark, path):
+    at = opened(spark, path)
+    if at is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path, multiLine=not _is_dir(spark, path))
+    return spark.read.schema(schema).json(at, multiLine=not _is_dir(spark, at))
 
 
 def _is_dir(spark: SparkSession, path: str) -> bool:
@@ -80,9 +169,7 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 def rewrite_list(rows: DataFrame, path: str) -> None:
     """Writes the records in place of what is there; rows may come from that very path."""
-    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.write.option("ignoreNullFields", "false").json(fresh)
-    moved(rows.sparkSession, fresh, path)
+    replace(rows.sparkSession, path, lambda to: rows.write.option("ignoreNullFields", "false").json(to))
 
 
 def write_errors(rows: DataFrame, path: str, day: str) -> list[str]:
@@ -91,14 +178,52 @@ def write_errors(rows: DataFrame, path: str, day: str) -> list[str]:
     fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     dated.write.partitionBy("date_key").option("ignoreNullFields", "false").json(fresh)
     spark = rows.sparkSession
-    at, system = _at(spark, fresh)
-    days = sorted(s.getPath().getName().removeprefix("date_key=") for s in system.listStatus(at) if s.isDirectory())
+    days = sorted(n.removeprefix("date_key=") for n in _names(spark, fresh) if n.startswith("date_key="))
     for name in days:
-        moved(spark, f"{fresh}/date_key={name}", f"{path.rstrip('/')}/{name}_error")
+        replace(spark, f"{path.rstrip('/')}/{name}_error", lambda to, name=name: _renamed(spark, f"{fresh}/date_key={name}", to))
     delete(spark, fresh)
     return days
 
 
+# --- tables by day ---
+
+DAY_FOLDER = "date_key="
+
+
+def read_days(spark: SparkSession, path: str, schema: T.StructType, days: list[str] | None = None) -> DataFrame:
+    """The rows of a day table as of its last commit, with date_key; days: of these alone, others aren't opened."""
+    lines = [x for x in committed(spark, path) or [] if x]
+    if days is not None:
+        wanted = {f"{DAY_FOLDER}{d}" for d in days}
+        lines = [x for x in lines if x.split("/")[0] in wanted]
+    whole = T.StructType([*(f for f in schema.fields if f.name != "date_key"), T.StructField("date_key", T.StringType())])
+    if not lines:
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).option("basePath", path).parquet(*(f"{path.rstrip('/')}/{x}" for x in lines))
+
+
+def replace_days(rows: DataFrame, path: str) -> list[str]:
+    """The rows, which have date_key, in place of the days that they belong to; all of these change in one commit. The days' names."""
+    spark, path, name = rows.sparkSession, path.rstrip("/"), f"v-{uuid.uuid4().hex}"
+    rows.write.partitionBy("date_key").parquet(f"{path}/.{name}")
+    held = {x.split("/")[0]: x for x in committed(spark, path) or [] if x}
+    fresh = [n for n in _names(spark, f"{path}/.{name}") if n.startswith(DAY_FOLDER)]
+    for day in fresh:
+        _renamed(spark, f"{path}/.{name}/{day}", f"{path}/{day}/{name}")
+    replaced = [held[d] for d in fresh if d in held]
+    commit(spark, path, sorted((held | {d: f"{d}/{name}" for d in fresh}).values()))
+    # what the commit before named stays for its readers; what was replaced earlier goes
+    keep = {x.split("/")[1] for x in [*replaced, *(f"{d}/{name}" for d in fresh)]}
+    for day in fresh:
+        for old in _names(spark, f"{path}/{day}"):
+            if old not in keep:
+                delete(spark, f"{path}/{day}/{old}")
+    for number in commits(spark, path)[:-2]:
+        delete(spark, f"{path}/{COMMIT}{number:012}")
+    delete(spark, f"{path}/.{name}")
+    return sorted(d.removeprefix(DAY_FOLDER) for d in fresh)
+
+
 # --- reference lists ---
 
 #: The columns of the files that lists come in.
@@ -138,29 +263,25 @@ def guarded(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class Cursor:
-    """A place in a chain of pages. step() runs work from it and moves on only if that succeeds; the place before is kept as a backup."""
+    """A place in a chain of pages. step() runs work from it and moves on only if that succeeds; the place before is kept as a backup, in the same commit."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, path: str) -> str | None:
-        return self.spark.read.text(path).first()["value"] if exists(self.spark, path) else None
+    def _lines(self) -> list[str]:
+        return [*(committed(self.spark, self.path) or []), "", ""][:2]
 
     def value(self) -> str | None:
-        return self._read(self.path)
+        return self._lines()[0] or None
 
     def backup(self) -> str | None:
-        return self._read(f"{self.path}-backup")
-
-    def _write(self, path: str, value: str) -> None:
-        fresh = f"{path}-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(value,)], "value string").coalesce(1).write.text(fresh)
-        moved(self.spark, fresh, path)
+        return self._lines()[1] or None
 
     def advance(self, value: str) -> None:
-        if (old := self.value()) is not None:
-            self._write(f"{self.path}-backup", old)
-        self._write(self.path, value)
+        number = commit(self.spark, self.path, [value, self.value() or ""])
+        for old in commits(self.spark, self.path):
+            if old < number - 1:
+                delete(self.spark, f"{self.path}/{COMMIT}{old:012}")
 
     def step(self, work: Callable[[str | None], str | None]) -> str | None:
         """work gets the cursor and returns the next, or None at the end; if it raises, nothing moves."""
@@ -170,23 +291,32 @@ class Cursor:
         return following
 
 
-def save_model(spark: SparkSession, weights: Mapping[str, np.ndarray], path: str) -> None:
-    """Named arrays as one file, in place of an older one."""
+def packed_model(weights: Mapping[str, np.ndarray]) -> bytes:
     data = io.BytesIO()
     np.savez(data, **weights)
-    at, system = _at(spark, path)
-    out = system.create(at, True)
-    out.write(bytearray(data.getvalue()))
-    out.close()
+    return data.getvalue()
 
 
-def load_model(spark: SparkSession, path: str) -> dict[str, np.ndarray] | None:
-    """The arrays, or None if there are none that can be read."""
-    if not exists(spark, path):
-        return None
-    data = spark.read.format("binaryFile").load(path).first()["content"]
+def unpacked_model(data: bytes) -> dict[str, np.ndarray] | None:
     try:
-        with np.load(io.BytesIO(bytes(data)), allow_pickle=False) as found:
+        with np.load(io.BytesIO(data), allow_pickle=False) as found:
             return dict(found)
     except (ValueError, OSError, KeyError):
         return None
+
+
+MODEL_FILE = "weights.npz"
+
+
+def save_model(spark: SparkSession, weights: Mapping[str, np.ndarray], path: str) -> None:
+    """Named arrays as one file, in place of an older one."""
+    replace(spark, path, lambda to: _write_bytes(spark, f"{to}/{MODEL_FILE}", packed_model(weights)))
+
+
+def load_model(spark: SparkSession, path: str) -> dict[str, np.ndarray] | None:
+    """The arrays, or None if there are none that can be read."""
+    at = opened(spark, path)
+    if at is None:
+        return None
+    file = f"{at}/{MODEL_FILE}" if _is_dir(spark, at) else at
+    return unpacked_model(_read_bytes(spark, file)) if exists(spark, file) else None

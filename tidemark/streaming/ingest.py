@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.cleaning import holds_any
 from tidemark.operators.relational import new_rows, upsert
-from tidemark.sources.store import delete, exists
+from tidemark.sources.store import delete, exists, read_days, replace_days
 
 
 def latest_per_key(stream: DataFrame, keys: Sequence[str], time: str, late: str = "1 day") -> DataFrame:
@@ -61,17 +61,13 @@ def ingest(
 def store_days(rows: DataFrame, path: str, day: str, keys: Sequence[str], order: str, today: bool) -> None:
     """Writes each day's partition: rows replace it if it is today's, else they are merged in, the last of a key winning.
 
-    Rows without a day are left out. Only the partitions that rows belong to are read and replaced.
+    Rows without a day are left out. Only the days that rows belong to are
+    read and replaced, all in one commit; read them by store.read_days().
     """
-    spark, staged = rows.sparkSession, None
+    spark = rows.sparkSession
     dated = rows.where(F.col(day).isNotNull()).withColumn("date_key", F.date_format(day, "yyyy-MM-dd"))
-    if not today and exists(spark, path):
-        days = dated.select("date_key").distinct()
-        stored = spark.read.option("inferSchema", "false").schema(dated.schema).parquet(path).join(days, "date_key", "left_semi")
-        merged = upsert(stored.select(dated.columns), dated, [*keys, "date_key"], order).select(dated.columns)
-        staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-        merged.write.parquet(staged)
-        dated = spark.read.schema(dated.schema).parquet(staged)
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").parquet(path)
-    if staged is not None:
-        delete(spark, staged)
+    if not today:
+        days = [r.date_key for r in dated.select("date_key").distinct().collect()]  # a write's days are few
+        stored = read_days(spark, path, dated.schema, days)
+        dated = upsert(stored.select(dated.columns), dated, [*keys, "date_key"], order).select(dated.columns)
+    replace_days(dated, path)
