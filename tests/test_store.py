@@ -48,7 +48,7 @@ def test_csv_lists(spark, tmp_path):
     assert store.guarded(fin, ["code", "nothing"]).columns == ["code", "nothing"]
 
 
-STEPS = ("_write_bytes", "_renamed", "delete")
+STEPS = ("write_bytes", "_renamed", "delete")
 
 
 def stopped_at(monkeypatch, n):
@@ -152,22 +152,6 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     assert store.load_model(spark, f"{tmp_path}/none") is None and store.load_model(spark, f"{tmp_path}/broken") is None
 
 
-LIST = """<table class="x cs y"><tr><th>d</th></tr><tr><td>2024/05/01</td><td class="ct"><a href="/1301">1301</a></td><td class="wmx300"><a href="/n">名 &amp; 前</a></td><td><a href='/d/{k}'> 題 </a></td></tr>
-<tr><td>short</td></tr></table><table><tr><td>1</td><td>2</td><td>3</td></tr></table><table><tr id="loading" data-nx="/td?y={n}&amp;p=1&pg=true"></tr></table>"""
-
-
-def test_chained_lists(spark):
-    held = {"td?y=0": LIST.format(k=0, n=1), "td?y=1&p=1": LIST.format(k=1, n=2), "td?y=2&p=1": "<p>gone</p>"}
-    following, found = pages.follow(spark, held.get, "td?y=0", 10)
-    assert following is None and [r.cursor for r in found.collect()] == list(held)
-    rows = found.select(F.explode(pages.list_rows(F.col("html"))).alias("r")).collect()
-    assert [r.r for r in rows] == [["2024/05/01", "1301", "名 & 前", f"題=>/d/{k}"] for k in (0, 1)]
-    assert pages.follow(spark, held.get, "td?y=0", 1)[0] == "td?y=1&p=1" and pages.follow(spark, held.get, "none", 3)[1].count() == 0
-    dead, onward = next(iter(pages.DEAD_ENDS.items()))
-    page = spark.createDataFrame([(f'<tr data-nx="/{dead}" id="loading">',)], "html string")
-    assert page.select(pages.next_page(F.col("html")).alias("n")).first()["n"] == onward
-
-
 def test_detail_pages(spark):
     page = '<dl id="info"><dt>【日時】</dt><dd> 2024年5月1日 9時05分 </dd><dt class=m>【資料】</dt><dd><a class=p href="/a.pdf">x</a></dd></dl>'
     rows = [page, page.replace("5月1日", "13月1日"), page.replace('id="info"', ""), None]

@@ -291,3 +291,9 @@ NOT_FETCHED, NO_TEXT, FAILED = "Failed to download PDF", "No readable text found
 def or_sentinel(text: Column, fetched: Column, error: Column) -> Column:
     """A document's text, or what tells why there is none."""
     return F.when(~F.coalesce(fetched, F.lit(False)), F.lit(NOT_FETCHED)).when(error.isNotNull(), F.concat(F.lit(FAILED), error)).when(F.coalesce(text, F.lit("")) == "", F.lit(NO_TEXT)).otherwise(text)
+
+
+def alert_message(date: Column, time: Column, code: Column, name: Column, text: Column) -> Column:
+    """The message about a disclosure; what is missing reads N/A, a missing text is empty."""
+    na = lambda c: F.coalesce(c, F.lit("N/A"))
+    return F.concat(F.lit("*"), na(date), F.lit(" "), na(time), F.lit("*  \n*code:* `"), na(code), F.lit("`  \n---  \n*社名:* "), na(name), F.lit("  \n"), F.coalesce(text, F.lit("")))

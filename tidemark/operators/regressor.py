@@ -1,21 +1,28 @@
 """A two-branch network: text vector and features to rates at all horizons.
 
-Fitting runs on the driver, on a sample of at most MOST_ROWS rows: those with
-the least hash of id, which are spread over the whole table and are the same
-however it is partitioned. Prediction runs on the executors, batch by batch, with the weights (a few hundred kB, fixed by the
-layer sizes) sent along.
+fit_rows() fits on all rows where they lie: a step sends the weights (a few
+hundred kB, fixed by the layer sizes) to the tasks, each sums the gradients of
+its rows, sums meet in a tree of tasks, and the driver makes the step. fit()
+runs on the driver, on a sample of at most MOST_ROWS rows: those with the
+least hash of id, which are spread over the whole table and are the same
+however it is partitioned. Prediction runs on the executors, batch by batch.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import training
+from tidemark.sources.store import stored
 
 MOST_ROWS = 20_000
 LAYERS = {"text": (128, 64), "features": (32,), "out": 9}
@@ -63,22 +70,126 @@ def fit(rows: DataFrame, weights: dict[str, np.ndarray] | None = None, epochs: i
     table = sample(rows, most).select("text_vector", "features", "targets").toPandas()
     text, features, targets = (np.array(table[c].tolist(), float) for c in ("text_vector", "features", "targets"))
     w = {k: v.copy() for k, v in (weights or start(text.shape[1], features.shape[1], targets.shape[1], seed)).items()}
-    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    rng, step, losses = np.random.default_rng(seed), 0, []
+    adam, rng, losses = Adam(w, rate), np.random.default_rng(seed), []
     for _ in range(epochs):
         order, total = rng.permutation(len(text)), 0.0
         for k in range(0, len(order), batch):
             at = order[k : k + batch]
             loss, g = gradients(w, text[at], features[at], targets[at])
-            step, total = step + 1, total + loss * len(at)
-            for name in w:
-                mean[name] = 0.9 * mean[name] + 0.1 * g[name]
-                square[name] = 0.999 * square[name] + 0.001 * g[name] ** 2
-                w[name] -= rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-8)
+            adam.step(w, g)
+            total += loss * len(at)
         losses.append(total / max(1, len(order)))
     return w, losses
 
 
+#: Sums of gradients that a task of the tree adds up, and that reach the driver at most.
+FAN = 16
+
+
+class Adam:
+    """Steps of fixed rate, scaled by running means of gradients and of their squares."""
+
+    def __init__(self, w: dict[str, np.ndarray], rate: float) -> None:
+        self.rate, self.n = rate, 0
+        self.mean, self.square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+
+    def step(self, w: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+        self.n += 1
+        for k in w:
+            self.mean[k] = 0.9 * self.mean[k] + 0.1 * g[k]
+            self.square[k] = 0.999 * self.square[k] + 0.001 * g[k] ** 2
+            w[k] -= self.rate * (self.mean[k] / (1 - 0.9**self.n)) / (np.sqrt(self.square[k] / (1 - 0.999**self.n)) + 1e-8)
+
+
+def flat(g: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([g[k].ravel() for k in sorted(g)])
+
+
+def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = values[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+SUMS = "part int, n long, loss double, gradient binary"
+
+
+def gradient_sums(rows: DataFrame, w: dict[str, np.ndarray]) -> tuple[int, float, dict[str, np.ndarray]]:
+    """Rows, the mean squared error over them and its gradient; no more than FAN sums reach the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast(w)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, loss, total = 0, 0.0, None
+        for b in batches:
+            if b.num_rows:
+                text, features, targets = (np.array(b.column(c).to_pylist(), float) for c in ("text_vector", "features", "targets"))
+                e, g = gradients(sent.value, text, features, targets)
+                n, loss = n + len(text), loss + e * len(text)
+                total = flat(g) * len(text) if total is None else total + flat(g) * len(text)
+        if n:
+            yield sum_row(TaskContext.get().partitionId(), n, loss, total)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["part"])  # FAN rows
+        if found:
+            yield sum_row(found[0]["part"], sum(r["n"] for r in found), sum(r["loss"] for r in found), sum(np.frombuffer(r["gradient"]) for r in found))
+
+    sums, parts = rows.select("text_vector", "features", "targets").mapInArrow(own, SUMS), rows.rdd.getNumPartitions()
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        sums = sums.repartition(parts, F.floor(F.col("part") / FAN)).mapInArrow(added, SUMS)
+    found = sorted(sums.collect(), key=lambda r: r["part"])
+    n = sum(r["n"] for r in found)
+    if not n:
+        return 0, 0.0, {k: np.zeros_like(v) for k, v in w.items()}
+    return n, sum(r["loss"] for r in found) / n, shaped(sum(np.frombuffer(r["gradient"]) for r in found) / n, w)
+
+
+def sum_row(part: int, n: int, loss: float, gradient: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([loss]), pa.array([gradient.tobytes()], pa.binary())], names=["part", "n", "loss", "gradient"])
+
+
+def fit_rows(rows: DataFrame, weights: dict[str, np.ndarray] | None = None, epochs: int = 10, batches: int = 1, rate: float = 1e-3, seed: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Adam over all rows (id, text_vector, features, targets) where they lie; weights to go on from, and the loss of each epoch.
+
+    batches: steps of an epoch; a row's is told by a hash of its id and the
+    epoch, so it doesn't depend on how rows are dealt to tasks. The rows are
+    stored once; an epoch reads them again. Without rows the weights stay.
+    """
+    held = stored(rows.select("id", "text_vector", "features", "targets"), "training")
+    first = held.select(*(F.size(c) for c in ("text_vector", "features", "targets"))).first()
+    if first is None:
+        return dict(weights or {}), []
+    w = {k: v.copy() for k, v in (weights or start(*first, seed)).items()}
+    adam, losses = Adam(w, rate), []
+    for epoch in range(epochs):
+        total, seen = 0.0, 0
+        for k in range(batches):
+            part = held if batches == 1 else held.where(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(epoch)), F.lit(batches)) == k)
+            n, loss, g = gradient_sums(part, w)
+            if n:
+                adam.step(w, g)
+                total, seen = total + loss * n, seen + n
+        losses.append(total / max(1, seen))
+    return w, losses
+
+
+TEXT_SIZE = 64
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hashed_words(texts: pd.Series) -> pd.Series:
+    """Shares of a text's words by hash: stands in for a language model's vector where there is none."""
+
+    def shares(text: str | None) -> np.ndarray:
+        words = (text or "").split()
+        return np.bincount([zlib.crc32(x.encode()) % TEXT_SIZE for x in words], minlength=TEXT_SIZE) / max(1, len(words))
+
+    return texts.map(shares)
+
+
 def predict(rows: DataFrame, weights: dict[str, np.ndarray], names: tuple[str, ...] = training.TARGETS) -> DataFrame:
     """id and rates, a map from each target's name to its predicted rate, of rows (id, text_vector, features)."""
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import cleaning as C
+from tidemark.operators import paging
 from tidemark.plans.catalogue import query
-from tidemark.sources import entities, pages
+from tidemark.sources import chain, entities, pages
+from tidemark.sources.store import shared_dir
 
 
 def docs(spark, sf_dir):
@@ -129,6 +131,18 @@ def alert_payload(spark, sf_dir):
     return docs(spark, sf_dir).where(F.col("text").rlike("(?i)the")).select("doc_id", message.alias("payload"))
 
 
+@query("""SELECT o_orderkey AS id, '*' || coalesce(strftime(o_orderdate, '%Y-%m-%d'), 'N/A') || ' ' || CASE WHEN o_orderkey % 3 = 0 THEN 'N/A' ELSE strftime(o_orderdate, '%H:%M') END || '*  ' || chr(10) || '*code:* `' || coalesce(o_custkey::VARCHAR, 'N/A') || '`  ' || chr(10) || '---  ' || chr(10) || '*社名:* ' || coalesce(c_name, 'N/A') || '  ' || chr(10) || coalesce(regexp_replace(text, '(?i)(the)', ' `\\1` ', 'g'), '') AS message
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 > 0) ON c_custkey = o_custkey LEFT JOIN documents ON doc_id = o_orderkey""")
+def alert_message(spark, sf_dir):
+    """The whole message of a disclosure: date, time, code, name and text with its keywords marked; what is missing reads N/A."""
+    orders = entities.table(spark, sf_dir, "orders")
+    names = entities.table(spark, sf_dir, "customer").where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    texts = docs(spark, sf_dir).select(F.col("doc_id").alias("o_orderkey"), "text")
+    time = F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "HH:mm"))
+    message = C.alert_message(F.date_format("o_orderdate", "yyyy-MM-dd"), time, F.col("o_custkey").cast("string"), F.col("name"), C.highlighted(F.col("text"), ["the"]))
+    return orders.join(names, "o_custkey", "left").join(texts, "o_orderkey", "left").select(F.col("o_orderkey").alias("id"), message.alias("message"))
+
+
 @query("SELECT doc_id, '{\"Link\":\"' || source || '/' || doc_id || '\",\"Summarize\":\"' || coalesce(n_chars::VARCHAR, '') || '\"}' AS line FROM documents")
 def ndjson_rows(spark, sf_dir):
     record = F.struct(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("Link"), F.coalesce(F.col("n_chars").cast("string"), F.lit("")).alias("Summarize"))
@@ -151,6 +165,22 @@ def links_from_pages(spark, sf_dir):
     return pages.links(entities.table(spark, sf_dir, "pages"))
 
 
+LINKS_SQL = r"SELECT page_id, (i - 1)::BIGINT AS place, links[i] AS link, labels[i] AS label FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1) links, regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2) labels, unnest(range(1, len(links) + 1)) i FROM pages)"
+
+
+@query(f"WITH l AS ({LINKS_SQL}), n AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS page FROM pages) SELECT page, place, trim(label) AS title, link AS text, '09:30' AS time FROM l JOIN n USING (page_id)")
+def numbered_feeds(spark, sf_dir):
+    """Articles of numbered JSONP feeds, one for the links of each page, written as files and read by the page source until the first number that is missing."""
+    table, at = entities.table(spark, sf_dir, "pages"), shared_dir(spark, "feeds")
+    article = F.struct(F.col("label").alias("title"), F.col("link").alias("text"), F.struct(F.lit("list").alias("name")).alias("provider"), F.struct(F.lit("2024-05-01T09:30:00+09:00").alias("time_iso_8601")).alias("updated_at"))
+    listed = pages.links(table).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", article.alias("a")))), lambda x: x["a"]).alias("articles"))
+    numbered = paging.numbered(table.select("page_id"), ["page_id"]).join(listed, "page_id", "left")
+    body = F.to_json(F.struct(F.coalesce("articles", F.from_json(F.lit("[]"), "array<struct<title: string, text: string, provider: struct<name: string>, updated_at: struct<time_iso_8601: string>>>")).alias("articles")))
+    chain.write_pages(numbered.select((F.col("number") + 1).cast("string").alias("cursor"), F.concat(F.lit("addReleaseList("), body, F.lit(");")).alias("html")), at)
+    found = chain.read_chain(spark, at, kind="numbered").select("page", F.posexplode(pages.articles(F.col("html"))).alias("place", "a"))
+    return found.select("page", F.col("place").cast("bigint").alias("place"), F.col("a.title").alias("title"), F.col("a.text").alias("text"), F.col("a.time").alias("time"))
+
+
 @query("SELECT s_suppkey AS code, translate(replace(replace(replace(s_name, '株式会社', ''), 'HD', ''), '・', ''), '" + C.NARROW + "', '" + C.WIDE + "') AS name FROM (SELECT s_suppkey, replace(s_name, '#', '') s_name FROM supplier)")
 def company_normalise(spark, sf_dir):
     return entities.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), C.company(F.replace(F.col("s_name"), F.lit("#"), F.lit(""))).alias("name"))

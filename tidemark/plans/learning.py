@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import regressor
+from tidemark.plans import market
 from tidemark.plans.catalogue import query
 from tidemark.sources import entities
-from tidemark.sources.store import shared_dir
+from tidemark.sources.store import shared_dir, stored
 from tidemark.streaming import ingest
 
 
@@ -32,6 +33,19 @@ def mlp_fitted(spark, sf_dir):
     return regressor.predict(rows, weights)
 
 
+def training_rows(spark, sf_dir):
+    """The work set with its documents as vectors."""
+    return market.work_set(spark, sf_dir).select("id", regressor.hashed_words("document").alias("text_vector"), "features", "targets")
+
+
+@query()
+def work_set_rates(spark, sf_dir):
+    """Rates of every disclosure of the work set, predicted by a network that is fitted on the whole of it, on the executors."""
+    rows = stored(training_rows(spark, sf_dir), "work-set")
+    weights, _ = regressor.fit_rows(rows, epochs=3)
+    return regressor.predict(rows, weights)
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     """The events' keys as a stream ingests them: each new key once."""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import until_empty_page
@@ -39,15 +37,12 @@ def articles(feed: Column) -> Column:
     )
 
 
-# --- chained lists and detail pages ---
+# --- chained lists (chain.py follows them) and detail pages ---
 
 #: Cells of these classes keep their text alone, the row that names the next page, and the labels of a detail page.
 PLAIN_CELLS = ["ct", "wmx300"]
 NEXT_ROW = r"(?is)<tr\b(?=[^>]*\bid\s*=\s*[\"']?loading\b)[^>]*\bdata-nx\s*=\s*[\"']([^\"']*)"
 WHEN, MATERIAL = "【日時】", "【資料】"
-#: A page whose link leads nowhere, and where the list goes on.
-DEAD_ENDS = {"td?y=1744095600&p=1&f=140120250408510906": "td?y=1744093800"}
-
 
 def plain(c: Column) -> Column:
     """The text of a piece of HTML: tags and white space at its ends off, entities of markup resolved."""
@@ -70,24 +65,6 @@ def list_rows(html: Column, least: int = 3) -> Column:
     return F.filter(cells, lambda r: F.size(r) >= least)
 
 
-def next_page(html: Column) -> Column:
-    """Where the list goes on; null at its end."""
-    link = F.replace(F.replace(F.replace(F.regexp_extract(html, NEXT_ROW, 1), F.lit("&amp;"), F.lit("&")), F.lit("/"), F.lit("")), F.lit("&pg=true"), F.lit(""))
-    for dead, onward in DEAD_ENDS.items():
-        link = F.when(link == dead, F.lit(onward)).otherwise(link)
-    return F.nullif(link, F.lit(""))
-
-
-def follow(spark: SparkSession, fetch: Callable[[str], str | None], start: str, most: int) -> tuple[str | None, DataFrame]:
-    """The next cursor and the pages (cursor, html) of a chain from start, `most` at most. fetch gives a page's HTML, or None where there is none; the chain is a few pages, one after another by nature."""
-    found, cursor = [], start
-    while cursor is not None and len(found) < most and (html := fetch(cursor)) is not None:
-        found.append((cursor, html))
-        page = spark.createDataFrame([found[-1]], "cursor string, html string")
-        cursor = page.select(next_page(F.col("html")).alias("next")).first()["next"]
-    return cursor, spark.createDataFrame(found, "cursor string, html string")
-
-
 def title_and_path(c: Column, base: str) -> tuple[Column, Column]:
     """The title and URL of 'title=>/path'; without a path the URL is null."""
     path = F.nullif(F.regexp_extract(c, r"=>(\S+)", 1), F.lit(""))

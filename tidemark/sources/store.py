@@ -79,14 +79,14 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) and system.getFileStatus(at).isDirectory() else []
 
 
-def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     at, system = _at(spark, path)
     out = system.create(at, False)
     out.write(bytearray(data))
     out.close()
 
 
-def _read_bytes(spark: SparkSession, path: str) -> bytes:
+def read_bytes(spark: SparkSession, path: str) -> bytes:
     """A small file's content."""
     at, system = _at(spark, path)
     stream = system.open(at)
@@ -108,7 +108,7 @@ def committed(spark: SparkSession, path: str) -> list[str] | None:
         if not found:
             return None
         try:
-            return _read_bytes(spark, f"{path.rstrip('/')}/{COMMIT}{found[-1]:012}").decode().split("\n")
+            return read_bytes(spark, f"{path.rstrip('/')}/{COMMIT}{found[-1]:012}").decode().split("\n")
         except Exception as e:
             if "FileNotFound" not in str(e):
                 raise
@@ -120,7 +120,7 @@ def commit(spark: SparkSession, path: str, lines: list[str]) -> int:
     path, found = path.rstrip("/"), commits(spark, path)
     number = found[-1] + 1 if found else 0
     fresh = f"{path}/.fresh-{uuid.uuid4().hex}"
-    _write_bytes(spark, fresh, "\n".join(lines).encode())
+    write_bytes(spark, fresh, "\n".join(lines).encode())
     _renamed(spark, fresh, f"{path}/{COMMIT}{number:012}")
     return number
 
@@ -135,7 +135,7 @@ def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> Non
     number = commit(spark, path, [name])
     kept = {name, f"{COMMIT}{number:012}", f"{COMMIT}{number - 1:012}"}
     if number:
-        kept |= set(_read_bytes(spark, f"{path}/{COMMIT}{number - 1:012}").decode().split("\n"))
+        kept |= set(read_bytes(spark, f"{path}/{COMMIT}{number - 1:012}").decode().split("\n"))
     for old in _names(spark, path):
         if old not in kept and old.startswith(("v-", ".fresh-", COMMIT)):
             delete(spark, f"{path}/{old}")
@@ -310,7 +310,7 @@ MODEL_FILE = "weights.npz"
 
 def save_model(spark: SparkSession, weights: Mapping[str, np.ndarray], path: str) -> None:
     """Named arrays as one file, in place of an older one."""
-    replace(spark, path, lambda to: _write_bytes(spark, f"{to}/{MODEL_FILE}", packed_model(weights)))
+    replace(spark, path, lambda to: write_bytes(spark, f"{to}/{MODEL_FILE}", packed_model(weights)))
 
 
 def load_model(spark: SparkSession, path: str) -> dict[str, np.ndarray] | None:
@@ -319,4 +319,4 @@ def load_model(spark: SparkSession, path: str) -> dict[str, np.ndarray] | None:
     if at is None:
         return None
     file = f"{at}/{MODEL_FILE}" if _is_dir(spark, at) else at
-    return unpacked_model(_read_bytes(spark, file)) if exists(spark, file) else None
+    return unpacked_model(read_bytes(spark, file)) if exists(spark, file) else None
