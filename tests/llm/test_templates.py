@@ -114,7 +114,7 @@ def brute_template(pages):
     static = {t for v in classes for t in classes[v] if t & 1 and sum(map(bool, v)) >= 0.9 * len(pages) and len(pages) >= 5}
     chars = Counter()
     for root in roots:
-        for e, depth, n in html_text.slot_chars(root, static):
+        for e, depth, n, _ in html_text.slot_chars(root, static):
             if of.get(e.token) in valid and set(of[e.token]) <= {0, 1}:
                 chars[e.token, e.tag, depth] += n
     most = max(chars.values(), default=0)
@@ -184,3 +184,45 @@ def test_small_tables_against_their_articles(spark):
         inside = re.search("<article>(.*?)</article>", r.html, re.S)[1]
         parts = (" ".join(html.unescape(re.sub("<[^>]+>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inside))
         assert got[r.page_id] == "\n\n".join(filter(None, parts))
+
+
+DEEP = 100_000
+
+
+@pytest.mark.parametrize("page", ["<div class=sidebar>" + "<div>" * DEEP + "x", "<p>x</p>" + "<b class=nav>" * DEEP, "<div>" * DEEP + "x" + "</span>" * DEEP, "<div class=feedback>" * DEEP + "x", "<ul><li>" * DEEP + "x", "<article>" * DEEP + "x"])
+def test_deep_pages(page):
+    """Depth neither ends the task nor costs its square."""
+    assert templates.text_of(page, None) in ("", "x")
+    assert len(html_text.tokens(html_text.parse(page))) > DEEP
+
+
+def test_deep_page_among_others(spark):
+    page = "<body><ul><li><a href=/>Home</a></ul><div><h1>T{k}</h1><p>Story {k} has words enough to stand out</p></div></body>"
+    rows = [(k, "http://d.example/", page.format(k=k)) for k in range(6)] + [(9, "http://d.example/", "<div>" * DEEP + "<p>deep</p>")]
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"T{k}\n\nStory {k} has words enough to stand out" for k in range(6)} | {9: "deep"}
+
+
+@pytest.mark.parametrize("n", [4, 6, 60])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_headings_that_all_pages_have_stay(spark, n, tag):
+    page = "<body><nav>menu</nav><{t}><h1>Cake {k}</h1><h2>Ingredients</h2><p>{k} eggs and {k} spoons of flour</p><h2>Method</h2><p>Stir it {k} times and bake it for long</p></{t}></body>"
+    rows = [(k, "http://r.example/", page.format(k=k, t=tag)) for k in range(n)]
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Cake {k}\n\nIngredients\n\n{k} eggs and {k} spoons of flour\n\nMethod\n\nStir it {k} times and bake it for long" for k in range(n)}
+
+
+def test_pages_without_names_go_by_their_template(spark):
+    """With classes, ids, roles and telling tags taken away, what is left of a page's own tree finds no article; the template finds those of all hosts that have one."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    host = lambda r: re.sub(r"\w+://([^/]*).*", r"\1", r.url)
+
+    def bare(page):
+        return re.sub(r"<(/?)(article|main|nav|aside|header|footer|section)\b", r"<\1div", re.sub(r"\s(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page))
+
+    want = {r.page_id: templates.text_of(r.html, None) for r in rows}
+    often = Counter(map(host, rows))
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in rows], "page_id long, url string, html string")).collect()}
+    held = [r for r in rows if often[host(r)] >= templates.MIN_PAGES]
+    assert not any(templates.text_of(bare(r.html), None) == want[r.page_id] for r in rows)
+    assert len(held) >= 200 and sum(got[r.page_id] == want[r.page_id] for r in held) >= 0.95 * len(held)

@@ -4,8 +4,9 @@ A text is first split at the tokenizer's added tokens, which have ids of
 their own. What lies between them is split where the tokenizer's own pattern
 always splits it (before a blank that precedes a word, and around other white
 space), each distinct piece is merged once by the library's BPE model and its
-ids are remembered. The memory has a fixed number of pieces, so a task's size
-doesn't depend on its vocabulary.
+ids are remembered. The memory has a fixed number of short pieces; longer ones
+are merged where they stand. So a task's size doesn't depend on its vocabulary
+nor on how its texts are written.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: A unit is remembered if it has at most four times so many bytes.
+REMEMBERED = 16
 #: Marks that end a word: one of them behind letters is a part of its own.
 ENDS = frozenset(".,;:!?)]\"'")
 UNITS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -37,7 +40,7 @@ def byte_letters() -> list[str]:
 
 
 class Memory(dict):
-    """Ids of units as little-endian unsigned 32-bit integers; when full it becomes the elder memory, whose units come back when asked for."""
+    """Ids of units as little-endian unsigned 32-bit integers; when full it becomes the elder memory, whose units come back when asked for. Long units aren't kept."""
 
     def __init__(self, ids_of, limit: int) -> None:
         self.ids_of, self.limit, self.elder = ids_of, limit, {}
@@ -46,6 +49,8 @@ class Memory(dict):
         if len(self) >= self.limit:
             self.elder = dict(self)
             self.clear()
+        if len(unit) > REMEMBERED and len(unit.encode()) > 4 * REMEMBERED:
+            return self.ids_of(unit)
         out = self.elder.get(unit)
         if out is None:
             out = self.ids_of(unit)

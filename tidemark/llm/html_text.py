@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import xxhash
@@ -14,6 +15,7 @@ BLOCKS = set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 header footer nav aside ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption form fieldset legend details summary address center menu dialog hgroup search".split()
 )
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
@@ -71,11 +73,19 @@ def heads(names: str) -> frozenset[str]:
     return frozenset(found)
 
 
+#: Tags whose presence around and below an element is kept as bits.
+BIT = {"article": 1, "main": 2}
+
+
 class Element:
-    __slots__ = ("chars", "children", "known", "label", "names", "other", "parent", "tag", "token")
+    """A node of a page. inside and below: bits of the tags of BIT among what is around and what is below it; linked: characters of its own text within links; top: the page."""
+
+    __slots__ = ("below", "chars", "children", "inside", "known", "label", "linked", "names", "other", "parent", "tag", "token", "top")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None) -> None:
-        self.tag, self.parent, self.children, self.known, self.chars = tag, parent, [], None, None
+        self.tag, self.parent, self.children, self.known, self.chars, self.below = tag, parent, [], None, None, 0
+        self.linked = 0
+        self.inside, self.top = (0, self) if parent is None else (parent.inside | BIT.get(parent.tag, 0), parent.top)
         if not attributes:
             self.label, self.names, self.other = tag, NO_NAMES, tag in OTHER_TAGS
             self.token = token_of(tag, parent.token if parent else 0)
@@ -94,13 +104,18 @@ class Element:
         )
 
     def within(self, *tags: str) -> bool:
-        up = self.parent
-        while up is not None and up.tag not in tags:
-            up = up.parent
-        return up is not None
+        return any(self.inside & BIT[t] for t in tags)
 
     def holds(self, *tags: str) -> bool:
-        return any(isinstance(c, Element) and (c.tag in tags or c.holds(*tags)) for c in self.children)
+        return any(self.below & BIT[t] for t in tags)
+
+    def add(self, child: Element) -> None:
+        """Takes in a child; each element above learns of a tag below it once."""
+        self.children.append(child)
+        up, bit = self, BIT.get(child.tag, 0)
+        while bit and up is not None and not up.below & bit:
+            up.below |= bit
+            up = up.parent
 
     def is_other(self) -> bool:
         """Whether the element isn't part of an article; asked once its children are known."""
@@ -133,9 +148,7 @@ class Element:
         """Whether a block has over half of its page's characters; asked once the page is parsed."""
         if self.tag not in BLOCKS:
             return False
-        top = self
-        while top.parent is not None:
-            top = top.parent
+        top = self.top
         if top.chars is None:
             for e in reversed(list(elements(top))):
                 e.chars = len(own_text(e)) + sum(c.chars for c in e.children if isinstance(c, Element))
@@ -147,51 +160,73 @@ def attributes_of(text: str) -> dict[str, str]:
 
 
 def parse(page: str) -> Element:
-    """The tree of a page's block elements and of others that are no part of an article; texts, white space kept, lie between them."""
+    """The tree of a page's block elements and of others that are no part of an article; texts, white space kept, lie between them.
+
+    The time is in proportion to the page, however deep its elements lie: an
+    end tag without a start is known by the count of open ones.
+    """
     root = at = Element("#page", {}, None)
-    place, low = 0, None
+    place, low, opened, linked = 0, None, Counter(), False
+
+    def left(upto: Element | None) -> Element:
+        """Closes elements up to and with one; where the page goes on."""
+        e = at
+        while e is not upto:
+            opened[e.tag] -= 1
+            e = e.parent
+        opened[e.tag] -= 1
+        return e.parent
+
     for m in iter_tags(page):
         if m.start() > place:
             at.children.append(html.unescape(page[place : m.start()]))
+            if linked:
+                at.linked += len(at.children[-1].strip())
         place = max(place, m.end())
         if m.start() < place - (m.end() - m.start()):
             continue
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
+        if tag == "a":  # a link in a link ends the first
+            linked = not (m[1] or m[4])
         if m[1] or m[4]:
-            up = at
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                at = up.parent
+            if opened[tag] > 0:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = left(up)
             elif tag == "p":
-                at.children.append(Element("p", {}, at))
+                at.add(Element("p", {}, at))
             continue
         if tag in ("br", "hr", "wbr"):
-            at.children.append(Element("hr", {}, at) if tag == "hr" else " " if tag == "br" else "")
+            if tag == "hr":
+                at.add(Element("hr", {}, at))
+            else:
+                at.children.append(" " if tag == "br" else "")
         if tag in VOID:
             continue
         if tag in BLOCKS:
             while at.tag == "p":
-                at = at.parent
-            if tag in CLOSES:
+                at = left(at)
+            if any(opened[t] > 0 for t in CLOSES.get(tag, ())):
                 up = at
                 while up is not root and up.tag not in CLOSES[tag] and up.tag not in SCOPES:
                     up = up.parent
                 if up.tag in CLOSES[tag]:
-                    at = up.parent
+                    at = left(up)
         more = m[3] or m[6] or ""
         new = Element(tag, attributes_of(more), at) if tag in BLOCKS or tag in OTHER_TAGS or TELLING.search(more) else None
         if new is not None and (tag in BLOCKS or new.judged()):
-            at.children.append(new)
+            at.add(new)
             at = new
+            opened[tag] += 1
         if tag in RAW:
             low = low if low is not None else page.lower()
             end = low.find(f"</{tag}", place)
             place = len(page) if end < 0 else end
             if new is not None and at is new:
-                at = new.parent
+                at = left(new)
     if place < len(page):
         at.children.append(html.unescape(page[place:]))
     return root
@@ -211,7 +246,7 @@ def iter_tags(page: str) -> Iterator[re.Match]:
 
 
 def blocks(top: Element, static: frozenset[int] = frozenset()) -> Iterator[str]:
-    """The texts of the blocks below an element, in page order, without what isn't an article's, nor elements' own texts whose token is static."""
+    """The texts of the blocks below an element, in page order, without what isn't an article's, nor elements' own texts whose token is static, headings apart."""
     run: list[str] = []
 
     def flush() -> Iterator[str]:
@@ -219,7 +254,7 @@ def blocks(top: Element, static: frozenset[int] = frozenset()) -> Iterator[str]:
             yield text
         run.clear()
 
-    kept = lambda e: iter([c for c in e.children if not isinstance(c, str)] if static and text_token(e) in static else e.children)
+    kept = lambda e: iter([c for c in e.children if not isinstance(c, str)] if static and e.tag not in HEADINGS and text_token(e) in static else e.children)
     todo: list = [kept(top)]
     while todo:
         child = next(todo[-1], None)
@@ -264,17 +299,19 @@ def tokens(root: Element) -> list[int]:
     return out
 
 
-def slot_chars(root: Element, static: set[int] | frozenset[int]) -> list[tuple[Element, int, int]]:
-    """Every element that a reader sees, in page order, with its depth and the characters in and below it that aren't static."""
+def slot_chars(root: Element, static: set[int] | frozenset[int]) -> list[tuple[Element, int, int, int]]:
+    """Every element that a reader sees, in page order, with its depth, the characters in and below it that aren't static, and those of them that are links' text."""
     found: list[list] = []
     todo: list[tuple[Element, list | None, int]] = [(root, None, 0)]
     while todo:
         e, up, depth = todo.pop()
         text = own_text(e)
-        mine = [e, depth, 0 if not text or text_token(e, text) in static else len(text), up]
+        chars = 0 if not text or text_token(e, text) in static else len(text)
+        mine = [e, depth, chars, min(chars, e.linked), up]
         found.append(mine)
         todo += [(c, mine, depth + 1) for c in reversed(e.children) if not isinstance(c, str) and (c.tag not in OTHER_TAGS or c.tag in SEEN)]
-    for _, _, chars, up in reversed(found):
+    for _, _, chars, links, up in reversed(found):
         if up is not None:
             up[2] += chars
-    return [(e, depth, chars) for e, depth, chars, _ in found]
+            up[3] += links
+    return [(e, depth, chars, links) for e, depth, chars, links, _ in found]

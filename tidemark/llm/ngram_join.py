@@ -62,12 +62,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash; forgets all when full."""
+    """Word -> 64-bit hash; forgets all when full, and doesn't keep long words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
+        out = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = out
         return out
 
     @classmethod

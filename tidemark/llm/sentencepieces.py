@@ -33,6 +33,8 @@ from tidemark.llm import common
 
 BLANK = "▁"
 AT_ONCE = 64
+#: Units of more characters are forgotten once their texts are done.
+REMEMBERED = 64
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n[^{BLANK}\n]*|[^{BLANK}\n]+")
 BYTE = re.compile("<0x([0-9A-F]{2})>")
 
@@ -87,13 +89,16 @@ class Encoded(NamedTuple):
 
 
 class Units(dict):
-    """Unit of normalised text -> its ids as bytes, `<u4`; forgets all when full."""
+    """Unit of normalised text -> its ids as bytes, `<u4`; forgets all when full, and long units at the next call."""
 
     def __init__(self, merge, limit: int) -> None:
-        self.merge, self.limit = merge, limit
+        self.merge, self.limit, self.long = merge, limit, []
 
     def learn(self, units: set[str]) -> None:
         """Merges the units that aren't known in one call."""
+        for u in self.long:
+            self.pop(u, None)
+        self.long = [u for u in units if len(u) > REMEMBERED]
         if len(self) + len(units) > self.limit:
             self.clear()
         new = [u for u in units if u not in self]

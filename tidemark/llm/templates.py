@@ -18,7 +18,10 @@ their own texts. Over the pages of one host
 4. the main slots are those below one element of the template, found by what
    slots hold and not by names: of the elements with over HALF of the host's
    text in slots, the outermost article, else main, else the deepest that
-   has MOST of it.
+   has MOST of it;
+5. if that is no article and holds little but containers, these are of kinds,
+   told by their path and what they begin with. Counts over the host's pages
+   judge kinds: those with little text, or mostly links, are left out.
 
 A page's text are the blocks of its main slots. Within them menus, adverts,
 forms, scripts and comments are left out by tag, role, class or id, since
@@ -49,6 +52,9 @@ MIN_PAGES, MIN_SUPPORT, MIN_TOKENS = 3, 0.5, 2
 HALF, MOST = 0.5, 0.95
 #: Static text is on this share of a host's pages, of which there are so many.
 STATIC_SHARE, STATIC_PAGES = 0.9, 5
+#: A kind of container is left out if it has less than this share of the text of the largest kind, or a larger share of links than of other text.
+KIND_SHARE = 0.25
+CONTAINERS = frozenset(("div", "section", "center", "td", "ul", "ol"))
 #: Templates of so many tokens in all are sent to every task; more are joined by host.
 BROADCAST_TOKENS = 1_000_000
 SALTS = 16
@@ -106,9 +112,9 @@ def order_of(sequence: list[int], size: int) -> tuple[int, ...] | None:
 def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
     """host, class_no, tokens in page order, parent (class or null), static, slots (token, tag, depth, chars): the valid classes.
 
-    slots are of elements that a page has once; chars: text of all pages in and below the element that isn't static.
+    slots are of elements that a page has once; chars: text of all pages in and below the element that isn't static; kinds (kind, chars, links): of its children.
     """
-    schema = pa.schema([("host", pa.string()), ("class_no", pa.int64()), ("order", pa.string()), ("parent", pa.int64()), ("token", pa.int64()), ("tag", pa.string()), ("depth", pa.int64()), ("chars", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("class_no", pa.int64()), ("order", pa.string()), ("parent", pa.int64()), ("token", pa.int64()), ("tag", pa.string()), ("depth", pa.int64()), ("kind", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -125,21 +131,28 @@ def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
                 for token in html_text.tokens(root):
                     if token in class_of:
                         sequence.setdefault(class_of[token], []).append(token)
+                # of the nearest element of a class, itself or around it: its class, and the nearest other class around that
+                near: dict[int, tuple[int, int | None] | None] = {}
                 for e in html_text.elements(root):
-                    own, up = class_of.get(e.token), e.parent
-                    if own is not None:
-                        while up is not None and class_of.get(up.token, own) == own:
-                            up = up.parent
-                        parents.setdefault(own, set()).add(class_of[up.token] if up is not None else None)
+                    own, around = class_of.get(e.token), near[id(e.parent)] if e.parent is not None else None
+                    if own is None:
+                        near[id(e)] = around
+                        continue
+                    above = None if around is None else around[0] if around[0] != own else around[1]
+                    near[id(e)] = own, above
+                    parents.setdefault(own, set()).add(above)
                 for number, tokens in sequence.items():
                     order, above = order_of(tokens, size[number]), parents.get(number, {None})
                     # the class's outermost elements tell its parent; deeper ones lie in classes nested in it
-                    yield host, number, "" if order is None else ",".join(map(str, order)), min(above, key=lambda p: (p is not None, p or 0)), None, None, None, 0
-                for e, depth, chars in html_text.slot_chars(root, static):
+                    yield host, number, "" if order is None else ",".join(map(str, order)), min(above, key=lambda p: (p is not None, p or 0)), None, None, None, None, 0, 0
+                below = html_text.slot_chars(root, static)
+                for e, depth, chars, links in below:
                     if e.token in once:
-                        yield host, class_of[e.token], None, None, e.token, e.tag, depth, chars
+                        yield host, class_of[e.token], None, None, e.token, e.tag, depth, None, chars, links
+                    if e.parent is not None and e.parent.token in once:
+                        yield host, class_of[e.parent.token], None, None, e.parent.token, e.parent.tag, depth - 1, kind_of(e), chars, links
 
-    fields = "host string, class_no long, `order` string, parent long, token long, tag string, depth long, chars long"
+    fields = "host string, class_no long, `order` string, parent long, token long, tag string, depth long, kind long, chars long, links long"
     seen = common.stored(with_classes(pages, found).select("host", "classes", "html").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), schema, 16384), fields), "template-orders")
     valid = (
         seen.where("order is not null")
@@ -147,12 +160,22 @@ def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
         .agg(F.min("order").alias("order"), F.max("order").alias("last"), F.min("parent").alias("parent"), F.max("parent").alias("other"))
         .where(F.col("order").eqNullSafe(F.col("last")) & (F.col("order") != "") & F.col("parent").eqNullSafe(F.col("other")))
     )
-    each = seen.where("token is not null").groupBy("host", "class_no", "token", "tag", "depth").agg(F.sum("chars").alias("chars"))
-    slots = each.groupBy("host", "class_no").agg(F.collect_list(F.struct("token", "tag", "depth", "chars")).alias("slots"))
+    each = seen.where("token is not null").groupBy("host", "class_no", "token", "tag", "depth", "kind").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    kinds = F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "chars", "links"))).alias("kinds")
+    each = each.groupBy("host", "class_no", "token", "tag", "depth").agg(F.sum(F.when(F.col("kind").isNull(), F.col("chars"))).alias("chars"), kinds)
+    slots = each.groupBy("host", "class_no").agg(F.collect_list(F.struct("token", "tag", "depth", "chars", "kinds")).alias("slots"))
     every = found.select("host", "class_no", "static")
     return valid.join(slots, ["host", "class_no"], "left").join(every, ["host", "class_no"]).select("host", "class_no", F.split("order", ",").cast("array<bigint>").alias("tokens"), "parent", "static", "slots")
 
 
+def kind_of(e: html_text.Element) -> int:
+    """The kind of a container: its path, and the tag of what it begins with; 0 for other elements."""
+    if e.tag not in CONTAINERS:
+        return 0
+    first = next((c.tag if not isinstance(c, str) else "#" for c in e.children if not isinstance(c, str) or c.strip()), "")
+    return html_text.token_of(f"kind {first}", e.token)
+
+
 def in_template(valid: DataFrame) -> DataFrame:
     """The valid classes whose parents lead up to a class without a parent; nesting is as deep as pages' elements, so it's followed down level by level."""
     level, kept = valid.where("parent is null"), None
@@ -184,7 +207,7 @@ def main_chars(root: html_text.Element) -> list[tuple[html_text.Element, int]]:
 
 
 def main_slots(template: DataFrame) -> DataFrame:
-    """host, main (the element whose slots are the main ones, or null) and static (tokens of static text) of each template."""
+    """host, main (the element whose slots are the main ones, or null), static (tokens of static text) and kinds (of main's containers, those that are kept; empty: all) of each template."""
     each = template.select("host", F.explode("slots").alias("s")).select("host", "s.*").where("chars > 0")
     most = each.groupBy("host").agg(F.max("chars").alias("most"))
     # elements with over half of the text lie in one another
@@ -193,7 +216,15 @@ def main_slots(template: DataFrame) -> DataFrame:
     deepest = F.max_by("token", F.when(F.col("chars") >= MOST * F.col("most"), F.col("depth")))
     main = nested.groupBy("host").agg(F.coalesce(outer("article"), outer("main"), deepest).alias("main"))
     static = template.where("static").select("host", F.explode("tokens").alias("token")).where(F.col("token").bitwiseAND(F.lit(1)) == 1).groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("static"))
-    return main.join(static, "host", "full").select("host", "main", F.coalesce("static", F.array().cast("array<bigint>")).alias("tokens"))
+    # kinds of an element with little but containers
+    own = each.join(main, "host").where("token = main").select("host", "chars", "kinds")
+    loose = F.aggregate("kinds", F.lit(0).cast("bigint"), lambda n, k: n + F.when(k["kind"] == 0, k["chars"]).otherwise(0))
+    plain = F.filter("kinds", lambda k: (k["kind"] != 0) & (2 * k["links"] <= k["chars"]))
+    largest = F.array_max(F.transform(plain, lambda k: k["chars"]))
+    rest = F.transform(F.filter(plain, lambda k: k["chars"] >= KIND_SHARE * largest), lambda k: k["kind"])
+    kinds = own.select("host", F.when(loose <= (1 - MOST) * F.col("chars"), rest).alias("kinds"))
+    none = F.array().cast("array<bigint>")
+    return main.join(static, "host", "full").join(kinds, "host", "left").select("host", "main", F.coalesce("static", none).alias("tokens"), F.coalesce("kinds", none).alias("kinds"))
 
 
 def deepest_article(root: html_text.Element) -> html_text.Element:
@@ -213,10 +244,15 @@ def slot_of(root: html_text.Element, main: int | None) -> html_text.Element | No
     return found
 
 
-def text_of(page: str, main: int | None, static: frozenset[int] = frozenset()) -> str:
+def text_of(page: str, main: int | None, static: frozenset[int] = frozenset(), kinds: frozenset[int] = frozenset()) -> str:
     root = html_text.parse(page)
     slot = slot_of(root, main)
     top = slot if slot is not None and slot.tag in ("article", "main") else deepest_article(root if slot is None else slot)
+    if top.tag in ("article", "main"):  # what an author repeats on every page is the author's
+        return "\n\n".join(html_text.blocks(top))
+    kept = [c for c in top.children if not isinstance(c, str) and kind_of(c) in kinds and not c.is_other()] if top is slot else []
+    if kept and (found := [text for c in kept for text in html_text.blocks(c, static)]):
+        return "\n\n".join(found)
     return "\n\n".join(list(html_text.blocks(top, static)) or html_text.blocks(top))
 
 
@@ -238,7 +274,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for page_id, url, known, page in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("classes").to_pylist(), batch.column("html"), strict=True):
-                text = text_of(page.as_py(), known[0]["main"], frozenset(known[0]["tokens"])) if known else text_of(page.as_py(), None)
+                text = text_of(page.as_py(), known[0]["main"], frozenset(known[0]["tokens"]), frozenset(known[0]["kinds"])) if known else text_of(page.as_py(), None)
                 yield page_id, url, text, len(text)
 
     return with_classes(own, slots).select("page_id", "url", "classes", "html").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), EXTRACTED), "page_id long, url string, text string, n_chars long")
