@@ -1,7 +1,7 @@
 """Text chain, relational operators, streams and the regressor on small fixtures."""
 
 import os
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -106,6 +106,61 @@ def test_stream_by_day_reads_its_days_alone(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["in", "offsets", "table"]
 
 
+EVENT = "code string, title string, at timestamp"
+
+
+def test_keys_are_remembered_for_a_time(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    write = lambda *rows: spark.createDataFrame([(c, t, datetime(2024, 1, 1) + timedelta(hours=h)) for c, t, h in rows], EVENT).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        q = ingest.ingest_once(spark.readStream.schema(EVENT).parquet(source), table, ["code", "title"], "at", str(tmp_path / "offsets"), keep="2 hours")
+        q.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+    def read():
+        return sorted((r.code, r.at.day, r.at.hour) for r in spark.read.parquet(table).collect())
+
+    write(("1", "a", 0), ("1", "a", 1), ("2", "b", 1))
+    run()
+    assert read() == [("1", 1, 0), ("2", 1, 1)]
+    write(("1", "a", 1), ("3", "c", 2))  # a repeat, in another run
+    full = run()
+    assert read() == [("1", 1, 0), ("2", 1, 1), ("3", 1, 2)]
+    write(("9", "z", 60))  # the watermark passes all keys before
+    assert run()[-1] == 1 < max(full)
+    write(("1", "a", 61))
+    run()
+    assert read() == [("1", 1, 0), ("1", 3, 13), ("2", 1, 1), ("3", 1, 2), ("9", 3, 12)]
+    plan = ingest.first_per_key(spark.readStream.schema(EVENT).parquet(source), ["code"], "at")._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Python" not in plan
+
+
+def test_alerts_outlast_a_sink_that_fails(spark, tmp_path):
+    source, table, taken, broken = str(tmp_path / "in"), str(tmp_path / "table"), [], [2, 5]
+    rows = [(str(k), "増配" if k % 2 else "x", datetime(2024, 1, 1, k)) for k in range(12)] + [("1", "増配", datetime(2024, 1, 1, 13))]
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(source)
+    ingest.ingest_once(spark.readStream.schema(EVENT).parquet(source), table, ["code"], "at", str(tmp_path / "offsets")).awaitTermination()
+
+    def sink(record):
+        if broken and len(taken) == broken[0]:
+            broken.pop(0)
+            raise ConnectionError("the sink is away")
+        taken.append(record["code"])
+
+    run = lambda: ingest.deliver(spark.readStream.schema(EVENT).parquet(table), ["code"], "title", ["増配"], sink, str(tmp_path / "marks"), str(tmp_path / "sent")).awaitTermination()
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException):
+            run()
+    run()
+    run()  # nothing is left
+    assert sorted(taken, key=int) == ["1", "3", "5", "7", "9", "11"] and not broken
+    spark.createDataFrame([("21", "増配", datetime(2024, 1, 1, 20)), ("3", "増配", datetime(2024, 1, 1, 20))], EVENT).coalesce(1).write.mode("append").parquet(source)
+    ingest.ingest_once(spark.readStream.schema(EVENT).parquet(source), table, ["code"], "at", str(tmp_path / "offsets")).awaitTermination()
+    run()
+    assert taken[6:] == ["21"]
+
+
 def test_days_are_replaced_or_merged(spark, tmp_path):
     path = str(tmp_path / "days")
     frame = lambda rows: spark.createDataFrame(rows, "code string, title string, seq int, day string").withColumn("day", F.to_date("day"))
