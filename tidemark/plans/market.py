@@ -329,18 +329,27 @@ m AS (WITH RECURSIVE t AS (SELECT code, date, rn, close AS f, close AS s, 0.0::D
     t.g * (1 - 2.0::DOUBLE / 10) + ((t.f * (1 - 2.0::DOUBLE / 13) + n.close * (2.0::DOUBLE / 13)) - (t.s * (1 - 2.0::DOUBLE / 27) + n.close * (2.0::DOUBLE / 27))) * (2.0::DOUBLE / 10)
   FROM t JOIN n ON n.code = t.code AND n.rn = t.rn + 1) SELECT code, date, f - s AS macd, g AS signal FROM t)"""
 LASTS = ", ".join([f"last_value({c} IGNORE NULLS) OVER {NEAR} {c}" for c in training.LAST_NEAR] + [f"last_value({c} IGNORE NULLS) OVER {EVER} {c}" for c in training.LAST_EVER])
-FEATURE_SQL = f"""WITH {INDICATORS}, {MACD_ROWS}, {INDEX}, {GROWTH}, {FIN}, {TYPED}, {DISC}, {EVENTS}, {as_of_sql('<=')}, {imputed_sql('found')}, {RATIOS},
+def feature_sql(win: str) -> str:
+    """win: the bars of each event's window (id, change, atr14) with the changes of both indices, y and z."""
+    return f"""WITH {INDICATORS}, {MACD_ROWS}, {INDEX}, {GROWTH}, {FIN}, {TYPED}, {DISC}, {EVENTS}, {as_of_sql('<=')}, {imputed_sql('found')}, {RATIOS},
 l AS (SELECT code, date, macd, signal, {LASTS} FROM d JOIN m USING (code, date)),
 ic AS (SELECT date, (close / nullif(lag(close) OVER (ORDER BY date), 0) - 1) * 100 y FROM idx), gc AS (SELECT date, (close / nullif(lag(close) OVER (ORDER BY date), 0) - 1) * 100 z FROM grow),
-win AS (SELECT e.id, d.change, d.atr14, ic.y, gc.z FROM ratio e JOIN d ON d.code = e.code AND d.date >= e.date - 200 AND d.date < e.date + 1
-  LEFT JOIN ic ON ic.date = d.date LEFT JOIN gc ON gc.date = d.date),
-agg AS (SELECT id, avg(atr14) atr,
+{win}agg AS (SELECT id, avg(atr14) atr,
   covar_pop(change, y) FILTER (change IS NOT NULL AND y IS NOT NULL) / nullif(stddev_pop(change) FILTER (y IS NOT NULL) * stddev_pop(y) FILTER (change IS NOT NULL), 0) index_corr,
   covar_pop(change, z) FILTER (change IS NOT NULL AND z IS NOT NULL) / nullif(stddev_pop(change) FILTER (z IS NOT NULL) * stddev_pop(z) FILTER (change IS NOT NULL), 0) growth_corr FROM win GROUP BY id)
 SELECT id, {", ".join(f"coalesce({sq4(c)}, 0) AS {c}" for c in training.FEATURES if c != "atr")}, floor(atr * 100.0::DOUBLE + 0.3217::DOUBLE) / 100.0::DOUBLE AS atr
 FROM (SELECT id, code, date, eps, roe, per, pbr, ln(1 + cap) cap_log FROM ratio) JOIN agg USING (id) JOIN l USING (code, date)"""
 
 
+BY_DATE = """win AS (SELECT e.id, d.change, d.atr14, ic.y, gc.z FROM ratio e JOIN d ON d.code = e.code AND d.date >= e.date - 200 AND d.date < e.date + 1
+  LEFT JOIN ic ON ic.date = d.date LEFT JOIN gc ON gc.date = d.date),"""
+BY_ORDINAL = """bw AS (SELECT e.id, e.date, d.date bar_date, d.change, d.atr14, row_number() OVER (PARTITION BY e.id ORDER BY d.date) place FROM ratio e JOIN d ON d.code = e.code AND d.date >= e.date - 200 AND d.date < e.date + 1),
+ind AS (SELECT coalesce(ic.date, gc.date) AS date, y, z, row_number() OVER (ORDER BY coalesce(ic.date, gc.date)) ordinal FROM ic FULL JOIN gc ON ic.date = gc.date),
+be AS (SELECT x.date, min(ordinal) AS first FROM (SELECT DISTINCT date FROM ratio) x JOIN ind ON ind.date >= x.date - 200 GROUP BY x.date),
+win AS (SELECT bw.id, bw.change, bw.atr14, CASE WHEN h.id IS NOT NULL THEN y END y, CASE WHEN h.id IS NOT NULL THEN z END z FROM bw LEFT JOIN be USING (date) LEFT JOIN ind ON ordinal = first + place - 1
+  LEFT JOIN (SELECT id, bar_date FROM bw) h ON h.id = bw.id AND h.bar_date = ind.date),"""
+
+
 def feature_rows(spark: SparkSession, sf_dir: str, align: str = "date") -> tuple[DataFrame, DataFrame]:
     """The features of all disclosures, and the bars that they're made of: one pass over the trades for all bars, stored, and one for the statements."""
     placed = stored(entities.placed_bars(spark, sf_dir), "bars")
@@ -348,15 +357,24 @@ def feature_rows(spark: SparkSession, sf_dir: str, align: str = "date") -> tuple
     return training.features(events(spark, sf_dir), statements(spark, sf_dir), placed.drop("first", "last"), entities.merged_bars(placed), growth, align), placed
 
 
-@query(FEATURE_SQL)
-def feature_vectors(spark, sf_dir):
-    """The network's 17 features of every disclosure, missing ones 0."""
-    found, _ = feature_rows(spark, sf_dir)
-    # a mean of means often ends in halves: it's cut where no such mean falls
+def shown_features(found: DataFrame) -> DataFrame:
+    """Features with missing ones 0. A mean of means often ends in halves: it's cut where no such mean falls."""
     shown = [F.coalesce(q4(F.col(c)), F.lit(0.0)).alias(c) for c in training.FEATURES if c != "atr"]
     return found.select("id", *shown, (F.floor(F.col("atr") * 100.0 + 0.3217) / 100.0).alias("atr"))
 
 
+@query(feature_sql(BY_DATE))
+def feature_vectors(spark, sf_dir):
+    """The network's 17 features of every disclosure."""
+    return shown_features(feature_rows(spark, sf_dir)[0])
+
+
+@query(feature_sql(BY_ORDINAL))
+def feature_vectors_ordinal(spark, sf_dir):
+    """The same with bars and index days paired by their place in the event's days."""
+    return shown_features(feature_rows(spark, sf_dir, "ordinal")[0])
+
+
 @query(f"WITH {BARS}, {MACD_ROWS} SELECT code, date, {sq4('macd')} AS macd, {sq4('signal')} AS signal FROM m")
 def macd_series(spark, sf_dir):
     """MACD and its signal at every bar."""
