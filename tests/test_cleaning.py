@@ -32,6 +32,7 @@ def test_sentences(spark):
     rng = random.Random(8)
     texts = [None, "", long + "短い。" + long, "（括弧の中。句点）" + long, "（開いたまま。" + long, "(a)" * 30_000 + "。" + long, long.rstrip("。") * 4000]
     texts += ["".join(rng.choices("あいう漢字。。！？(（)） \n\x1c　x", weights=[9, 9, 9, 9, 9, 2, 1, 1, 1, 1, 1, 1, 1, 2, 1, 1, 1, 9], k=rng.randint(0, 200))) for _ in range(800)]
+    texts += ["".join(rng.choices("あいう漢字。！?) \n　x", weights=[9, 9, 9, 9, 9, 1, 1, 1, 1, 2, 1, 1, 9], k=rng.randint(0, 200))) for _ in range(400)]  # nothing opens a bracket
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", C.sentences(F.col("t")).alias("s"))
     got = {r.k: r.s for r in rows.collect()}
     assert got == {k: split_sentences(t) for k, t in enumerate(texts)}

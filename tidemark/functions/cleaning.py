@@ -190,7 +190,11 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, rang
 
 def sentences(c: Column, least: int = 21) -> Column:
     """Sentences of at least `least` characters once stripped. A full stop in brackets ends none; any closing bracket ends all brackets."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s, F.lit(BLANKS)))
+    text = F.coalesce(c, F.lit(""))
+    parts = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    if least > 1:  # without brackets a sentence ends behind its mark; further marks are parts of one character
+        parts = F.when(F.contains(text, F.lit("(")) | F.contains(text, F.lit("（")), parts).otherwise(F.split(text, "(?<=[。！!？?])"))
+    found = F.transform(parts, lambda s: F.trim(s, F.lit(BLANKS)))
     return F.filter(found, lambda s: F.length(s) >= least)
 
 
@@ -204,8 +208,9 @@ def body(c: Column) -> Column:
 
 
 def notice(c: Column, words: list[str], most: int = 1000) -> Column:
-    """The sentences of a text that hold one of the words, joined, up to `most` characters."""
-    return F.substring(F.array_join(F.filter(sentences(c), lambda s: holds_any(s, words)), ""), 1, most)
+    """The sentences of a text that hold one of the words, joined, up to `most` characters. A text without any isn't cut up."""
+    held = F.substring(F.array_join(F.filter(sentences(c), lambda s: holds_any(s, words)), ""), 1, most)
+    return F.when(F.coalesce(holds_any(c, words), F.lit(False)), held).otherwise(F.lit(""))
 
 
 def highlighted(c: Column, words: list[str]) -> Column:

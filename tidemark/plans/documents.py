@@ -110,12 +110,13 @@ def calendar_rows(spark, sf_dir):
 
 @query()
 def sentence_keep(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.size(C.sentences(F.col("text"))).alias("n_sentences"), F.array_join(C.sentences(F.col("text")), "|").alias("text"))
+    found = docs(spark, sf_dir).select("doc_id", C.sentences(F.col("text")).alias("sentences"))
+    return found.select("doc_id", F.size("sentences").alias("n_sentences"), F.array_join("sentences", "|").alias("text"))
 
 
 @query()
 def keyword_notice(spark, sf_dir):
-    return text(spark, sf_dir, C.notice(F.regexp_replace("text", r"\.", "。"), ["the", "der", "que"]))
+    return text(spark, sf_dir, C.notice(F.replace(F.col("text"), F.lit("."), F.lit("。")), ["the", "der", "que"]))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)(the)', ' `\1` ', 'g'), '(?i)(und)', ' `\1` ', 'g') AS text FROM documents")
