@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import guarded_corr, percent_change
 from tidemark.operators import fundamentals, prices, recurrences
+from tidemark.sources.store import stored
 
 # --- fixed values: the features and targets in the network's order ---
 
@@ -15,6 +18,8 @@ TARGETS = tuple(f"rate_{d}" for d in prices.HORIZONS)
 #: Indicators whose last value is looked for in the days before the event alone, and in the whole series up to it.
 LAST_NEAR, LAST_EVER = ("rsi14", "ma50", "ma200"), ("upper", "lower", "pr14", "adx14")
 DAYS_BACK = 200
+#: Of its sum of squares, the share of a variance below which it is rounding.
+NO_SPREAD = 1e-11
 
 
 def ratios_at(events: DataFrame, statements: DataFrame, bars: DataFrame) -> DataFrame:
@@ -67,13 +72,40 @@ def features(events: DataFrame, statements: DataFrame, bars: DataFrame, index: D
     macd = recurrences.with_macd(bars.select("code", "date", "close")).drop("close")
     found = prices.with_indicators(bars.select("code", "date", "open", "high", "low", "close", "volume"))
     last = found.select("code", "date", "change", "atr14", *((near(seen(c)) if c in LAST_NEAR else F.last(c, ignorenulls=True).over(upto)).alias(c) for c in LAST_NEAR + LAST_EVER))
-    base = ratios_at(events, statements, bars).select("id", "code", "date", "eps", "roe", "per", "pbr", "cap_log")
-    marked = last.select("code", "date", "change", "atr14")
+    base = stored(ratios_at(events, statements, bars).select("id", "code", "date", "eps", "roe", "per", "pbr", "cap_log"), "ratios")
     indices = daily(index, "index_change").join(daily(growth, "growth_change"), "date", "full")
-    window = prices.around(marked, base.select("id", "code", "date"), F.date_sub("date", DAYS_BACK), F.date_add("date", 1)).select("id", "date", "bar_date", "change", "atr14")
-    window = by_ordinal(window, indices) if align == "ordinal" else window.join(F.broadcast(indices.withColumnRenamed("date", "bar_date")), "bar_date", "left")
-    technical = window.groupBy("id").agg(F.avg("atr14").alias("atr"), guarded_corr("change", "index_change").alias("index_corr"), guarded_corr("change", "growth_change").alias("growth_corr"))
-    return base.join(technical, "id").join(last.drop("change", "atr14"), ["code", "date"]).join(macd, ["code", "date"]).select("id", "code", "date", *FEATURES)
+    if align == "ordinal":
+        marked = last.select("code", "date", "change", "atr14")
+        window = prices.around(marked, base.select("id", "code", "date"), F.date_sub("date", DAYS_BACK), F.date_add("date", 1)).select("id", "date", "bar_date", "change", "atr14")
+        technical = by_ordinal(window, indices).groupBy("id").agg(F.avg("atr14").alias("atr"), guarded_corr("change", "index_change").alias("index_corr"), guarded_corr("change", "growth_change").alias("growth_corr"))
+        found = base.join(technical, "id").join(last.drop("change", "atr14"), ["code", "date"])
+    else:
+        found = base.join(trailing(last.join(F.broadcast(indices), "date", "left")), ["code", "date"])
+    return found.join(macd, ["code", "date"]).select("id", "code", "date", *FEATURES)
+
+
+def trailing(bars: DataFrame) -> DataFrame:
+    """Bars (code, date, change, atr14, index_change, growth_change, ...) with atr, index_corr and growth_corr over the DAYS_BACK days up to each, as differences of running sums: a step a bar, however long the days behind it are."""
+    upto = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("code").orderBy(F.unix_date("date")).rangeBetween(Window.unboundedPreceding, -(DAYS_BACK + 1))
+    terms = {"atr_n": F.col("atr14").isNotNull().cast("long"), "atr_sum": F.col("atr14")}
+    for name, other in (("i", "index_change"), ("g", "growth_change")):
+        both = F.col("change").isNotNull() & F.col(other).isNotNull()
+        x, y = F.col("change"), F.col(other)
+        terms |= {f"{name}_{k}": F.when(both, v) for k, v in (("n", F.lit(1)), ("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))}
+    summed = bars.select("*", *(F.sum(v).over(upto).alias(f"_{k}") for k, v in terms.items()))
+    gone = summed.withColumn("_gone", F.last(F.struct(*(f"_{k}" for k in terms))).over(before))
+    part = lambda k: F.coalesce(F.col(f"_{k}"), F.lit(0)) - F.coalesce(F.col(f"_gone._{k}"), F.lit(0))
+    atr = F.try_divide(part("atr_sum"), part("atr_n"))
+    return gone.select(*bars.columns, atr.alias("atr"), corr_of_sums(part, "i").alias("index_corr"), corr_of_sums(part, "g").alias("growth_corr")).drop("change", "atr14", "index_change", "growth_change")
+
+
+def corr_of_sums(part: Callable[[str], Column], name: str) -> Column:
+    """Pearson correlation from sums; 0 where it isn't defined. What a difference of sums leaves of no variance is taken for none."""
+    n, x, y, xx, yy, xy = (part(f"{name}_{k}") for k in ("n", "x", "y", "xx", "yy", "xy"))
+    spread = lambda s, ss: F.greatest(ss - F.try_divide(s * s, n), F.lit(0.0))
+    sx, sy = spread(x, xx), spread(y, yy)
+    return F.when((n >= 2) & (sx > NO_SPREAD * xx) & (sy > NO_SPREAD * yy), (xy - F.try_divide(x * y, n)) / F.sqrt(sx * sy)).otherwise(F.lit(0.0))
 
 
 def work_set(feats: DataFrame, events: DataFrame, bars: DataFrame, documents: DataFrame) -> DataFrame:
