@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.store import shared_dir, stored
 
-__all__ = ["BATCH_ROWS", "WORD", "WORD_GAP", "lasting", "map_batches", "open_dir", "rows_to_batches", "shared_dir", "stored", "table", "text_of"]
+__all__ = ["BATCH_ROWS", "WORD", "WORD_GAP", "give_back", "lasting", "map_batches", "open_dir", "rows_to_batches", "shared_dir", "stored", "table", "text_of"]
 
 #: Rows and bytes that go to Python at once, whichever is less: texts may be long, and the executor and its worker both hold a batch. A longer row goes alone.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -46,7 +48,21 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     held = conf.get(BYTES_SETTING)
     if not held.isdecimal() or not 0 < int(held) <= BATCH_BYTES:
         conf.set(BYTES_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Returns to the system what a task has freed: a worker lives on, and an executor's workers and its JVM share one limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # C libraries without it give back by themselves
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _lasting: dict[object, object] = {}
