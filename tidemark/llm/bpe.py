@@ -27,6 +27,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: A unit is remembered if it has at most four times so many bytes.
 REMEMBERED = 16
+#: Words that an encoder remembers, in each of two ages: some 250 bytes each.
+LIMIT = 500_000
 #: Marks that end a word: one of them behind letters is a part of its own.
 ENDS = frozenset(".,;:!?)]\"'")
 UNITS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -61,7 +63,7 @@ class Memory(dict):
 class Encoder:
     """encode(text) gives all ids of a text as bytes, `<u4`: those of the library's encode(text, add_special_tokens=False)."""
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = LIMIT) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -117,9 +119,9 @@ class Encoder:
         return self.units[first] + b"".join(map(self.words.__getitem__, words))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = LIMIT) -> Encoder:
     """One encoder for each Python worker; its memory lasts over tasks."""
-    return common.lasting(("bpe", path), lambda: Encoder(path))
+    return common.lasting(("bpe", path, limit), lambda: Encoder(path, limit))
 
 
 def default_path() -> str:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, token_files
+from tidemark.llm import bpe, common, token_files
 
 WINDOW = 1024
 #: Tokens that a queue serves at once, and the fractions of a token in which credit is counted.
@@ -134,15 +134,15 @@ class Rounds:
         return np.searchsorted(edges, cuts, "right") - 1, cuts, np.diff(cuts, append=edges[-1]), place[run] + cuts - begin[run]
 
 
-def pack(docs: DataFrame, path: str | None = None, mixture: Mapping[str | None, float] | None = None, window: int = WINDOW, turn: int = TURN) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, mixture: Mapping[str | None, float] | None = None, window: int = WINDOW, turn: int = TURN, remembered: int = bpe.LIMIT) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    mixture: target share of tokens by source, null as None; sources that it leaves out get their share of the corpus.
+    mixture: target share of tokens by source, null as None; sources that it leaves out get their share of the corpus. remembered: words that a worker remembers.
     """
     if any(not share > 0 for share in (mixture or {}).values()):
         raise ValueError("shares must be above 0")
     queue, name = queue_of(docs, mixture or ())
-    manifest = token_files.write_token_files(docs, path, key=queue, label=name)
+    manifest = token_files.write_token_files(docs, path, key=queue, label=name, remembered=remembered)
     queues = manifest.groupBy("key").agg(F.sum("n_tokens").alias("n")).orderBy("key").collect()  # bounded by queue_of()
     place = {q["key"]: k for k, q in enumerate(queues)}
     totals = np.array([q["n"] for q in queues], np.int64)

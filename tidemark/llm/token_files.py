@@ -29,8 +29,8 @@ END_ID = 0
 MANIFEST = "path string, shard long, key string, label string, key_no long, n_docs long, n_tokens long"
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, key: Column | None = None, end_id: int = END_ID, label: Column | None = None) -> DataFrame:
-    """The manifest of the files, stored. key: documents are written by key, then by doc_id (default: by doc_id alone). label: told of each document, in no order (default: its key)."""
+def write_token_files(docs: DataFrame, path: str | None = None, key: Column | None = None, end_id: int = END_ID, label: Column | None = None, remembered: int = bpe.LIMIT) -> DataFrame:
+    """The manifest of the files, stored. key: documents are written by key, then by doc_id (default: by doc_id alone). label: told of each document, in no order (default: its key). remembered: words that a worker remembers."""
     folder = common.shared_dir(docs.sparkSession, "tokens")
     path, end = path or bpe.default_path(), end_id.to_bytes(4, "little")
     labels, names = ([], ("key", "key")) if label is None else ([label.alias("label")], ("key", "label"))
@@ -41,7 +41,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, key: Column | No
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, out, totals = bpe.encoder(path).encode, None, None, {}
+        encode, writer, out, totals = bpe.encoder(path, remembered).encode, None, None, {}
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.pfor"
         for batch in batches:
             if writer is None and batch.num_rows:
