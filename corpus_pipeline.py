@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import common, ngram_join, packing, quality, toxicity
 
+#: Words that packing's encoder remembers: its workers have the traces of three stages before.
+REMEMBERED = 200_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality passes."""
@@ -30,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens in the corpus's own mixture of sources."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [
