@@ -40,6 +40,8 @@ def test_csv_lists(spark, tmp_path):
     assert got == [("2024-05-01", 990.0, 1001.5, 12000.0), ("2024-05-02", 1.0, None, 4.0)]
     (tmp_path / "words.csv").write_text("株主総会\n 辞任 \n\n株主総会\n")
     assert store.keywords(spark, f"{tmp_path}/words.csv") == ["株主総会", "辞任"]
+    (tmp_path / "companies.csv").write_text("日付,コード,銘柄名,市場,a,b,c,d,e,f\n20240501,1301,株式会社 極洋,P,1,2,3,4,5,6\n20240501,130A,ABC・HD,G\n20240501,,名無し,G,1,2,3,4,5,6\n20240501,1301,株式会社 極洋,P,1,2,3,4,5,6\n")
+    assert sorted(map(tuple, store.companies(spark, f"{tmp_path}/companies.csv").collect())) == [("1301", "極洋"), ("130A", "ＡＢＣ")]
     (tmp_path / "fin.csv").write_text(",".join(store.STATEMENT_COLUMNS) + "\n1301,2024/03,100,,50,1,2,3,-,40,5,6,7,8,-,9,10\n")
     fin = store.read_csv(spark, f"{tmp_path}/fin.csv", store.STATEMENT_COLUMNS)
     r = fundamentals.typed(fin).first()

@@ -18,15 +18,15 @@ def typed(statements: DataFrame) -> DataFrame:
     return statements.where(F.col("year").rlike(r"^\d{4}/(0[1-9]|1[0-2])$")).select("code", F.last_day(month).alias("fiscal_end"), *named)
 
 
-def as_of(events: DataFrame, statements: DataFrame, inclusive: bool = True) -> DataFrame:
-    """Each event (id, code, date) with its code's latest statement up to (or before) its date; events without one are dropped.
+def as_of(events: DataFrame, statements: DataFrame, inclusive: bool = True, at: str = "fiscal_end") -> DataFrame:
+    """Each event (id, code, date) with its code's latest statement, by the day `at`, up to (or before) its date; events without one are dropped.
 
     An equi-join on code with a bound on the date, then one row per event by
     max_by: partial maxima shrink the matches before the shuffle.
     """
-    bound = F.col("fiscal_end") <= F.col("date") if inclusive else F.col("fiscal_end") < F.col("date")
+    bound = F.col(at) <= F.col("date") if inclusive else F.col(at) < F.col("date")
     columns = [c for c in statements.columns if c != "code"]
-    found = events.join(statements, "code").where(bound).groupBy(*events.columns).agg(F.max_by(F.struct(*columns), "fiscal_end").alias("s"))
+    found = events.join(statements, "code").where(bound).groupBy(*events.columns).agg(F.max_by(F.struct(*columns), at).alias("s"))
     return found.select(*events.columns, "s.*")
 
 

@@ -290,6 +290,22 @@ def market_cap(spark, sf_dir):
     return fundamentals.ratios(fundamentals.imputed(statements(spark, sf_dir)).join(last, "code")).select("code", "fiscal_end", q4(F.col("cap")).alias("cap"))
 
 
+@query(f"""WITH {BARS}, {FIN}, {DISC}, {EVENTS},
+told AS (SELECT code, last_day(strptime(year || '/01', '%Y/%m/%d')::DATE) + (40 + code % 20)::INTEGER AS disclosed, replace(eps, '-', '') AS eps, replace(bps, '-', '') AS bps, equity FROM fin),
+x AS (SELECT id, open AS price, eps, bps, equity, 1000000 - code AS s FROM ev JOIN told USING (code) JOIN bars USING (code, date) WHERE disclosed < date QUALIFY row_number() OVER (PARTITION BY id ORDER BY disclosed DESC) = 1),
+y AS (SELECT id, price, s, TRY_CAST(eps AS DOUBLE) AS e, CASE WHEN bps = '' THEN TRY_CAST(equity AS DOUBLE) / nullif(s, 0) ELSE TRY_CAST(bps AS DOUBLE) END AS b FROM x)
+SELECT id, {sq4("e")} AS eps, {sq4("b")} AS bps, {sq4("price / nullif(e, 0)")} AS per, {sq4("price / nullif(b, 0)")} AS pbr, {sq4("price * s")} AS cap FROM y""")
+def disclosed_statements(spark, sf_dir):
+    """Disclosures on a trading day with the ratios of the last statement that their code had disclosed before it, at the day's open."""
+    fin = entities.financials(spark, sf_dir)
+    blank = lambda c: F.replace(F.col(c), F.lit("-"), F.lit("")).alias(c)
+    end = F.last_day(F.to_date("year", "yyyy/MM"))
+    told = fin.select("code", F.date_add(end, (40 + F.col("code") % 20).cast("int")).alias("disclosed"), blank("eps"), blank("bps"), "equity", F.lit("1000000").alias("total_shares"), F.col("code").cast("string").alias("treasury_shares"))
+    opening = entities.bars(spark, sf_dir).select("code", "date", F.col("open").alias("price"))
+    found = fundamentals.as_of(events(spark, sf_dir), told, inclusive=False, at="disclosed").join(opening, ["code", "date"])
+    return fundamentals.statement_ratios(found).select("id", *(q4(F.col(c)).alias(c) for c in ("eps", "bps", "per", "pbr", "cap")))
+
+
 # --- windows around disclosures ---
 
 

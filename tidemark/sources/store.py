@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.cleaning import company
+
 #: Where local runs, as in tests, keep things if the session names no folder; executors of a cluster couldn't reach it.
 LOCAL_SHARED = "/tmp/checkpoints"
 
@@ -227,6 +229,7 @@ def replace_days(rows: DataFrame, path: str) -> list[str]:
 # --- reference lists ---
 
 #: The columns of the files that lists come in.
+COMPANY_COLUMNS = ["date", "code", "name", *(f"more{k}" for k in range(1, 8))]
 GROWTH_COLUMNS = ["date", "close", "open", "high", "low", "volume", "rate"]
 STATEMENT_COLUMNS = ["code", "year", "assets", "net_assets", "equity", "retained", "short_loans", "long_loans", "bps", "equity_ratio", "sales", "operating", "ordinary", "profit", "eps", "roe", "roa"]
 
@@ -238,6 +241,12 @@ def read_csv(spark: SparkSession, path: str, columns: list[str], header: bool =
     return rows.select(*(F.nullif(F.trim(c), F.lit("")).alias(c) for c in columns))
 
 
+def companies(spark: SparkSession, path: str) -> DataFrame:
+    """code and name of the list of companies, by place; names as they are compared, each code once."""
+    rows = read_csv(spark, path, COMPANY_COLUMNS).where("code is not null and name is not null")
+    return rows.groupBy("code").agg(F.min("name").alias("name")).select("code", company(F.col("name")).alias("name"))
+
+
 def growth_index(spark: SparkSession, path: str) -> DataFrame:
     """date and bars of the growth index's file; dates are YYYY/MM/DD or YYYY-MM-DD, numbers may have thousands separators."""
     rows = read_csv(spark, path, GROWTH_COLUMNS)
