@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import ewm_last, guarded_corr, macd_last, percent_change, q4
@@ -345,16 +345,29 @@ m AS (WITH RECURSIVE t AS (SELECT code, date, rn, close AS f, close AS s, 0.0::D
     t.g * (1 - 2.0::DOUBLE / 10) + ((t.f * (1 - 2.0::DOUBLE / 13) + n.close * (2.0::DOUBLE / 13)) - (t.s * (1 - 2.0::DOUBLE / 27) + n.close * (2.0::DOUBLE / 27))) * (2.0::DOUBLE / 10)
   FROM t JOIN n ON n.code = t.code AND n.rn = t.rn + 1) SELECT code, date, f - s AS macd, g AS signal FROM t)"""
 LASTS = ", ".join([f"last_value({c} IGNORE NULLS) OVER {NEAR} {c}" for c in training.LAST_NEAR] + [f"last_value({c} IGNORE NULLS) OVER {EVER} {c}" for c in training.LAST_EVER])
-def feature_sql(win: str) -> str:
-    """win: the bars of each event's window (id, change, atr14) with the changes of both indices, y and z."""
+def features_of(win: str) -> str:
+    """The features as the table `raw`. win: the bars of each event's window (id, change, atr14) with the changes of both indices, y and z."""
     return f"""WITH {INDICATORS}, {MACD_ROWS}, {INDEX}, {GROWTH}, {FIN}, {TYPED}, {DISC}, {EVENTS}, {as_of_sql('<=')}, {imputed_sql('found')}, {RATIOS},
 l AS (SELECT code, date, macd, signal, {LASTS} FROM d JOIN m USING (code, date)),
 ic AS (SELECT date, (close / nullif(lag(close) OVER (ORDER BY date), 0) - 1) * 100 y FROM idx), gc AS (SELECT date, (close / nullif(lag(close) OVER (ORDER BY date), 0) - 1) * 100 z FROM grow),
 {win}agg AS (SELECT id, avg(atr14) atr,
   covar_pop(change, y) FILTER (change IS NOT NULL AND y IS NOT NULL) / nullif(stddev_pop(change) FILTER (y IS NOT NULL) * stddev_pop(y) FILTER (change IS NOT NULL), 0) index_corr,
-  covar_pop(change, z) FILTER (change IS NOT NULL AND z IS NOT NULL) / nullif(stddev_pop(change) FILTER (z IS NOT NULL) * stddev_pop(z) FILTER (change IS NOT NULL), 0) growth_corr FROM win GROUP BY id)
-SELECT id, {", ".join(f"coalesce({sq4(c)}, 0) AS {c}" for c in training.FEATURES if c != "atr")}, floor(atr * 100.0::DOUBLE + 0.3217::DOUBLE) / 100.0::DOUBLE AS atr
-FROM (SELECT id, code, date, eps, roe, per, pbr, ln(1 + cap) cap_log FROM ratio) JOIN agg USING (id) JOIN l USING (code, date)"""
+  covar_pop(change, z) FILTER (change IS NOT NULL AND z IS NOT NULL) / nullif(stddev_pop(change) FILTER (z IS NOT NULL) * stddev_pop(z) FILTER (change IS NOT NULL), 0) growth_corr FROM win GROUP BY id),
+raw AS (SELECT * FROM (SELECT id, code, date, eps, roe, per, pbr, ln(1 + cap) cap_log FROM ratio) JOIN agg USING (id) JOIN l USING (code, date))"""
+
+
+def feature_sql(win: str) -> str:
+    return f"""{features_of(win)}
+SELECT id, {", ".join(f"coalesce({sq4(c)}, 0) AS {c}" for c in training.FEATURES if c != "atr")}, floor(atr * 100.0::DOUBLE + 0.3217::DOUBLE) / 100.0::DOUBLE AS atr FROM raw"""
+
+
+def cut(c: Column) -> Column:
+    """Two decimals, cut where sums of another order hardly fall."""
+    return F.floor(c * 100.0 + 0.3217) / 100.0
+
+
+def cut_sql(x: str) -> str:
+    return f"floor(({x}) * 100.0::DOUBLE + 0.3217::DOUBLE) / 100.0::DOUBLE"
 
 
 BY_DATE = """win AS (SELECT e.id, d.change, d.atr14, ic.y, gc.z FROM ratio e JOIN d ON d.code = e.code AND d.date >= e.date - 200 AND d.date < e.date + 1
@@ -414,12 +427,23 @@ def ewma_series(spark, sf_dir):
 
 @query()
 def work_set(spark, sf_dir):
-    """id, features (an array in fixed order), targets and document of every disclosure that has them all; its document is its customer's."""
+    """id, features (an array in fixed order), targets and document of every disclosure that has them all."""
     feats, bars = feature_rows(spark, sf_dir)
     return training.work_set(feats, events(spark, sf_dir), bars.drop("first", "last"), event_texts(spark, sf_dir))
 
 
 def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and document of every disclosure: the customer's document, by id. The plain tables have no better tie."""
-    texts = entities.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("customer"), F.col("text").alias("document"))
-    return entities.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer")).join(texts, "customer").select("id", "document")
+    """id and document of every disclosure that has one: the document of its own number."""
+    texts = entities.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+    return texts.join(entities.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", "left_semi")
+
+
+@query(f"""{features_of(BY_DATE)}, r AS (SELECT code, date, {RATES} FROM bars),
+t AS (SELECT code, date, {", ".join(f"coalesce({', '.join(f'rate_{d}' for d in reversed(prices.HORIZONS[: k + 1]))}, -9999) AS target_{prices.HORIZONS[k]}" for k in range(len(prices.HORIZONS)))} FROM r)
+SELECT id, {", ".join(f"{cut_sql(f'coalesce({c}, 0)')} AS {c}" for c in training.FEATURES)}, {", ".join(f"{cut_sql(f'target_{d}')} AS target_{d}" for d in prices.HORIZONS)}, text AS document
+FROM raw JOIN t USING (code, date) JOIN documents ON doc_id = id WHERE text IS NOT NULL AND {" AND ".join(f"target_{d} <> -9999" for d in prices.HORIZONS)}""")
+def work_set_rows(spark, sf_dir):
+    """The work set with a column for each feature and target."""
+    found = work_set(spark, sf_dir)
+    columns = [cut(F.get("features", F.lit(k))).alias(c) for k, c in enumerate(training.FEATURES)] + [cut(F.get("targets", F.lit(k))).alias(f"target_{d}") for k, d in enumerate(prices.HORIZONS)]
+    return found.select("id", *columns, "document")
