@@ -48,7 +48,7 @@ from tidemark.llm import common, components
 CHUNK_SETS = 1024
 CHUNK_MEMBERS = 1 << 20
 BROADCAST_ROWS = 1_000_000
-SIGNATURES_HELD = 1 << 20
+SIGNATURES_HELD = 1 << 19
 #: Members that so many sets of a stretch share are left out of signatures, the most common MOST_COMMON of them.
 COMMON_SETS, MOST_COMMON = 3, 1_000_000
 U = np.uint64
@@ -67,7 +67,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         out = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 300_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = out
         return out
