@@ -145,12 +145,18 @@ def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
                     order, above = order_of(tokens, size[number]), parents.get(number, {None})
                     # the class's outermost elements tell its parent; deeper ones lie in classes nested in it
                     yield host, number, "" if order is None else ",".join(map(str, order)), min(above, key=lambda p: (p is not None, p or 0)), None, None, None, None, 0, 0
-                below = html_text.slot_chars(root, static)
-                for e, depth, chars, links in below:
+                kinds: dict[tuple[int, int], list[int]] = {}
+                around: dict[int, tuple[str, int]] = {}
+                for e, depth, chars, links in html_text.slot_chars(root, static):
                     if e.token in once:
                         yield host, class_of[e.token], None, None, e.token, e.tag, depth, None, chars, links
-                    if e.parent is not None and e.parent.token in once:
-                        yield host, class_of[e.parent.token], None, None, e.parent.token, e.parent.tag, depth - 1, kind_of(e), chars, links
+                    if chars and e.parent is not None and e.parent.token in once:
+                        around[e.parent.token] = e.parent.tag, depth - 1
+                        sums = kinds.setdefault((e.parent.token, kind_of(e)), [0, 0])
+                        sums[0] += chars
+                        sums[1] += links
+                for (token, kind), (chars, links) in kinds.items():
+                    yield host, class_of[token], None, None, token, *around[token], kind, chars, links
 
     fields = "host string, class_no long, `order` string, parent long, token long, tag string, depth long, kind long, chars long, links long"
     seen = common.stored(with_classes(pages, found).select("host", "classes", "html").transform(common.map_batches, lambda b: common.rows_to_batches(rows(b), schema, 16384), fields), "template-orders")
