@@ -10,8 +10,9 @@ intersection is at least `percent` hundredths of their union.
    smaller, in the next. Linked sets of sizes a and b differ in at most
    (a + b) * (100 - percent) / (100 + percent) members. Members are dealt to
    more buckets than that by their hash, so linked sets have an equal bucket.
-   The bucket's content and the level are a signature; sets that share one
-   are candidates. Members that many sets have, as passages do, are left out
+   The bucket's content and the level are a signature; of these, each set
+   gives the first in one order, one more than can be unlike, and sets that
+   share one are candidates. Members that many sets have, as passages do, are left out
    of both sides' buckets, which leaves the bound as it is: no link can be
    missed, and sets that merely share a passage don't meet.
 3. A level's candidates' connected components are split into chunks of bounded
@@ -49,6 +50,8 @@ CHUNK_SETS = 1024
 CHUNK_MEMBERS = 1 << 20
 BROADCAST_ROWS = 1_000_000
 SIGNATURES_HELD = 1 << 19
+#: Signatures that a task sorts at once, at about 60 bytes each.
+SORTED_ROWS = 1 << 20
 #: Members that so many sets of a stretch share are left out of signatures, the most common MOST_COMMON of them.
 COMMON_SETS, MOST_COMMON = 3, 1_000_000
 U = np.uint64
@@ -116,34 +119,50 @@ class Levels(NamedTuple):
     def most_unlike(self, level: int) -> int:
         return 2 * (int(self.bounds[level + 1]) - 1) * (100 - self.percent) // (100 + self.percent)
 
+    def unlike_of(self, size: int, level: int) -> int | None:
+        """How many members a set of this size and any that links with it at the level differ in at most; None if none of the level can."""
+        largest = min(int(self.bounds[level + 1]) - 1, size * 100 // self.percent)
+        return None if largest < self.bounds[level] else (size + largest) * (100 - self.percent) // (100 + self.percent)
+
 
 def signatures(members: np.ndarray, levels: Levels, common_members: np.ndarray) -> list[np.ndarray]:
     """Signatures of a set in each of its levels. Linked sets share one in the level of the larger.
 
-    Unlike members touch at most most_unlike() buckets, whichever members are
-    left out of both sets. Those in common_members, one list for all sets, are
-    left out first: the buckets with other members are signed. If they are no
-    more than can be unlike, the whole set's buckets are signed too, and of
-    those the empty ones if the full ones are no more than can be unlike.
+    Unlike members touch at most unlike_of() buckets, whichever members are
+    left out of both sets, so two linked sets lack at most that many of each
+    other's signatures: the first ones of each in one order, one more than
+    that, have one in common. Those in common_members, one list for all sets,
+    are left out first: the buckets with other members are signed. If they are
+    no more than can be unlike, the whole set's buckets are signed too, and
+    behind those as many empty ones as are wanting.
     """
     at = np.minimum(np.searchsorted(common_members, members), max(0, len(common_members) - 1))
     rest = members[common_members[at] != members] if len(common_members) else members
     out = []
     for level in levels.of_size(len(members)):
-        unlike = levels.most_unlike(level)
-        buckets = unlike + 1 + unlike // 5
+        unlike = levels.unlike_of(len(members), level)
+        if unlike is None:
+            out.append(np.empty(0, np.uint64))
+            continue
+        most = levels.most_unlike(level)
+        buckets = most + 1 + most // 5
         salt = U(level << 40) + U(1 << 36)
-        full, found = filled_buckets(rest, buckets, salt)
-        if len(full) <= unlike:
+        found = firsts(filled_buckets(rest, buckets, salt)[1], unlike + 1)
+        if len(found) <= unlike:
             salt += U(1 << 37)
             full, whole = filled_buckets(members, buckets, salt)
-            found = np.concatenate([found, whole])
-            if len(full) <= unlike:
-                found = np.concatenate([found, mixed(mixed(salt + np.setdiff1d(np.arange(buckets, dtype=np.uint64), full)))])
+            whole = firsts(whole, unlike + 1)
+            empty = np.setdiff1d(np.arange(buckets, dtype=np.uint64), full) if len(whole) <= unlike else np.empty(0, np.uint64)
+            found = np.concatenate([found, whole, firsts(mixed(mixed(salt + empty)), unlike + 1 - len(whole))])
         out.append(found)
     return out
 
 
+def firsts(values: np.ndarray, n: int) -> np.ndarray:
+    """The n least values."""
+    return np.partition(values, n - 1)[:n] if 0 < n < len(values) else values[: max(n, 0)]
+
+
 def filled_buckets(members: np.ndarray, buckets: int, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that have members, and a signature of each one's content."""
     if not len(members):
@@ -349,6 +368,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> Join:
 
     signed = own.select("text").transform(common.map_batches, sign, "signature long, node long, other long")
     # every candidate is tied to the least set of its block: the same component as all pairs, without the pairs
+    # as many partitions as it takes for each to be sorted in memory: about one signature for two members
+    expected = (documents.agg(F.sum("n_shingles")).first()[0] or 0) // 2
+    parts = expected // SORTED_ROWS + 1
+    if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        signed = signed.repartition(parts, "signature")
     block = Window.partitionBy("signature")
     ties = signed.withColumn("least", F.coalesce("other", F.min("node").over(block))).where("least <> node").selectExpr("least a", "node b")
     clusters = components.connected(ties)
