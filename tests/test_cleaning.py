@@ -162,3 +162,27 @@ def test_tables_and_sentinels(spark):
     assert one(C.or_sentinel(F.lit("a"), F.lit(None).cast("boolean"), F.lit(None).cast("string"))) == C.NOT_FETCHED
     assert one(C.or_sentinel(F.lit(""), F.lit(True), F.lit(None).cast("string"))) == C.NO_TEXT
     assert one(C.or_sentinel(F.lit(""), F.lit(True), F.lit("x"))) == C.FAILED + "x"
+
+
+def test_the_chain_runs_once_for_both_columns(spark):
+    """A text is cleaned once, however many columns and steps use it."""
+    plan = QUERIES["clean_notices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" AS both#") <= 1 and plan.count("<FISCAL>") <= 2
+
+
+def test_guards_change_no_result(spark):
+    """Steps that are skipped for texts without their words, and patterns that look at the first character first, against the same without."""
+    rng = random.Random(6)
+    texts = [None, "", *PIECES] + ["".join(rng.choices(PIECES + ["\u3000", "年", "末", "2020", "0"], k=rng.randint(1, 9))) for _ in range(900)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    steps = {"DOT_BEFORE_DATE": ["年", "月", "日"], "SPACE_BEFORE": ["年", "末"], "MAIL": ["@"], "ESTIMATE": ["見込み", "見通し", "予測"], "FISCAL": ["期"], "MONTH_TAG": ["月"], "DAY_TAG": ["日"], "PHONE": [""], "TERM": [""], "DATE": [""], "YEAR_TAG": [""], "DELETED": [""]}
+    for name, words in steps.items():
+        pattern = getattr(C, name)
+        plain_pattern = re.sub(r"^(\(\?\w+\))\(\?=(?:\(\?-i:\[[^\]]*\]\)|\[[^\]]*\](?:\|\\s\+(?:0|\[0-9\]))?)\)", r"\1", pattern)
+        assert (plain_pattern != pattern) == (name not in ("DOT_BEFORE_DATE", "SPACE_BEFORE", "MAIL"))
+        assert rows.where(~C.replaced(F.col("t"), words, pattern, "<X>").eqNullSafe(F.regexp_replace("t", plain_pattern, "<X>"))).count() == 0, name
+
+
+def test_notices_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(documents, "ROWS_A_TASK", 100)
+    assert documents.notices(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 16

@@ -6,6 +6,7 @@ patterns. Patterns are Java regular expressions.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -35,18 +36,20 @@ GAP, GAPS = "[ 　]?", "[ 　]*"
 TILDE = "[-～〜~]"
 NO_SIGN = r"(?<![.,+\-△▲])"
 NO_SIGN_OR_DIGIT = r"(?<![.,+\-△▲0-9])"
+#: What a match begins with: looked at first, as most characters begin none.
+FROM_DIGIT, FROM_DATE = "(?=(?-i:[0-9]))", "(?=(?-i:[0-9令平昭大明]))"
 NO_DAY_AFTER = r"(?!\s*\d{1,2}\s*日)"
 WORD = r"\w\-._~:/?#\[\]@!$&'()*+,;=%"
 
 INVISIBLE = "[\\u2000-\\u200F\\uFE0F\\u2028\\u2029\\u2060]+"
 URL = f"(?iuU)(?:https?://|www\\.)[{WORD}]+"
-PHONE = r"(?iuU)(?<![.,+\-△▲\d])([（(]?\s*0\d{1,4}\s*[）)]?[-ー－−–（）\s]*\d{2,4}[-ー－−–（）\s]*\d{3,4})(?!\d)"
+PHONE = r"(?iuU)(?=[（(0]|\s+0)(?<![.,+\-△▲\d])([（(]?\s*0\d{1,4}\s*[）)]?[-ー－−–（）\s]*\d{2,4}[-ー－−–（）\s]*\d{3,4})(?!\d)"
 MAIL = r"(?iu)(?<![a-zA-Z0-9])[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-ESTIMATE = rf"(?iuU){NO_SIGN}{YEAR}(?:年(?:度)?)?[\(（]\s*(?:見込み|見通し|予測)\s*[\)）]"
-FISCAL = f"(?iu){NO_SIGN}(?:" + "|".join(
+ESTIMATE = rf"(?iuU){FROM_DIGIT}{NO_SIGN}{YEAR}(?:年(?:度)?)?[\(（]\s*(?:見込み|見通し|予測)\s*[\)）]"
+FISCAL = f"(?iu){FROM_DATE}{NO_SIGN}(?:" + "|".join(
     [f"{ERA}{GAP}[0-9]{{1,2}}{GAP}年{GAP}{MONTH}{GAP}月期", f"{YEAR}/{MONTH}期", f"[0-9]{{2}}/{MONTH}期", f"{YEAR}{GAP}年{GAP}{MONTH}{GAP}月期", f"[0-9]{{2}}{GAP}年{GAP}{MONTH}{GAP}月期", f"{MONTH}{GAP}月期"]
 ) + ")"
-TERM = f"(?iuU){NO_SIGN}(?:" + "|".join(
+TERM = f"(?iuU){FROM_DIGIT}{NO_SIGN}(?:" + "|".join(
     [
         r"(?:18[0-9]{2}|19[0-9]{2}|20[0-2]\d)[　\s\-ー〜～]?(?:18[0-9]{2}|19[0-9]{2}|20[0-2]\d)年(?:度)?",
         f"{YEAR}{GAP}年{GAP}{MONTH}{GAP}{TILDE}{GAP}{MONTH}{GAP}月{NO_DAY_AFTER}",
@@ -56,7 +59,7 @@ TERM = f"(?iuU){NO_SIGN}(?:" + "|".join(
         f"{YEAR}{GAP}{TILDE}{GAP}{YEAR}",
     ]
 ) + ")"
-DATE = f"(?iuU){NO_SIGN}(?:" + "|".join(
+DATE = f"(?iuU)(?=(?-i:[0-9０-９令平昭大明])){NO_SIGN}(?:" + "|".join(
     [
         f"{ERA}{GAPS}[0-9]{{1,2}}{GAPS}年{GAPS}{MONTH}{GAPS}月{GAPS}{DAY}{GAPS}日",
         f"{ERA}{GAPS}[0-9]{{1,2}}{GAPS}年{GAPS}{MONTH}{GAPS}月",
@@ -70,12 +73,12 @@ DATE = f"(?iuU){NO_SIGN}(?:" + "|".join(
         rf"(?:[0-9]{{2}}){GAPS}年{GAPS}{MONTH}(?=[ 　月.,)）\n]|$)",
     ]
 ) + ")"
-YEAR_TAG = f"(?iu){NO_SIGN_OR_DIGIT}(?:{YEAR}年(?:度)?|FY{YEAR}|FY(?:[0-9]{{2}}))(?![月期0-9０-９])"
-MONTH_TAG = f"(?iu){NO_SIGN_OR_DIGIT}{MONTH}{GAPS}月(?![日0-9０-９])"
-DAY_TAG = f"(?iu){NO_SIGN_OR_DIGIT}(?:0?[1-9]|[12][0-9]|3[01]){GAPS}日(?=[ 　（(])"
+YEAR_TAG = f"(?iu)(?=(?-i:[0-9Ff])){NO_SIGN_OR_DIGIT}(?:{YEAR}年(?:度)?|FY{YEAR}|FY(?:[0-9]{{2}}))(?![月期0-9０-９])"
+MONTH_TAG = f"(?iu){FROM_DIGIT}{NO_SIGN_OR_DIGIT}{MONTH}{GAPS}月(?![日0-9０-９])"
+DAY_TAG = f"(?iu){FROM_DIGIT}{NO_SIGN_OR_DIGIT}(?:0?[1-9]|[12][0-9]|3[01]){GAPS}日(?=[ 　（(])"
 DOT_BEFORE_DATE = rf"(?iuU)(?<=\d)\.(?=(?:[0-9]{{2}}|19[0-9]{{2}}|20[0-3][0-9]|2040)[ 　]*年|{MONTH}[ 　]*月|{DAY}[ 　]*日)"
 SPACE_BEFORE = rf"(?iuU)(?<={YEAR})\s+(?=年)|[ 　]+(?=(?:の末日|末日|末))"
-DELETED = r"(?iuU)[（(](?:月曜日|火曜日|水曜日|木曜日|金曜日|土曜日|日曜日|月|火|水|木|金|土|日)[）)]|(?:午前|午後)?\s*(?:[0-9]|1[0-9]|2[0-4])\s*時\s*(?:(?:[0-9]|[1-5][0-9]|60)\s*分)?|[.。,、]{2,}|^（代表）"
+DELETED = r"(?iuU)(?=[（(午0-9.。,、]|\s+[0-9])(?:[（(](?:月曜日|火曜日|水曜日|木曜日|金曜日|土曜日|日曜日|月|火|水|木|金|土|日)[）)]|(?:午前|午後)?\s*(?:[0-9]|1[0-9]|2[0-4])\s*時\s*(?:(?:[0-9]|[1-5][0-9]|60)\s*分)?|[.。,、]{2,}|^（代表）)"
 CALENDAR = r"(?U)\b" + r"\s+".join(map(str, range(1, 13))) + r"\b"
 
 
@@ -84,6 +87,16 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def held(c: Column, words: list[str], use) -> Column:
+    """use(c) of a text that holds one of the words, else the text: for steps that change no other."""
+    return let(c, lambda c: F.when(functools.reduce(Column.__or__, (F.contains(c, F.lit(w)) for w in words)), use(c)).otherwise(c))
+
+
+def replaced(c: Column, words: list[str], pattern: str, by: str) -> Column:
+    """regexp_replace() for a pattern that matches only where one of the words is."""
+    return held(c, words, lambda c: F.regexp_replace(c, pattern, by))
+
+
 def alternatives(words: list[str]) -> str:
     return "|".join(f"\\Q{w}\\E" for w in words)
 
@@ -93,7 +106,7 @@ def without_invisible(c: Column) -> Column:
 
 
 def narrowed(c: Column) -> Column:
-    return F.translate(c, WIDE, NARROW)
+    return let(c, lambda c: F.when(c.rlike("[Ａ-Ｚａ-ｚ０-９]"), F.translate(c, WIDE, NARROW)).otherwise(c))
 
 
 def without_header(c: Column, reach: int = 300, phone_reach: int = 200) -> Column:
@@ -108,9 +121,8 @@ def _without_header(c: Column, reach: int, phone_reach: int) -> Column:
     phrase = "(?s)^(.{0," + str(reach) + "}?)(" + "|".join(HEADERS) + ")"
     first_line = F.regexp_replace(c, "^[^\n]*?(?:" + "|".join(HEADERS) + ")", "")
     numbers = F.filter(F.regexp_extract_all(c, F.lit(PHONE), 1), lambda p: F.length(F.regexp_replace(p, r"(?U)\D", "")) >= 10)
-    number = F.get(numbers, F.lit(0))
-    at = F.instr(c, number)
-    by_phone = F.when(number.isNotNull() & (at - 1 < phone_reach), F.substring(c, at + F.length(number), F.length(c))).otherwise(c)
+    behind = lambda number: F.substring(c, F.instr(c, number) + F.length(number), F.length(c))
+    by_phone = let(F.get(numbers, F.lit(0)), lambda number: F.when(number.isNotNull() & (F.instr(c, number) - 1 < phone_reach), behind(number)).otherwise(c))
     return F.when(c.rlike(phrase), first_line).otherwise(by_phone)
 
 
@@ -118,7 +130,7 @@ def without_footer(c: Column, reach: int = 200) -> Column:
     """Cut before the last closing word, then before the last contact phrase, if either starts within reach of the end."""
     def cut(phrase: str, c: Column) -> Column:
         before = F.regexp_extract(c, f"(?s)^(.*)(?:{phrase})", 1)
-        return let(before, lambda b: F.when(c.rlike(phrase) & (F.length(b) >= F.length(c) - reach), b).otherwise(c))
+        return F.when(c.rlike(phrase), let(before, lambda b: F.when(F.length(b) >= F.length(c) - reach, b).otherwise(c))).otherwise(c)
 
     c = let(c, lambda c: cut(r"以\s*上", c))
     return let(c, lambda c: cut("|".join(CONTACTS), c))
@@ -131,7 +143,7 @@ def without_noise(c: Column) -> Column:
 def split_years(c: Column, least: int = 3) -> Column:
     """Runs of glued years, unless they begin a line, become a tag for each year."""
     years = f"(?:19[89][0-9]|20[0-2][0-9]){{{least},}}"
-    parts = F.split(F.regexp_replace(c, f"(?<=[^\\n])({years})", " \u0001$1\u0002"), "\u0001")
+    parts = F.split(F.regexp_replace(c, f"(?=[12])(?<=[^\\n])({years})", " \u0001$1\u0002"), "\u0001")
     run = lambda p: F.substring_index(p, "\u0002", 1)
     tags = lambda p: F.array_join(F.array_repeat(F.lit("<YEAR>"), (F.length(run(p)) / 4).cast("int")), " ")
     behind = lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(tags(p), F.substring(p, F.length(run(p)) + 2, F.length(p))))
@@ -157,9 +169,16 @@ def signed_numbers(c: Column) -> Column:
 
 def extended_tags(c: Column) -> Column:
     """A period's tag takes in the word behind it."""
-    for word, name in EXTENSIONS.items():
-        c = F.regexp_replace(c, f"<((?i:ESTIMATE|FISCAL|PERIOD|TERM|DATE|YEAR|MONTH|DAY))>\\Q{word}\\E", f"<$1_{name}>")
-    return F.regexp_replace(c, "(?i)<(ESTIMATE|FISCAL|PERIOD|TERM|DATE|YEAR|MONTH|DAY)>[1-4]q", "<$1_DEFAULT>")
+    by_name: dict[str, list[str]] = {}
+    for word, name in EXTENSIONS.items():  # no word begins with a later one of another name
+        by_name.setdefault(name, []).append(word)
+
+    def taken(c: Column) -> Column:
+        for name, words in by_name.items():
+            c = replaced(c, words, f"<((?i:ESTIMATE|FISCAL|PERIOD|TERM|DATE|YEAR|MONTH|DAY))>(?:{alternatives(words)})", f"<$1_{name}>")
+        return F.regexp_replace(c, "(?i)<(ESTIMATE|FISCAL|PERIOD|TERM|DATE|YEAR|MONTH|DAY)>[1-4]q", "<$1_DEFAULT>")
+
+    return held(c, ["<"], taken)
 
 
 def trimmed(c: Column) -> Column:
@@ -169,12 +188,11 @@ def trimmed(c: Column) -> Column:
 def cleaned(c: Column) -> Column:
     """The whole chain."""
     c = without_noise(without_footer(without_header(narrowed(without_invisible(c)))))
-    c = F.regexp_replace(F.regexp_replace(c, DOT_BEFORE_DATE, ".#break#"), SPACE_BEFORE, "")
-    for pattern, tag in ((URL, "URL"), (PHONE, "PHONE"), (MAIL, "MAIL"), (ESTIMATE, "ESTIMATE")):
-        c = F.regexp_replace(c, pattern, f"<{tag}>")
-    c = split_years(c)
-    for pattern, tag in ((FISCAL, "FISCAL"), (TERM, "TERM"), (DATE, "DATE"), (YEAR_TAG, "YEAR"), (MONTH_TAG, "MONTH"), (DAY_TAG, "DAY")):
-        c = F.regexp_replace(c, pattern, f"<{tag}>")
+    c = replaced(replaced(c, ["年", "月", "日"], DOT_BEFORE_DATE, ".#break#"), ["年", "末"], SPACE_BEFORE, "")
+    c = replaced(F.regexp_replace(F.regexp_replace(c, URL, "<URL>"), PHONE, "<PHONE>"), ["@"], MAIL, "<MAIL>")
+    c = split_years(replaced(c, ["見込み", "見通し", "予測"], ESTIMATE, "<ESTIMATE>"))
+    c = F.regexp_replace(F.regexp_replace(replaced(c, ["期"], FISCAL, "<FISCAL>"), TERM, "<TERM>"), DATE, "<DATE>")
+    c = replaced(replaced(F.regexp_replace(c, YEAR_TAG, "<YEAR>"), ["月"], MONTH_TAG, "<MONTH>"), ["日"], DAY_TAG, "<DAY>")
     c = F.regexp_replace(extended_tags(signed_numbers(joined_units(c))), "(?i)(?<=[0-9])(?=[1-4]Q)", " ")
     c = F.replace(c, F.lit(".#break#"), F.lit("."))
     return trimmed(F.regexp_replace(F.regexp_replace(c, "[\\ue000-\\uf8ff]", "・"), DELETED, ""))
@@ -190,7 +208,10 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, rang
 
 def sentences(c: Column, least: int = 21) -> Column:
     """Sentences of at least `least` characters once stripped. A full stop in brackets ends none; any closing bracket ends all brackets."""
-    text = F.coalesce(c, F.lit(""))
+    return let(F.coalesce(c, F.lit("")), lambda text: _sentences(text, least))
+
+
+def _sentences(text: Column, least: int) -> Column:
     parts = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
     if least > 1:  # without brackets a sentence ends behind its mark; further marks are parts of one character
         parts = F.when(F.contains(text, F.lit("(")) | F.contains(text, F.lit("（")), parts).otherwise(F.split(text, "(?<=[。！!？?])"))
@@ -203,8 +224,8 @@ def holds_any(c: Column, words: list[str]) -> Column:
 
 
 def body(c: Column) -> Column:
-    """Cleaned sentences without low-priority words or calendars, joined."""
-    return F.array_join(F.filter(sentences(cleaned(c)), lambda s: ~holds_any(s, LOW_PRIORITY) & ~s.rlike(CALENDAR)), "")
+    """The sentences of a cleaned text without low-priority words or calendars, joined."""
+    return F.array_join(F.filter(sentences(c), lambda s: ~holds_any(s, LOW_PRIORITY) & ~s.rlike(CALENDAR)), "")
 
 
 def notice(c: Column, words: list[str], most: int = 1000) -> Column:

@@ -72,6 +72,10 @@ def clean_texts(spark, sf_dir):
     return text(spark, sf_dir, C.cleaned(F.col("text")))
 
 
+#: Notices that a task cleans, for about ten seconds.
+ROWS_A_TASK = 20_000
+
+
 def notices(spark, sf_dir):
     """Disclosures in Japanese, made of the orders: id and text."""
     c = lambda e: e.cast("string")
@@ -82,13 +86,17 @@ def notices(spark, sf_dir):
         F.lit("対象期間は"), c(key % 12 + 1), F.lit("～12月で、"), F.year("o_orderdate"), F.lit("年度の第1四半期は1Qと呼びます。詳細は https://ir.example.jp/"), c(key), F.lit(" をご覧ください。"),
         F.lit("お問い合わせ ir"), c(key), F.lit("@example.co.jp 電話 03-1234-"), F.lpad(c(key % 10000), 4, "0"), F.lit(" 以上"),
     ]
-    return entities.table(spark, sf_dir, "orders").select(key.alias("id"), F.concat(*(p.cast("string") for p in parts)).alias("text"))
+    orders = entities.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    # rows of a few bytes make texts that take long: they're dealt by number, however few files and row groups hold them
+    dealt = orders.repartition(orders.count() // ROWS_A_TASK + 1, "o_orderkey")
+    return dealt.select(key.alias("id"), F.concat(*(p.cast("string") for p in parts)).alias("text"))
 
 
 @query()
 def clean_notices(spark, sf_dir):
     """The whole chain, and the sentences that remain as a body, over Japanese disclosures."""
-    return notices(spark, sf_dir).select("id", C.cleaned(F.col("text")).alias("text"), C.body(F.col("text")).alias("body"))
+    both = C.let(C.cleaned(F.col("text")), lambda text: F.struct(text.alias("text"), C.body(text).alias("body")))  # one chain for both columns
+    return notices(spark, sf_dir).select("id", both.alias("both")).select("id", "both.text", "both.body")
 
 
 @query(sql("trim(regexp_replace(text, '[\\s]+', ' ', 'g'))"))
