@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import paging, recurrences, substrings
+from tidemark.plans.registry import QUERIES
 
 
 def plan_of(df):
@@ -97,3 +98,17 @@ def test_macd_has_no_python(spark):
     assert recurrences.with_macd(bars.limit(0)).count() == 0
     with pytest.raises(ValueError, match="span"):
         recurrences.with_means(bars, "close", {"m": 1})
+
+
+def test_no_side_of_a_lookup_is_broadcast(spark):
+    """Sizes are estimated from compressed files: sides that pass for small are sorted and merged all the same, in any plan that Spark turns to."""
+    found = QUERIES["name_index_lookup"](spark, "/root/testdata/sf0.001")
+    assert found.count() == found.select("part").distinct().count()
+    found.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_and_null_orders(spark):
+    names = spark.createDataFrame([(2, "xab"), (1, "yabc"), (1, "zabc"), (None, "qqabcdefghijk"), (3, "abcdefghijk")], "code long, name string")
+    found = substrings.first_holding(names, spark.createDataFrame([("ab",), ("abc",), ("x",), ("abcdefghij",), ("zzzzzzzzzzzz",), (None,), ("",)], "needle string"), "name", "needle", "code")
+    assert {tuple(r) for r in found.collect()} == {("ab", None, "qqabcdefghijk"), ("abc", None, "qqabcdefghijk"), ("x", 2, "xab"), ("abcdefghij", None, "qqabcdefghijk"), ("", None, "qqabcdefghijk")}

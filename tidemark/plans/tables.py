@@ -92,7 +92,7 @@ def take_while_day(spark, sf_dir):
 def name_code_lookup(spark, sf_dir):
     needles = entities.table(spark, sf_dir, "part").select(F.lpad((F.col("p_partkey") % 50).cast("string"), 2, "0").alias("needle"), F.col("p_partkey").alias("part"))
     found = substrings.first_holding(entities.companies(spark, sf_dir), needles, "name", "needle", "code")
-    return needles.join(found, "needle").select("part", "code", "name")
+    return substrings.merged(needles, found, "needle").select("part", "code", "name")
 
 
 @query("""WITH n AS (SELECT p_partkey AS part, lpad(p_partkey::VARCHAR, (3 + p_partkey % 4)::INTEGER, '0') AS needle FROM part)
@@ -102,7 +102,7 @@ def name_index_lookup(spark, sf_dir):
     key = F.col("p_partkey")
     needles = entities.table(spark, sf_dir, "part").select(key.alias("part"), F.lpad(key.cast("string"), (3 + key % 4).cast("int"), F.lit("0")).alias("needle"))
     names = entities.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"))
-    return needles.join(substrings.first_holding(names, needles, "name", "needle", "code"), "needle").select("part", "needle", "code", "name")
+    return substrings.merged(needles, substrings.first_holding(names, needles, "name", "needle", "code"), "needle").select("part", "needle", "code", "name")
 
 
 @query("SELECT o_orderkey AS id, coalesce(trim(regexp_replace(text, '[\\s]+', ' ', 'g')), '') AS text FROM orders LEFT JOIN documents ON doc_id = o_orderkey")
