@@ -193,3 +193,18 @@ def test_regressor_learns_and_its_gradient_is_right(spark):
     got = {r.id: r.rates for r in regressor.predict(rows, weights, ("near", "far")).collect()}
     r = rows.first()
     assert np.allclose([got[r.id]["near"], got[r.id]["far"]], regressor.forward(weights, np.array([r.text_vector]), np.array([r.features]))[0][0])
+
+
+def test_first_seen_deals_its_deliveries_to_tasks(spark, tmp_path, monkeypatch):
+    """No delivery is gathered in one task's file, and each is a batch of its own."""
+    from tidemark.plans import learning
+
+    at = spark.createDataFrame([(k % 40, "ab"[k % 2], k) for k in range(4000)], "user_id long, event_type string, n long").selectExpr("user_id", "event_type", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, n % 977) AS ts")
+    at.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(learning, "shared_dir", lambda s, label: f"{tmp_path}/out-{label}")
+    gathered = []
+    coalesce = type(at).coalesce
+    monkeypatch.setattr(type(at), "coalesce", lambda self, n: gathered.append(n) or coalesce(self, n))
+    got = {tuple(r) for r in learning.stream_first_seen(spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in at.groupBy("user_id", "event_type").agg(F.min("ts")).collect()} and len(got) == 40
+    assert not gathered and len(list((tmp_path / "out-stream" / "offsets" / "commits").glob("[0-9]*"))) >= 2

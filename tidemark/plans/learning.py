@@ -63,10 +63,10 @@ def stream_first_seen(spark, sf_dir):
     """When each key was first seen, by a stream that remembers keys and reads no table; the events come in order of time."""
     rows = entities.table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
     source, at = shared_dir(spark, "events"), shared_dir(spark, "stream")
-    first = rows.groupBy("user_id", "event_type").agg(F.min("at").alias("first"))
-    # a batch per file: the first events of all keys, then all of them
-    rows.join(first, ["user_id", "event_type"]).where("at = first").drop("first").dropDuplicates().coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
-    rows.write.mode("append").parquet(source)
-    ingest.ingest_once(stream, f"{at}/table", ["user_id", "event_type"], "at", f"{at}/offsets", keep="3650 days").awaitTermination()
+    first = rows.groupBy("user_id", "event_type").agg(F.min("at").alias("at"))
+    # a run per delivery: the first events of all keys, then all of them; each is one batch of many files
+    for delivery in (first, rows):
+        delivery.select(rows.columns).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        ingest.ingest_once(stream, f"{at}/table", ["user_id", "event_type"], "at", f"{at}/offsets", keep="3650 days").awaitTermination()
     return spark.read.parquet(f"{at}/table").select("user_id", "event_type", F.col("at").cast("timestamp_ntz").alias("ts"))
