@@ -127,7 +127,7 @@ def test_a_set_signs_no_more_than_can_be_unlike():
     for percent in (80, 90):
         levels = ngram_join.Levels.of(percent, 4000)
         for size in (1, 2, 7, 60, 61, 400, 3000):
-            members = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            members = np.unique(rng.integers(0, (1 << 64) - 1, size, dtype=np.uint64))
             for level, found in zip(levels.of_size(size), ngram_join.signatures(members, levels, none), strict=True):
                 partners = [k for k in range(1, 5001) if levels.bounds[level] <= max(k, size) < levels.bounds[level + 1] and 100 * min(k, size) >= percent * max(k, size)]
                 unlike = max(((k + size) * (100 - percent) // (100 + percent) for k in partners), default=-1)
