@@ -123,3 +123,66 @@ def test_against_labels_of_the_small_tables(spark):
     got = [(known[r.doc_id], r.predicted) for r in toxicity.toxicity(docs, labels).collect() if r.held_out and r.doc_id in known]
     assert sum(p for t, p in got if t) >= 0.7 * sum(t for t, _ in got)
     assert sum(p for t, p in got if not t) <= 0.02 * len(got)
+
+
+@pytest.fixture(scope="module")
+def expressions(spark):
+    """Words of both classes: only toxic texts have w7 after w3, where others have w9."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(200)]
+    docs, labels = [], []
+    for k in range(900):
+        w, toxic = rng.choices(vocabulary, k=60), k % 3 == 0
+        w = [x for a, x in zip(["", *w], w) if (a, x) != ("w3", "w7")]
+        for _ in range(6):
+            at = rng.randrange(len(w))
+            w[at:at] = ["w3", "w7" if toxic else "w9"]
+        docs.append((k, " ".join(w), "en", "s", len(w)))
+        labels.append((k, 1, int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_an_expression_of_ordinary_words_is_found(expressions):
+    docs, labels = expressions
+    out = [(r.doc_id % 3 == 0, r.predicted) for r in toxicity.toxicity(docs, labels).collect() if r.held_out]
+    assert sum(p for bad, p in out if bad) >= 0.9 * sum(bad for bad, _ in out)
+    assert sum(p for bad, p in out if not bad) <= 0.02 * len(out)
+
+
+def test_pairs_equal_brute_force(expressions):
+    """Each pair's probability in both classes; what no pair says is its word's by the backoff, and all words after a word sum to 1."""
+    docs, labels = expressions
+    D, learning = toxicity.DISCOUNT, toxicity.labelled(docs, labels)
+    pairs = toxicity.pair_counts(learning).cache()
+    found = toxicity.continuations(pairs).cache()
+    single = toxicity.words(found, "tox", "ord")
+    hashes = toxicity.Hashes()
+    bucket = lambda w: hashes[w] >> (64 - toxicity.BUCKET_BITS)
+    p1 = {r.bucket: (r.o, r.t) for r in found.select("bucket", single.ord.alias("o"), single.tox.alias("t")).collect()}
+    runs = {0: set(), 1: set()}
+    for r in docs.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            w = toxicity.words_of(r.text)
+            runs[int(r.doc_id % 3 == 0)] |= set(zip(["", "", *w], ["", *w], w))
+    n = {c: Counter((v, w) for _, v, w in rows) for c, rows in runs.items()}
+    got = {r.key: (r.p_ord, r.p_tox) for r in toxicity.pair_models(pairs, found, single, "tox", "ord").collect()}
+    words = sorted({w for rows in runs.values() for _, _, w in rows})
+    seen = 0
+    for v in ["w3", "w7", "w11"]:
+        total = {c: sum(n[c][v, w] for w in words) for c in n}
+        both = {w: n[0][v, w] + n[1][v, w] for w in words}
+        lost = sum(min(s, D) for s in both.values()) / sum(both.values())
+        over = {c: {w: max(n[c][v, w] / total[c] - D / min(total.values()), 0) for w in words} for c in n}
+        kept = {c: sum(x.values()) for c, x in over.items()}
+        mass = min(kept.values())
+        for c in n:
+            p = {w: (mass * over[c][w] / kept[c] if mass else 0) + (1 - mass) * (max(both[w] - D, 0) / sum(both.values()) + lost * p1[bucket(w)][c]) for w in words}
+            assert math.isclose(sum(p.values()), 1, abs_tol=1e-6)
+            for w in words:
+                key = int(toxicity.pair_keys([v, w], hashes)[1])
+                if both[w] > D:
+                    assert math.isclose(got[key][c], p[w], rel_tol=1e-9)
+                    seen += 1
+                else:
+                    assert key not in got
+    assert seen > 20
