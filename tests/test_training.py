@@ -101,3 +101,74 @@ def test_waits_for_days(spark, tmp_path):
     assert one.step(epochs=1) == DAYS[1] and one.state().day == DAYS[2]
     one.reset()
     assert one.state() == (DAYS[0], None, {})
+
+
+def in_order(spark, rows, seed, epoch, blocks=1):
+    """The rows as an epoch goes through them."""
+    at = spark.createDataFrame(rows, rows[0].__fields__).selectExpr("id", f"pmod(xxhash64(id), {blocks}) AS block", f"xxhash64(id, {seed}, {epoch}) AS hash").collect()
+    place = {int(k): n for n, k in enumerate(np.random.default_rng((seed, epoch)).permutation(blocks))}
+    keys = {r.id: (place[r.block], r.hash) for r in at}
+    return sorted(rows, key=lambda r: keys[r.id])
+
+
+def by_hand(spark, rows, epochs, blocks=1, batch=32, seed=0):
+    """Weights, losses and the number of steps of a plain loop over all rows."""
+    w = regressor.start(*(len(rows[0][c]) for c in ("text_vector", "features", "targets")), seed)
+    adam, losses = regressor.Adam(w, 1e-3), []
+    for epoch in range(epochs):
+        table, total = in_order(spark, rows, seed, epoch, blocks), 0.0
+        text, features, targets = (np.array([r[c] for r in table]) for c in ("text_vector", "features", "targets"))
+        for k in range(0, len(table), batch):
+            at = slice(k, k + batch)
+            loss, g = regressor.gradients(w, text[at], features[at], targets[at])
+            adam.step(w, g)
+            total += loss * len(text[at])
+        losses.append(total / len(table))
+    return w, losses, adam.n
+
+
+@pytest.mark.parametrize("most", [1000, 100, 40])
+def test_steps_of_a_batch(spark, monkeypatch, most):
+    """Each epoch takes every row once, 32 a step and the rest in its last, however rows are dealt to blocks and tasks."""
+    rows = rows_of(spark, 205).cache()
+    blocks = -(-205 // most)
+    monkeypatch.setattr(regressor, "BLOCK_BYTES", 8 * 12 * most)
+    want, losses, steps = by_hand(spark, rows.collect(), 3, blocks)
+    assert steps == 3 * 7 and losses[-1] < losses[0]
+    for parts in (1, 9):
+        got, found = regressor.fit_rows(rows.repartition(parts), epochs=3, batch=32)
+        assert apart(got, want) < 1e-9 and found == pytest.approx(losses, rel=1e-9)
+    assert regressor.fit_rows(rows.limit(0), {"x": np.ones(1)}, batch=32) == ({"x": np.ones(1)}, [])
+
+
+def test_blocks_without_rows(spark, monkeypatch):
+    """More blocks than rows: some have none, and what is left of the last still gets its step."""
+    rows = rows_of(spark, 6).cache()
+    monkeypatch.setattr(regressor, "BLOCK_BYTES", 0)
+    want, losses, _ = by_hand(spark, rows.collect(), 2, 6, batch=1)
+    got, found = regressor.fit_rows(rows, epochs=2, batch=1)
+    assert apart(got, want) < 1e-9 and found == pytest.approx(losses, rel=1e-9)
+    kept = {k: v.copy() for k, v in want.items()}
+    again, _ = regressor.fit_rows(rows, want, epochs=1, batch=4)
+    assert apart(again, want) > 1e-4 and apart(kept, want) == 0  # goes on from weights, which stay as they are
+
+
+def test_work_set_rates_takes_the_whole_training(spark, monkeypatch):
+    """The query's network has made ten epochs in steps of 32 rows, not a step an epoch."""
+    rng = np.random.default_rng(3)
+    made = [(k, rng.normal(size=5).tolist(), rng.normal(size=17).tolist(), rng.normal(size=9).tolist()) for k in range(100)]
+    rows = spark.createDataFrame(made, SCHEMA)
+    monkeypatch.setattr(learning, "training_rows", lambda spark, sf_dir: rows)
+    want, _, steps = by_hand(spark, rows.collect(), 10)
+    assert steps == 40
+    got = {r.id: r.rates for r in learning.work_set_rates(spark, "").collect()}
+    out, _ = regressor.forward(want, *(np.array([r[c] for r in made]) for c in (1, 2)))
+    assert len(got) == 100 and all([got[k][c] for c in regressor.training.TARGETS] == pytest.approx(out[k].tolist(), abs=1e-9) for k in range(100))
+
+
+def test_a_day_is_trained_in_steps_of_a_batch(spark, tmp_path):
+    rows = rows_of(spark, 70)
+    one = daily.DayTrainer(spark, f"{tmp_path}/days", DAYS[0], lambda day: rows, lambda day: None)
+    assert one.step(epochs=2) == DAYS[0]
+    want, losses, _ = by_hand(spark, rows.collect(), 2)
+    assert apart(one.state().weights, want) < 1e-6 and one.state().losses[DAYS[0]] == pytest.approx(losses)

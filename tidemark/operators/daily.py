@@ -41,15 +41,15 @@ class DayTrainer:
         told = json.loads(store.read_bytes(self.spark, f"{at}/{STATE_FILE}"))
         return State(told["day"], store.load_model(self.spark, at), told["losses"])
 
-    def step(self, **options) -> str | None:
-        """Trains on the next day's rows and commits; the day, or None if there was nothing to do."""
+    def step(self, batch: int | None = regressor.BATCH, **options) -> str | None:
+        """Trains on the next day's rows and commits; the day, or None if there was nothing to do. Options are those of fit_rows()."""
         day, weights, losses = self.state()
         if day in losses:  # no further day was there when it was trained
             day = self.following(day)
         if day is None:
             return None
         rows = self.rows(day)
-        weights, found = regressor.fit_rows(rows, weights, **options)
+        weights, found = regressor.fit_rows(rows, weights, batch=batch, **options)
         if not found:
             return None
         told = {"day": self.following(day) or day, "losses": losses | {day: found}}

@@ -1,17 +1,22 @@
 """A two-branch network: text vector and features to rates at all horizons.
 
-fit_rows() fits on all rows where they lie: a step sends the weights (a few
-hundred kB, fixed by the layer sizes) to the tasks, each sums the gradients of
-its rows, sums meet in a tree of tasks, and the driver makes the step. fit()
-runs on the driver, on a sample of at most MOST_ROWS rows: those with the
-least hash of id, which are spread over the whole table and are the same
-however it is partitioned. Prediction runs on the executors, batch by batch.
+fit_rows() fits on all rows, on the executors. With `batch`, as the network is
+trained, a step takes that many rows, so an epoch has as many steps as rows
+allow; a step needs the weights of the one before, so blocks of rows follow one
+another, a task each. Without, a step takes a large part of the table: the
+weights (a few hundred kB, fixed by the layer sizes) go to the tasks, each sums
+the gradients of its rows, sums meet in a tree of tasks, and the driver makes
+the step. fit() runs on the driver, on a sample of at most MOST_ROWS rows: those
+with the least hash of id, which are spread over the whole table and are the
+same however it is partitioned. Prediction runs on the executors, batch by batch.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import training
-from tidemark.sources.store import stored
+from tidemark.sources.store import shared_dir, stored
 
 MOST_ROWS = 20_000
 LAYERS = {"text": (128, 64), "features": (32,), "out": 9}
@@ -151,18 +156,88 @@ def sum_row(part: int, n: int, loss: float, gradient: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([loss]), pa.array([gradient.tobytes()], pa.binary())], names=["part", "n", "loss", "gradient"])
 
 
-def fit_rows(rows: DataFrame, weights: dict[str, np.ndarray] | None = None, epochs: int = 10, batches: int = 1, rate: float = 1e-3, seed: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Adam over all rows (id, text_vector, features, targets) where they lie; weights to go on from, and the loss of each epoch.
+#: Rows of a step, as the network is trained.
+BATCH = 32
+#: Bytes of rows that a task holds at once while it steps through them.
+BLOCK_BYTES = 32 << 20
 
-    batches: steps of an epoch; a row's is told by a hash of its id and the
-    epoch, so it doesn't depend on how rows are dealt to tasks. The rows are
-    stored once; an epoch reads them again. Without rows the weights stay.
+
+@dataclass
+class Run:
+    """What a block of rows hands to the next: weights, Adam's means, rows that don't fill a step yet; rows and losses of the epoch so far."""
+
+    w: dict[str, np.ndarray]
+    adam: Adam
+    left: np.ndarray
+    n: int = 0
+    loss: float = 0.0
+
+    def go(self, rows: np.ndarray, batch: int, ends: bool = False) -> None:
+        """Steps through rows (text, features and targets side by side) after those left; a step has fewer than `batch` only where the epoch ends."""
+        vector = flat(self.w)
+        self.w = shaped(vector, self.w)  # views, so a step of the vector is one of them all
+        rows, text, features = np.concatenate([self.left, rows]), len(self.w["t1"]), len(self.w["f1"])
+        end = len(rows) if ends else len(rows) - len(rows) % batch
+        for k in range(0, end, batch):
+            t, f, y = np.split(rows[k : k + batch], [text, text + features], axis=1)
+            e, g = gradients(self.w, t, f, y)
+            self.adam.step({"all": vector}, {"all": flat(g)})
+            self.n, self.loss = self.n + len(y), self.loss + e * len(y)
+        self.left = rows[end:].copy()
+
+
+def after_block(rows: DataFrame, run: Run, batch: int, seed: int, epoch: int) -> Run:
+    """The run after one task's steps through rows, in the order of a hash of id and the epoch."""
+    sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps(run))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, found = pickle.loads(sent.value), []
+        sizes = {"text_vector": len(own.w["t1"]), "features": len(own.w["f1"]), "targets": len(own.w["o_b"])}
+        for b in batches:
+            values = [b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, size) for c, size in sizes.items()]
+            found.append((b.column("at").to_numpy(), b.column("tie").to_numpy(), np.concatenate(values, axis=1)))
+        if found:
+            at, tie, table = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            own.go(table[np.lexsort((tie, at))], batch)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], names=["run"])
+
+    at, tie = F.xxhash64("id", F.lit(seed), F.lit(epoch)), F.xxhash64("id", "text_vector", "features", "targets")
+    keyed = rows.select(at.alias("at"), tie.alias("tie"), "text_vector", "features", "targets")
+    found = keyed.coalesce(1).mapInArrow(steps, "run binary").collect()  # one run, of three times the weights' size
+    sent.destroy()
+    return pickle.loads(found[0].run) if found else run
+
+
+def in_blocks(held: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Stored rows with `block`, the blocks being dealt by a hash of id, of about `most` rows and a folder each; and the number of blocks."""
+    blocks = max(1, -(-held.count() // most))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    if blocks == 1:
+        return dealt, 1
+    path = shared_dir(held.sparkSession, "blocks")
+    dealt.repartition(blocks, "block").write.partitionBy("block").parquet(path)
+    return held.sparkSession.read.schema(dealt.schema).parquet(path), blocks
+
+
+def fit_rows(rows: DataFrame, weights: dict[str, np.ndarray] | None = None, epochs: int = 10, batches: int = 1, rate: float = 1e-3, seed: int = 0, batch: int | None = None) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Adam over all rows (id, text_vector, features, targets); weights to go on from, and the loss of each epoch.
+
+    batch: rows of a step; an epoch has a step for each so many, and its last
+    takes what remains. An epoch goes through the blocks, and through the rows
+    of each, in an order of its own.
+    batches: if batch isn't given, steps of an epoch. A row's is told by a hash
+    of its id and the epoch.
+    Neither depends on how rows are dealt to tasks. The rows are stored; an
+    epoch reads them again. Without rows the weights stay.
     """
     held = stored(rows.select("id", "text_vector", "features", "targets"), "training")
     first = held.select(*(F.size(c) for c in ("text_vector", "features", "targets"))).first()
     if first is None:
         return dict(weights or {}), []
     w = {k: v.copy() for k, v in (weights or start(*first, seed)).items()}
+    if batch:
+        return fit_steps(held, w, epochs, batch, rate, seed)
     adam, losses = Adam(w, rate), []
     for epoch in range(epochs):
         total, seen = 0.0, 0
@@ -176,6 +251,20 @@ def fit_rows(rows: DataFrame, weights: dict[str, np.ndarray] | None = None, epoc
     return w, losses
 
 
+def fit_steps(held: DataFrame, w: dict[str, np.ndarray], epochs: int, batch: int, rate: float, seed: int) -> tuple[dict[str, np.ndarray], list[float]]:
+    """fit_rows() of stored rows in steps of `batch`."""
+    width = len(w["t1"]) + len(w["f1"]) + len(w["o_b"])
+    dealt, blocks = in_blocks(held, max(batch, BLOCK_BYTES // (8 * width)))
+    run, losses = Run(w, Adam({"all": flat(w)}, rate), np.empty((0, width))), []
+    for epoch in range(epochs):
+        run.n, run.loss = 0, 0.0
+        for k in np.random.default_rng((seed, epoch)).permutation(blocks):
+            run = after_block(dealt.where(F.col("block") == int(k)), run, batch, seed, epoch)
+        run.go(run.left[:0], batch, ends=True)  # fewer than `batch` rows
+        losses.append(run.loss / max(1, run.n))
+    return run.w, losses
+
+
 TEXT_SIZE = 64
 
 
